@@ -45,10 +45,14 @@ def tokenizer(path: str):
     ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    odd = regex.compile("|".join([r"[\x00-\x08\x0B-\x1F\x7F-\xA0\u1680\u180E\u2000-\u206F\u3000\uFEFF]", r"[^\p{Assigned}]", r"[\U00010000-\U0010FFFF]", r"\S{2000}", *map(regex.escape, added)]))
+    odd = regex.compile(r"[\x00-\x08\x0B-\x1F\x7F-\xA0\u1680\u180E\u2000-\u206F\u3000\uFEFF]|[^\p{Assigned}]|[\U00010000-\U0010FFFF]")
+    plain: set[str] = set()  # characters seen so far that both engines class alike; bounded by the basic plane
 
     def encode(text: str) -> np.ndarray:
-        if odd.search(text):
+        new = set(text) - plain
+        strange = {c for c in new if odd.match(c)}
+        plain.update(new - strange)
+        if strange or any(t in text for t in added):
             return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(fast.encode_ordinary(text), "<u4")
 
