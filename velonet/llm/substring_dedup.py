@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,14 +74,16 @@ def _anchor_rows(window: int, period: int):
                 continue
             k, t, d, p = np.concatenate(ks), np.concatenate(ts), np.concatenate(ds), np.concatenate(ps)
             order = np.lexsort((t, k))
-            k, t, d, p = k[order], t[order], d[order], p[order]
-            new = np.r_[True, k[1:] != k[:-1]]
-            first = np.flatnonzero(new)
+            k, t = k[order], t[order]
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             last = np.r_[first[1:], len(k)] - 1
             shared = t[first] != t[last]
-            settled = np.repeat(shared, last - first + 1)
+            evidence = np.sort(order[np.r_[first[shared], last[shared]]])
+            # back to document order, in which neighbouring rows compress well
+            settled = np.empty(len(k), bool)
+            settled[order] = np.repeat(shared, last - first + 1)
+            k, t, d, p = np.concatenate(ks), np.concatenate(ts), np.concatenate(ds), np.concatenate(ps)
             known = common.mix(d[settled].astype(np.uint64) ^ np.uint64(common.BASES[0]))
-            evidence = np.r_[first[shared], last[shared]]
             yield pd.DataFrame({
                 "k": np.r_[k[~settled], known, k[evidence]].view(np.int64),
                 "t": np.r_[t[~settled], np.zeros(len(known), np.uint64), t[evidence]].view(np.int64),
@@ -141,7 +144,7 @@ def _window_rows(window: int, period: int):
     """Documents with their shared anchors -> (a, b, doc, pos, len): candidate windows to match, and settled runs.
 
     Of equal windows in one batch all but those of the smallest document are removed at once: they come out as settled
-    runs (a spread by document, len > 0); the rest go to their group with len 0.
+    runs (a spread by document, len > 0); the rest go to their group with len 0. Hashes have 96 bits.
     """
     reach = period - 1
 
@@ -161,25 +164,27 @@ def _window_rows(window: int, period: int):
                 start = np.flatnonzero(np.cumsum(edge[:n]))
                 if len(start):
                     a_.append(common.window_hashes(h, window, common.BASES[0], start))
-                    b_.append(common.window_hashes(h, window, common.BASES[1], start))
+                    b_.append((common.window_hashes(h, window, common.BASES[1], start) >> np.uint64(32)).astype(np.uint32))
                     d_.append(np.full(len(start), doc, np.int64))
                     p_.append(start)
             if not a_:
                 continue
             a, b, d, p = (np.concatenate(x) for x in (a_, b_, d_, p_))
             order = np.lexsort((p, d, b, a))
-            a, b, d, p = a[order], b[order], d[order], p[order]
+            a, b = a[order], b[order]
             first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            low = d[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            low = np.empty(len(d), np.int64)
+            low[order] = d[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
+            a, b = np.concatenate(a_), np.concatenate(b_)
             gone = d > low
             keep = ~gone
-            yield pd.DataFrame({"a": a[keep].view(np.int64), "b": b[keep].view(np.int64), "doc": d[keep], "pos": p[keep].astype(np.int32), "len": np.zeros(int(keep.sum()), np.int32)})
+            yield pd.DataFrame({"a": a[keep].view(np.int64), "b": b[keep].view(np.int32), "doc": d[keep], "pos": p[keep].astype(np.int32), "len": np.zeros(int(keep.sum()), np.int32)})
             if gone.any():
                 d, p = d[gone], p[gone]
                 order = np.lexsort((p, d))
                 d, p = d[order], p[order]
                 cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)])
-                yield pd.DataFrame({"a": common.mix(d[cut].astype(np.uint64)).view(np.int64), "b": np.zeros(len(cut), np.int64), "doc": d[cut], "pos": p[cut].astype(np.int32), "len": np.diff(np.r_[cut, len(d)]).astype(np.int32)})
+                yield pd.DataFrame({"a": common.mix(d[cut].astype(np.uint64)).view(np.int64), "b": np.zeros(len(cut), np.int32), "doc": d[cut], "pos": p[cut].astype(np.int32), "len": np.diff(np.r_[cut, len(d)]).astype(np.int32)})
 
     return run
 
@@ -208,39 +213,56 @@ def _later_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc": d[later], "pos": p[later], "len": np.ones(int(later.sum()), np.int32)})
 
 
-def _kept(window: int, texts: bool):
+def _digest(words: list[bytes]) -> tuple[bytes, str]:
+    joined = b" ".join(words)
+    return joined, hashlib.sha256(joined).hexdigest()
+
+
+def _identity(words: list[bytes]) -> tuple[int, int]:
+    """128-bit hash of a word sequence as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(b" ".join(words))
+    a, b = np.array(divmod(h, 1 << 64), np.uint64).view(np.int64).tolist()
+    return a, b
+
+
+def _whole(texts: bool):
+    """Documents -> their identity and what they are when nothing is removed."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in common.chunks(batches, "raw", 12_000_000):
+        for batch in batches:
             rows = []
-            for raw, copy, at, runs in zip(batch["raw"], batch["copy"], batch["at"], batch["len"], strict=True):
+            for raw in batch["raw"]:
                 words = raw.split()
-                n = len(words)
-                if copy and n >= window:
-                    left: list[bytes] = []
-                elif at is not None and len(at):
-                    edge = np.zeros(n + 1, np.int64)
-                    at, runs = np.asarray(at, np.int64), np.asarray(runs, np.int64)
-                    np.add.at(edge, np.minimum(at, n), 1)
-                    np.add.at(edge, np.minimum(at + runs + window - 1, n), -1)
-                    left = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0).tolist()]
-                else:
-                    left = words
-                joined = b" ".join(left)
-                rows.append((n, n - len(left), hashlib.sha256(joined).hexdigest(), joined.decode() if texts else None))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256", "kept_text"])
-            out.insert(0, "doc_id", pd.array(batch["doc_id"].to_numpy(), "Int64"))
-            yield out if texts else out.drop(columns="kept_text")
+                joined, digest = _digest(words)
+                rows.append((*_identity(words), len(words), digest, joined.decode() if texts else None))
+            out = pd.DataFrame(rows, columns=["t1", "t2", "n_words", "sha", "kept"])
+            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
+            yield out
 
     return run
 
 
-def _identity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents -> (doc, t1, t2): a 128-bit hash of the word sequence."""
-    import xxhash
+def _kept(window: int, texts: bool):
+    """Documents with runs of repeated windows -> identity, words removed, and what is left."""
 
-    for batch in batches:
-        h = np.array([divmod(xxhash.xxh3_128_intdigest(b" ".join(raw.split())), 1 << 64) for raw in batch["raw"]], np.uint64).reshape(-1, 2)
-        yield pd.DataFrame({"doc": batch["doc_id"].to_numpy(), "t1": h[:, 0].view(np.int64), "t2": h[:, 1].view(np.int64)})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in common.chunks(batches, "raw", 12_000_000):
+            rows = []
+            for raw, at, runs in zip(batch["raw"], batch["runs_at"], batch["runs"], strict=True):
+                words = raw.split()
+                n = len(words)
+                edge = np.zeros(n + 1, np.int64)
+                at, runs = np.asarray(at, np.int64), np.asarray(runs, np.int64)
+                np.add.at(edge, np.minimum(at, n), 1)
+                np.add.at(edge, np.minimum(at + runs + window - 1, n), -1)
+                left = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0).tolist()]
+                joined, digest = _digest(left)
+                rows.append((*_identity(words), n - len(left), digest, joined.decode() if texts else None))
+            out = pd.DataFrame(rows, columns=["t1", "t2", "gone", "cut_sha", "cut"])
+            out.insert(0, "doc", batch["doc_id"].to_numpy())
+            yield out
+
+    return run
 
 
 def dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
@@ -252,6 +274,8 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     rows stay and get equal results; should one doc_id carry different texts, none of them is the smaller document, and
     word positions found repeated in one are removed from each. An empty table gives no rows; further columns are
     ignored.
+
+    Whole texts cross the network once, to meet their shared anchors; only those that have one are kept for the rest.
     """
     period = pick_period(window)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -259,17 +283,20 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     named = rows.filter("doc_id is not null")
     anchors = named.mapInPandas(_anchor_rows(window, period), "k long, t long, doc long, pos int").repartition(n, "k").sortWithinPartitions("k")
     shared = anchors.mapInPandas(_shared_anchors, "doc long, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    # the same exchange of the texts by document serves here and for the result
-    held = named.repartition(n, "doc_id")
-    near = held.join(shared.hint("shuffle_merge"), held["doc_id"] == shared["doc"]).select("doc_id", "raw", "at")
-    cut = near.mapInPandas(_window_rows(window, period), "a long, b long, doc long, pos int, len int")
+    near = common.materialize(named.join(shared.hint("shuffle_merge"), named["doc_id"] == shared["doc"]).select("doc_id", "raw", "at"))
+    cut = near.mapInPandas(_window_rows(window, period), "a long, b int, doc long, pos int, len int")
     cut = cut.repartition(n, "a", "b").sortWithinPartitions("a", "b", "doc")
-    gone = cut.mapInPandas(_later_windows, "doc long, pos int, len int").groupBy("doc").agg(F.collect_list("pos").alias("at"), F.collect_list("len").alias("len"))
-    same = named.mapInPandas(_identity, "doc long, t1 long, t2 long")
-    least = same.groupBy("t1", "t2").agg(F.min("doc").alias("least"))
-    copies = same.join(least, ["t1", "t2"]).filter("least < doc").select(F.col("doc").alias("copy")).distinct()
-    marked = held.join(gone.hint("shuffle_merge"), held["doc_id"] == gone["doc"], "left").join(copies.hint("shuffle_merge"), F.col("doc_id") == copies["copy"], "left")
-    marked = marked.select("doc_id", "raw", F.col("copy").isNotNull().alias("copy"), "at", "len")
-    free = rows.filter("doc_id is null").select("doc_id", "raw", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("array<int>").alias("len"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return marked.union(free).mapInPandas(_kept(window, texts), schema)
+    gone = cut.mapInPandas(_later_windows, "doc long, pos int, len int").groupBy("doc").agg(F.collect_list("pos").alias("runs_at"), F.collect_list("len").alias("runs"))
+    parted = near.join(gone.hint("shuffle_merge"), near["doc_id"] == gone["doc"]).select("doc_id", "raw", "runs_at", "runs")
+    parted = parted.mapInPandas(_kept(window, texts), "doc long, t1 long, t2 long, gone long, cut_sha string, cut string").distinct()
+    whole = common.materialize(rows.mapInPandas(_whole(texts), "doc_id long, t1 long, t2 long, n_words long, sha string, kept string"))
+    least = whole.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"))
+    found = whole.join(least, ["t1", "t2"]).join(parted, (F.col("doc_id") == F.col("doc")) & (whole["t1"] == parted["t1"]) & (whole["t2"] == parted["t2"]), "left")
+    copy = F.coalesce((F.col("least") < F.col("doc_id")) & (F.col("n_words") >= window), F.lit(False))
+    out = [
+        "doc_id",
+        "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+    ]
+    return found.select(*out, *([F.when(copy, "").otherwise(F.coalesce("cut", "kept")).alias("kept_text")] if texts else []))
