@@ -96,6 +96,7 @@ class Index:
 
     ids: np.ndarray
     words: list[np.ndarray]
+    sets: list[frozenset[int]]
     keys: list[np.ndarray]
     owner: list[np.ndarray]
     offset: list[np.ndarray]
@@ -132,7 +133,7 @@ def build(items: pd.DataFrame) -> Index:
         order = np.argsort(a, kind="stable")
         out.append((a[order], own[order], off[order]))
         gate[a >> np.uint64(64 - GATE_BITS)] = True
-    return Index(np.array(ids, np.int64), words, [x[0] for x in out], [x[1] for x in out], [x[2] for x in out], gate)
+    return Index(np.array(ids, np.int64), words, [frozenset(h.tolist()) for h in words], [x[0] for x in out], [x[1] for x in out], [x[2] for x in out], gate)
 
 
 def search(index: Index, h: np.ndarray, docs: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -166,7 +167,11 @@ def search(index: Index, h: np.ndarray, docs: np.ndarray, start: np.ndarray, siz
                 a0, a1 = max(0, begin - slack), min(int(size[row]), begin + len(item) + slack)
                 if a1 - a0 < len(item) - most:
                     continue
-                edits, s, e = edit_distance(item, h[start[row] + a0 : start[row] + a1])
+                text = h[start[row] + a0 : start[row] + a1]
+                # every different word of the item that the place lacks is an edit
+                if len(index.sets[i].difference(text.tolist())) > most:
+                    continue
+                edits, s, e = edit_distance(item, text)
                 if edits <= most and (best is None or (edits, a0 + s) < (best[2], best[0])):
                     seen[row, i] = [a0 + s, a0 + e, edits]
     for (row, i), (s, e, edits) in sorted(seen.items()):
