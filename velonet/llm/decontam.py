@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Edits tolerated, as a share of an item's words; items of fewer words than LEAST are not searched.
-RATE, LEAST = 0.1, 8
+RATE, LEAST = 0.2, 8
 #: Walks, keys of each, steps sampled for a key, steps of a walk, sections of an item.
 WALKS, KEYS, SAMPLES, STEPS, SECTIONS, SEED = 2, 5, 4, 20, 4, 17
 #: What one pass over the documents carries to the tasks, at most; a larger benchmark takes several passes.
@@ -136,7 +136,7 @@ def build(items: pd.DataFrame) -> Index:
     return Index(np.array(ids, np.int64), words, [frozenset(h.tolist()) for h in words], [x[0] for x in out], [x[1] for x in out], [x[2] for x in out], gate)
 
 
-def search(index: Index, h: np.ndarray, docs: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+def search(index: Index, h: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     """Matches in documents laid end to end: (row, item, first word, last word + 1, edits), the best place of each pair.
 
     ``start`` and ``size`` give every document's words in h; between documents lie at least STEPS + 1 zeros.
@@ -218,7 +218,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     size.append(len(h))
                     parts += [h, pad]
                     n += len(h) + len(pad)
-                found = list(search(index, np.concatenate(parts), batch["doc_id"].to_numpy(), np.array(start), np.array(size)))
+                found = list(search(index, np.concatenate(parts), np.array(start), np.array(size)))
                 if found:
                     rows, items, s, e, d = zip(*found, strict=True)
                     yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[list(rows)].astype("Int64").to_numpy(dtype=object), "item_id": items, "first_word": s, "end_word": e, "edits": d}).astype({"doc_id": "Int64", "edits": "int32"})
@@ -228,24 +228,33 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, all columns as they are. No shuffle."""
-    out = docs
-    for block in _blocks(docs.sparkSession, benchmark):
-        index = build(block)
-        if not len(index.ids):
-            continue
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+def _free(sent):
+    """Vectorised function: texts -> whether no item of the broadcast index is found in them."""
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            hashes = Folded()
-            pad = np.zeros(STEPS + 1, np.uint64)
-            for batch in common.chunks(batches, "_raw", 3_000_000):
-                parts = [x for raw in batch["_raw"] for x in (hashes.of(raw.split()), pad)]
+    @F.pandas_udf("boolean")
+    def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = Folded()
+        pad = np.zeros(STEPS + 1, np.uint64)
+        for batch in batches:
+            verdict = np.ones(len(batch), bool)
+            at = 0
+            for piece in common.chunks(iter([batch.to_frame("raw")]), "raw", 3_000_000):
+                parts = [x for raw in piece["raw"] for x in (hashes.of(raw.split()), pad)]
                 size = np.array([len(x) for x in parts[::2]])
                 start = np.cumsum(np.r_[0, size[:-1] + len(pad)])
-                bad = {f[0] for f in search(sent.value, np.concatenate(parts), batch.index.to_numpy(), start, size)}
-                yield batch[[i not in bad for i in range(len(batch))]].drop(columns="_raw")
+                for row, *_ in search(sent.value, np.concatenate(parts), start, size):
+                    verdict[at + row] = False
+                at += len(piece)
+            yield pd.Series(verdict)
+
+    return free
 
-        out = out.withColumn("_raw", common.raw_text()).mapInPandas(run, docs.schema)
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, all columns as they are. Only texts pass through Python."""
+    out = docs
+    for block in _blocks(docs.sparkSession, benchmark):
+        index = build(block)
+        if len(index.ids):
+            out = out.filter(_free(docs.sparkSession.sparkContext.broadcast(index))(common.raw_text()))
     return out
