@@ -84,7 +84,7 @@ def osm_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     tag = T.ArrayType(T.StructType([T.StructField("_k", T.StringType()), T.StructField("_v", T.StringType())]))
     node = T.StructType([T.StructField("_id", T.LongType()), T.StructField("_lon", T.DoubleType()), T.StructField("_lat", T.DoubleType()), T.StructField("tag", tag)])
     way = T.StructType([T.StructField("_id", T.LongType()), T.StructField("nd", T.ArrayType(T.StructType([T.StructField("_ref", T.LongType())]))), T.StructField("tag", tag)])
-    tags = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"], t["_v"])), F.array().cast("array<struct<k:string,v:string>>"))).alias("tags")
+    tags = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))), F.array().cast("array<struct<k:string,v:string>>"))).alias("tags")
     nodes = spark.read.format("xml").option("rowTag", "node").schema(node).load(path)
     ways = spark.read.format("xml").option("rowTag", "way").schema(way).load(path)
     return nodes.select(F.col("_id").alias("node_id"), F.col("_lon").alias("lon"), F.col("_lat").alias("lat"), tags), ways.select(F.col("_id").alias("way_id"), F.transform("nd", lambda n: n["_ref"]).alias("refs"), tags)
