@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import let
@@ -64,8 +64,14 @@ def words_of(vocab: dict) -> dict:
 
 
 def lookup(col: Column, table: dict) -> Column:
-    """Value of ``col`` in a literal table; null where there is none."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), col)
+    """Value of ``col`` in a literal table; null where there is none. One set test for each value."""
+    keys: dict = {}
+    for k, v in table.items():
+        keys.setdefault(v, []).append(k)
+    out = None
+    for v, ks in keys.items():
+        out = F.when(col.isin(*ks), v) if out is None else out.when(col.isin(*ks), v)
+    return out
 
 
 def tag(tags: Column, key: str) -> Column:
@@ -142,11 +148,11 @@ def cycle_type(tags: Column) -> Column:
     )
 
 
-def bike_access(tags: Column) -> Column:
-    """0 neutral, 1 dismount, 2 forbidden, 3 allowed."""
+def bike_access(tags: Column, kind: Column | None = None) -> Column:
+    """0 neutral, 1 dismount, 2 forbidden, 3 allowed. ``kind`` is the cycle_type() of the row, if it is at hand."""
     b, f = tag(tags, "bicycle"), tag(tags, "foot")
     return (
-        F.when(cycle_type(tags) == 5, 2)
+        F.when((cycle_type(tags) if kind is None else kind) == 5, 2)
         .when(b == "dismount", 1)
         .when(b.isin("yes", "designated"), 3)
         .when(b == "no", F.when(f.isNull() | f.isin("yes", "designated"), 1).when(f == "no", 2).otherwise(0))
@@ -156,7 +162,37 @@ def bike_access(tags: Column) -> Column:
 
 
 def bike_infra(tags: Column, forward: bool) -> Column:
-    """Class of the infrastructure on the right side (forward) or the left one; unclear descriptions are class 1."""
+    """Class of the infrastructure on the right side (forward) or the left one; unclear descriptions are class 1.
+
+    The usual keys are looked up one by one; only ways with other cycleway keys are parsed key by key.
+    """
+    usual = [f"cycleway{side}{part}" for side in ("", ":left", ":right", ":both") for part in ("", ":oneway", ":lane")]
+    odd = F.exists(F.map_keys(tags), lambda k: k.startswith("cycleway") & ~k.isin(*usual))
+    doubled = F.lit(False)
+    for part in ("", ":oneway", ":lane"):
+        doubled = doubled | (has(tags, f"cycleway{part}") & has(tags, f"cycleway:both{part}"))
+
+    def of(side: str) -> tuple[Column, Column, Column]:
+        get = lambda part: F.coalesce(tag(tags, f"cycleway:{side}{part}"), tag(tags, f"cycleway{part}")) if side == "both" else tag(tags, f"cycleway:{side}{part}")
+        plain = get("")
+        return F.when(plain != "no", plain), F.concat(F.lit("oneway="), get(":oneway")), get(":lane")
+
+    right, left, both = of("right"), of("left"), of("both")
+    own, other = (right, left) if forward else (left, right)
+    some = lambda s: F.coalesce(*s).isNotNull()
+    pack = lambda s: F.struct(s[0].alias("plain"), F.when(s[1] != "oneway=no", s[1]).alias("way"), s[2].alias("lane"))
+    chosen = F.when(some(own), pack(own)).when(some(both), pack(both)).when(eq(other[1], "oneway=no"), pack(other))
+
+    def named(s: Column) -> Column:
+        base, lane = F.coalesce(s["plain"], s["way"]), s["lane"]
+        return F.when(s["plain"].isNotNull() & s["way"].isNotNull(), "?").when(lane.isNull(), base).otherwise(F.coalesce(F.concat(base, F.lit("="), lane), F.concat(F.lit("lane="), lane)))
+
+    fast = let(let(chosen, named), lambda k: F.when(k.isNull(), 0).otherwise(F.coalesce(lookup(k, words_of(INFRA_CLASS)), F.lit(1))))
+    return F.when(~odd & ~doubled, fast).otherwise(_parsed_infra(tags, forward))
+
+
+def _parsed_infra(tags: Column, forward: bool) -> Column:
+    """bike_infra() for any cycleway keys, whatever the order of their parts."""
 
     def parse(e: Column) -> Column:
         parts = F.array_distinct(F.split(e["key"], ":"))
@@ -192,8 +228,8 @@ def force_dismount(tags: Column) -> Column:
     return flag(is_in(tag(tags, "bicycle"), "no", "dismount") | F.coalesce((c == "no") | c.startswith("no "), F.lit(False)))
 
 
-def motor_allowed(tags: Column) -> Column:
-    return flag(~cycle_type(tags).isin(0, 1))
+def motor_allowed(tags: Column, kind: Column | None = None) -> Column:
+    return flag(~(cycle_type(tags) if kind is None else kind).isin(0, 1))
 
 
 def oneway(tags: Column) -> Column:
@@ -288,9 +324,9 @@ def is_service(tags: Column) -> Column:
     return flag(_kind_in(tags, "service") & is_in(tag(tags, "service"), "alley", "parking_aisle", "driveway"))
 
 
-def is_upgradeable(tags: Column) -> Column:
+def is_upgradeable(tags: Column, access: Column | None = None) -> Column:
     hw = tag(tags, "highway")
-    return flag(~(is_in(hw, "service", "track", "steps") | eq(tag(tags, "route"), "ferry") | (is_service(tags) == 1) | (bike_access(tags) == 2)))
+    return flag(~(is_in(hw, "service", "track", "steps") | eq(tag(tags, "route"), "ferry") | (is_service(tags) == 1) | ((bike_access(tags) if access is None else access) == 2)))
 
 
 def sidewalk(tags: Column) -> Column:
@@ -391,6 +427,19 @@ def both_ways(tags: Column, name: str) -> list[Column]:
     return [f.alias(f"fwd_{name}"), b.alias(f"bwd_{name}"), flag(same).alias(f"equ_{name}"), F.when(same, f).otherwise(differ).alias(f"vis_{name}")]
 
 
-def road_attributes(tags: Column) -> list[Column]:
-    """All properties of RULES and DIRECTED."""
-    return [build(tags).alias(name) for name, build in RULES.items()] + [c for name in DIRECTED for c in both_ways(tags, name)]
+def road_attributes(roads: DataFrame, tags: str = "tags") -> DataFrame:
+    """``roads`` with all properties of RULES and DIRECTED in place of its tag map.
+
+    Three projections, so that what others build on is computed once: directed values and the cycling class, then
+    access and the comparisons of directions, then what depends on access.
+    """
+    t = F.col(tags)
+    later = {"bike_access": lambda t: bike_access(t, F.col("cycle_type")), "motor_allowed": lambda t: motor_allowed(t, F.col("cycle_type"))}
+    first = {n: b(t) for n, b in RULES.items() if n not in later and n != "is_upgradeable"}
+    first |= {f"{d}_{n}": b(t, d == "fwd") for n, (b, _) in DIRECTED.items() for d in ("fwd", "bwd")}
+    out = roads.withColumns(first)
+    second = {n: b(t) for n, b in later.items()}
+    for n, (_, differ) in DIRECTED.items():
+        f, b = F.col(f"fwd_{n}"), F.col(f"bwd_{n}")
+        second |= {f"equ_{n}": flag(f.eqNullSafe(b)), f"vis_{n}": F.when(f.eqNullSafe(b), f).otherwise(differ)}
+    return out.withColumns(second).withColumn("is_upgradeable", is_upgradeable(t, F.col("bike_access"))).drop(tags)

@@ -109,7 +109,7 @@ c AS (SELECT *, CASE WHEN (fl > 2 AND fn < 3) OR (fl = 0 AND fn = 1) THEN 1 ELSE
 
 
 def _stress(spark, sf):
-    roads = D.ways(spark, sf).select("way_id", *T.road_attributes(F.col("tags")))
+    roads = T.road_attributes(D.ways(spark, sf))
     return U.stress_table(roads.withColumns({"fwd_best_infra": F.col("fwd_osm_infra"), "bwd_best_infra": F.col("bwd_osm_infra")}))
 
 

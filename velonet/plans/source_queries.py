@@ -40,7 +40,7 @@ def cell_types(spark, sf):
 
 def road_attributes(spark, sf):
     """The whole attribute table, summed up by cycling class."""
-    t = D.ways(spark, sf).select("way_id", *T.road_attributes(F.col("tags")))
+    t = T.road_attributes(D.ways(spark, sf))
     return t.groupBy("cycle_type").agg(F.count(F.lit(1)).alias("n"), F.sum("has_houses").alias("has_houses"), F.sum("is_service").alias("is_service"), F.sum("sidewalk").alias("sidewalk"))
 
 

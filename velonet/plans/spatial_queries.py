@@ -197,7 +197,7 @@ def census_counts(spark, sf):
 @query("x23_conflation")
 def conflation(spark, sf):
     """Short ways with even numbers stand for imported bikeways, all short ways for streets; tested on a fixture."""
-    s = segments(spark, sf).filter("len < 4000")
+    s = segments(spark, sf).filter("len < 1500")
     bikeways = s.filter("line % 10 = 0").withColumn("infra", (F.col("line") % 5 + 1).cast("int"))
     return S.conflate(bikeways, s.withColumn("one_way", (F.col("line") % 2).cast("int")))
 
