@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -265,6 +265,37 @@ def _kept(window: int, texts: bool):
     return run
 
 
+#: Bits of the filter that tells tasks which documents can be left where they are: 2 MB, whatever the size of the corpus.
+FILTER_BITS = 24
+
+
+def _place(doc: Column) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS))
+
+
+def _listed(ids: DataFrame, column: str):
+    """A test (doc_id, place) -> whether the document may be among ``ids``; false alarms only grow with the ids.
+
+    The bits are set by bitmap aggregates, 4 kB for each 32,768 places, so what is collected and sent has a fixed size.
+    """
+    place = _place(F.col(column))
+    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = {r["bucket"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in rows}
+    sent = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def may_hold(bucket: pd.Series, at: pd.Series) -> pd.Series:
+        out = np.zeros(len(bucket), bool)
+        for b in bucket.unique().tolist():
+            if b in sent.value:
+                own = (bucket == b).to_numpy()
+                p = at.to_numpy()[own]
+                out[own] = sent.value[b][p // 8] >> (p % 8).astype(np.uint8) & 1
+        return pd.Series(out)
+
+    return lambda doc: may_hold(F.bitmap_bucket_number(_place(doc)), F.bitmap_bit_position(_place(doc)))
+
+
 def dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256[, kept_text]), one for each row of ``docs`` (doc_id, text).
 
@@ -275,15 +306,16 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     word positions found repeated in one are removed from each. An empty table gives no rows; further columns are
     ignored.
 
-    Whole texts cross the network once, to meet their shared anchors; only those that have one are kept for the rest.
+    Only texts with a shared anchor cross the network, to meet their anchors; a filter of fixed size lets the others stay.
     """
     period = pick_period(window)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.raw_text().alias("raw"))
     named = rows.filter("doc_id is not null")
     anchors = named.mapInPandas(_anchor_rows(window, period), "k long, t long, doc long, pos int").repartition(n, "k").sortWithinPartitions("k")
-    shared = anchors.mapInPandas(_shared_anchors, "doc long, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    near = common.materialize(named.join(shared.hint("shuffle_merge"), named["doc_id"] == shared["doc"]).select("doc_id", "raw", "at"))
+    shared = common.materialize(anchors.mapInPandas(_shared_anchors, "doc long, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at")))
+    moved = named.filter(_listed(shared, "doc")(F.col("doc_id")))
+    near = common.materialize(moved.join(shared.hint("shuffle_merge"), moved["doc_id"] == shared["doc"]).select("doc_id", "raw", "at"))
     cut = near.mapInPandas(_window_rows(window, period), "a long, b int, doc long, pos int, len int")
     cut = cut.repartition(n, "a", "b").sortWithinPartitions("a", "b", "doc")
     gone = cut.mapInPandas(_later_windows, "doc long, pos int, len int").groupBy("doc").agg(F.collect_list("pos").alias("runs_at"), F.collect_list("len").alias("runs"))
