@@ -49,6 +49,6 @@ ORACLES = {
     "s18_config_lines": "SELECT 'KEY_' || (o_orderkey % 50) AS key, 'path/of ' || o_orderkey AS rest FROM orders",
     "s13_json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "k06_web_polylines": f"WITH {BASE} SELECT way_id, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(CASE WHEN y > 0 THEN 1 - y ELSE 0 END) AS BIGINT) AS sy FROM pts GROUP BY way_id",
-    "s09_bounds_header": "SELECT c_custkey AS id, c_custkey % 90 + 0.5 AS minlat, -(c_custkey % 180) - 0.25 AS minlon FROM customer",
+    "s09_bounds_header": "SELECT c_custkey AS id, CAST(c_custkey % 90 + 0.5 AS DOUBLE) AS minlat, CAST(-(c_custkey % 180) - 0.25 AS DOUBLE) AS minlon FROM customer",
     "s11_cell_types": "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'int' WHEN 1 THEN 'float' ELSE 'str' END AS kind FROM orders",
 }

@@ -135,7 +135,7 @@ def sample_centred(spark, sf):
     return got.groupBy("line").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.min("pos"), 3).alias("first_pos"))
 
 
-@query("x15_area_centroid", f"WITH {WORKS} SELECT site_id AS poly, round(2 * 800.5 * 600.25, 3) AS area, round(CAST(x AS DOUBLE), 3) AS cx, round(CAST(y AS DOUBLE), 3) AS cy FROM works")
+@query("x15_area_centroid", f"WITH {WORKS} SELECT site_id AS poly, CAST(round(2 * 800.5 * 600.25, 3) AS DOUBLE) AS area, round(CAST(x AS DOUBLE), 3) AS cx, round(CAST(y AS DOUBLE), 3) AS cy FROM works")
 def area(spark, sf):
     mean = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c), 3)
     return _diamonds(spark, sf).select("poly", F.round(A.shoelace(F.col("xs"), F.col("ys")), 3).alias("area"), mean("xs").alias("cx"), mean("ys").alias("cy"))

@@ -119,9 +119,9 @@ def coordinate_code(spark, sf):
     return D.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), X.chars64((F.col("c_custkey") * 104729) % 16000000).alias("code"))
 
 
-@query("c23_clean_values", """SELECT o_orderkey AS id, list_transform(string_split(replace(replace(lower('Asphalt_;' || o_orderstatus || '/unpved'), ';', ','), '/', ','), ','), lambda x: CASE trim(trim(x), '_') WHEN 'unpved' THEN 'unpaved' ELSE trim(trim(x), '_') END) AS vals FROM orders""")
+@query("c23_clean_values", """SELECT o_orderkey AS id, array_to_string(list_transform(string_split(replace(replace(lower('Asphalt_;' || o_orderstatus || '/unpved'), ';', ','), '/', ','), ','), lambda x: CASE trim(trim(x), '_') WHEN 'unpved' THEN 'unpaved' ELSE trim(trim(x), '_') END), ',') AS vals FROM orders""")
 def clean_values(spark, sf):
-    return D.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), T.clean_values(F.concat(F.lit("Asphalt_;"), "o_orderstatus", F.lit("/unpved")), {"unpved": "unpaved"}).alias("vals"))
+    return D.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(T.clean_values(F.concat(F.lit("Asphalt_;"), "o_orderstatus", F.lit("/unpved")), {"unpved": "unpaved"}), ",").alias("vals"))
 
 
 @query("c20_building_type", f"""SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN 'R' WHEN 1 THEN 'C' WHEN 2 THEN 'P' WHEN 3 THEN 'R' WHEN 4 THEN '?' WHEN 5 THEN 'X' WHEN 6 THEN 'W' ELSE 'C' END AS kind,
@@ -135,7 +135,7 @@ def building_type(spark, sf):
     return D.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), kind.alias("kind"), T.building_use(kind).alias("use"))
 
 
-@query("c21_building_height", """SELECT p_partkey AS id, round(CASE p_partkey % 4 WHEN 0 THEN 3.2 WHEN 1 THEN greatest(3.2, p_size) WHEN 2 THEN greatest(3.2, p_size * 0.304) ELSE greatest(3.2, p_size + 0.5) END, 4) AS height FROM part""")
+@query("c21_building_height", """SELECT p_partkey AS id, CAST(round(CASE p_partkey % 4 WHEN 0 THEN 3.2 WHEN 1 THEN greatest(3.2, p_size) WHEN 2 THEN greatest(3.2, p_size * 0.304) ELSE greatest(3.2, p_size + 0.5) END, 4) AS DOUBLE) AS height FROM part""")
 def building_height(spark, sf):
     k, s = F.col("p_partkey") % 4, F.col("p_size").cast("string")
     h = F.when(k == 1, F.concat(s, F.lit(" m"))).when(k == 2, F.concat(s, F.lit("'"))).when(k == 3, F.concat(s, F.lit(".5")))
@@ -166,7 +166,7 @@ def theme_extract(spark, sf):
     return D.way_nodes(spark, sf).groupBy("node_id").agg(F.count(F.lit(1)).alias("uses")).filter("uses >= 3")
 
 
-@query("s19_profiles", "SELECT * FROM (VALUES ('Work', -1, 10.0), ('Work', 0, 6.0), ('Work', 1, 18.0), ('Work', 2, 15.0), ('Work', 3, 10.0), ('Work', 4, 4.0)) t(profile, lts, kph)")
+@query("s19_profiles", "SELECT profile, lts, CAST(kph AS DOUBLE) AS kph FROM (VALUES ('Work', -1, 10.0), ('Work', 0, 6.0), ('Work', 1, 18.0), ('Work', 2, 15.0), ('Work', 3, 10.0), ('Work', 4, 4.0)) t(profile, lts, kph)")
 def profiles(spark, sf):
     return spark.createDataFrame([(WORK.name, k, float(v)) for k, v in WORK.kph.items()], "profile string, lts int, kph double")
 
@@ -207,9 +207,9 @@ def way_boxes(spark, sf):
     return p.select("way_id", F.array_min("xs").alias("l"), F.array_max("xs").alias("r"), F.array_min("ys").alias("b"), F.array_max("ys").alias("t"), F.round(r, 4).alias("radius"))
 
 
-@query("m05_array_tools", """SELECT o_custkey AS id, list_sort(list_distinct(list(o_orderkey % 7))) AS uniq, count(*) AS n FROM orders GROUP BY o_custkey""")
+@query("m05_array_tools", """SELECT o_custkey AS id, array_to_string(list_sort(list_distinct(list(o_orderkey % 7))), ',') AS uniq, count(*) AS n FROM orders GROUP BY o_custkey""")
 def array_tools(spark, sf):
-    return D.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(A.sorted_unique(F.collect_list(F.col("o_orderkey") % 7)).alias("uniq"), F.count(F.lit(1)).alias("n"))
+    return D.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.array_join(A.sorted_unique(F.collect_list(F.col("o_orderkey") % 7)).cast("array<string>"), ",").alias("uniq"), F.count(F.lit(1)).alias("n"))
 
 
 @query("m06_mean_std", f"WITH s AS ({D.SAMPLES_SQL}) SELECT cell, round(avg(CASE WHEN NOT isnan(v) THEN v END), 6) AS mean, round(stddev_pop(CASE WHEN NOT isnan(v) THEN v END), 5) AS std FROM s GROUP BY cell")
@@ -235,7 +235,7 @@ def turns(spark, sf):
 
 
 @query("m10_slope_codes", f"""SELECT o_orderkey AS id, CASE WHEN rise IS NULL THEN -127 ELSE CAST(trunc(greatest(-6.5, least(6.5, 100 * rise / run))) AS INTEGER) END AS percent,
-  CASE WHEN rise IS NOT NULL THEN ({list(SLOPE_PENALTY)!r})[12 + CAST(trunc(greatest(-11.0, least(11.0, 100 * rise / run))) AS INTEGER)] END AS penalty
+  CAST(CASE WHEN rise IS NOT NULL THEN ({list(SLOPE_PENALTY)!r})[12 + CAST(trunc(greatest(-11.0, least(11.0, 100 * rise / run))) AS INTEGER)] END AS DOUBLE) AS penalty
   FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey % 31 - 15 AS DOUBLE) END AS rise, CAST(80 + o_orderkey % 50 AS DOUBLE) AS run FROM orders)""")
 def slope_codes(spark, sf):
     k = F.col("o_orderkey")
