@@ -24,12 +24,19 @@ def core_stress(cycle_type: Column, infra: Column, kph: Column, lanes: Column, p
     )
 
 
+def raised(core: Column, infra: Column, access: Column) -> Column:
+    """A path with infrastructure or express access is ridden, not walked."""
+    return F.when((core == 0) & ((infra > 0) | (access == 3)), 1).otherwise(core)
+
+
+def settled(level: Column, access: Column, passage: Column, dismount: Column) -> Column:
+    """Dismounting turns riding into walking; closed ways, ferries and unclear cases have levels of their own."""
+    return F.when(access == 2, 5).when(passage == ord("f"), 10).when((level == 1) & ((dismount == 1) | (access == 1)), 0).when(level == -1, 3).otherwise(level)
+
+
 def stress(access: Column, passage: Column, cycle_type: Column, infra: Column, kph: Column, lanes: Column, parking: Column, residential: Column, dismount: Column) -> Column:
     """Level of traffic stress: 0 on foot, 1 to 4, 5 closed, 10 ferry."""
-    core = core_stress(cycle_type, infra, kph, lanes, parking, residential)
-    raised = F.when((core == 0) & ((infra > 0) | (access == 3)), 1).otherwise(core)
-    lowered = F.when((raised == 1) & ((dismount == 1) | (access == 1)), 0).otherwise(raised)
-    return F.when(access == 2, 5).when(passage == ord("f"), 10).when(lowered == -1, 3).otherwise(lowered)
+    return settled(raised(core_stress(cycle_type, infra, kph, lanes, parking, residential), infra, access), access, passage, dismount)
 
 
 def stress_table(roads: DataFrame) -> DataFrame:
@@ -39,15 +46,16 @@ def stress_table(roads: DataFrame) -> DataFrame:
     """
     c = F.col
 
-    def level(d: str, infra: Column) -> Column:
-        return stress(c("bike_access"), c("passage_type"), c("cycle_type"), infra, c(f"{d}_speed_limit_kph"), F.coalesce(c(f"{d}_num_lanes"), F.lit(2.0)), c(f"{d}_street_parking"), c("is_residential"), c(f"{d}_force_dismount"))
+    def levels(df: DataFrame, infra: dict[str, Column]) -> DataFrame:
+        """Columns of stress levels, in projections of their own, so that each step is computed once."""
+        core = {n: core_stress(c("cycle_type"), i, c(f"{n[:3]}_speed_limit_kph"), F.coalesce(c(f"{n[:3]}_num_lanes"), F.lit(2.0)), c(f"{n[:3]}_street_parking"), c("is_residential")) for n, i in infra.items()}
+        df = df.withColumns(core)
+        df = df.withColumns({n: raised(c(n), i, c("bike_access")) for n, i in infra.items()})
+        return df.withColumns({n: settled(c(n), c("bike_access"), c("passage_type"), c(f"{n[:3]}_force_dismount")) for n in infra})
 
-    out = roads
-    for d in ("fwd", "bwd"):
-        out = out.withColumn(f"{d}_lts", level(d, c(f"{d}_best_infra")))
-    for d in ("fwd", "bwd"):
-        now = c(f"{d}_lts")
-        out = out.withColumn(f"{d}_lts_lane", F.when(now == 0, 1).when(now.isin(2, 3, 4), level(d, F.greatest(F.lit(3), c(f"{d}_best_infra")))).otherwise(now))
+    out = levels(roads, {f"{d}_lts": c(f"{d}_best_infra") for d in ("fwd", "bwd")})
+    out = levels(out, {f"{d}_lts_lane": F.greatest(F.lit(3), c(f"{d}_best_infra")) for d in ("fwd", "bwd")})
+    out = out.withColumns({f"{d}_lts_lane": F.when(c(f"{d}_lts") == 0, 1).when(c(f"{d}_lts").isin(2, 3, 4), c(f"{d}_lts_lane")).otherwise(c(f"{d}_lts")) for d in ("fwd", "bwd")})
     for d in ("fwd", "bwd"):
         now, lane = c(f"{d}_lts"), c(f"{d}_lts_lane")
         out = out.withColumns({
