@@ -52,7 +52,7 @@ BUILDING_CLASS = {
     "P": "dentist museum doctors arts_centre sports clinic courthouse theatre public_building recreational music_school stadium library events_venue animal_shelter culture_center police veterinary conference_centre toilets childcare community_centre tourism takeaway sport social_facility social_facility:for leisure healthcare:speciality healthcare public_library gallery sports_centre recreation_centre gym public school university civic hospital hotel college kindergarten social_facility prison social_centre motel train_station",
     "S": "post_depot bicycle_parking gatehouse recycling waste_transfer_station aeroway storage utility railway_station hangar warehouse shed service barn parking greenhouse garage bleachers bunker hut stable storage_tank pavilion transportation construction garages gazebo silo",
     "0": "shrine place_of_worship parish_hall monastery denomination church convent mosque cathedral roof military embassy temple canopy synagogue chapel",
-    "?": "carport porch patio bandstand tower riding_hall user defined ter3 grandstand religious",
+    "?": "carport porch patio bandstand tower riding_hall ter3 grandstand religious",
     "X": "no vacant portable abandoned collapsed ruins construction recreation_ground quarry reservoir allotments landfill churchyard railway garages",
 }
 FEET_M, LEVEL_M, MPH_KPH = 0.304, 3.2, 1.609
@@ -354,7 +354,7 @@ def layered(tags: Column) -> Column:
 
 
 def building_type(tags: Column) -> Column:
-    table = words_of(BUILDING_CLASS)
+    table = words_of(BUILDING_CLASS) | {"user defined": "?"}
     bt = F.lower(F.coalesce(tag(tags, "building"), tag(tags, "building:part"), F.lit("no")))
     amenity = F.nullif(tag(tags, "amenity"), F.lit(""))
     classes = F.array_distinct(F.filter(F.transform(F.map_keys(tags), lambda k: lookup(k, table)), lambda c: c.isNotNull()))
@@ -443,3 +443,29 @@ def road_attributes(roads: DataFrame, tags: str = "tags") -> DataFrame:
         f, b = F.col(f"fwd_{n}"), F.col(f"bwd_{n}")
         second |= {f"equ_{n}": flag(f.eqNullSafe(b)), f"vis_{n}": F.when(f.eqNullSafe(b), f).otherwise(differ)}
     return out.withColumns(second).withColumn("is_upgradeable", is_upgradeable(t, F.col("bike_access"))).drop(tags)
+
+
+def draw_speed(tags: Column, lts: Column, speeds: dict[int, float]) -> Column:
+    """Share of the top speed at a stress level, just under 1 where the road does not slow a rider down."""
+    return (bike_speed(lts, clamp_speed(tags), speeds) - 0.001) / speeds[1]
+
+
+def draw_highway_type(tags: Column) -> Column:
+    """Colour value of the cycling class: 0 for cycling, shares for unclear ways, -1 for the rest."""
+    ct = cycle_type(tags)
+    return F.when(ct < 0, -ct / 8.00001).when(ct == 1, 0.0).otherwise(-1.0)
+
+
+def stress_from_tags(tags: Column) -> Column:
+    """Stress level straight from the tags, without imported infrastructure; service ways of mixed traffic are level 2."""
+    ct, ms, la = cycle_type(tags), max_speed(tags, True), F.coalesce(num_lanes(tags, True), F.lit(2.0))
+    lane, home = has_cycle_lane(tags), is_residential(tags) == 1
+    ps = ms + 10 * street_parking(tags)
+    return (
+        F.when(~ct.isin(2, 3, 4), ct)
+        .when((lane & (ps > 65)) | (~lane & ((la > 5) | ((la > 3) & (ms <= 50)) | (ms > 50))), 4)
+        .when(lane & (ps <= 40) & home, 1)
+        .when(lane, F.when((la > 2) | ~home | (ms > 50), 3).otherwise(2))
+        .when(is_service(tags) == 1, 2)
+        .otherwise(F.when((la < 3) & home, 2).otherwise(3))
+    )

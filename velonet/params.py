@@ -34,12 +34,15 @@ class Profile:
 
     def mps(self) -> dict[int, float]:
         """Level -> metres a second. Levels without a speed are closed: practically infinite cost."""
-        return {k: v / 3.6 for k, v in self.kph.items()} | {k: 1e-20 for k in range(5, 11)}
+        return {k: v / 3.6 or 1e-20 for k, v in self.kph.items()} | {k: 1e-20 for k in range(5, 11)}
 
 
 WORK = Profile("Work", {-1: 10, 0: 6, 1: 18, 2: 15, 3: 10, 4: 4})
 SUPER = Profile("Super", {k: 18 for k in range(-1, 5)})
-PROFILES = {p.name: p for p in (WORK, SUPER)}
+SCHOOL = Profile("School", {-1: 0, 0: 4, 1: 10, 2: 5, 3: 0, 4: 0}, 0.0, 15.0)
+HIGHSCHOOL = Profile("Highschool", {-1: 12, 0: 6, 1: 16, 2: 12, 3: 6, 4: 0}, 0.0, 30.0)
+UNIVERSITY = Profile("University", {-1: 15, 0: 6, 1: 18, 2: 15, 3: 10, 4: 4}, 0.0, 30.0)
+PROFILES = {p.name: p for p in (WORK, SUPER, SCHOOL, HIGHSCHOOL, UNIVERSITY)}
 
 #: Relative slowdown by slope in percent, from -11 to 11.
 SLOPE_PENALTY = [8.0, 8.0] + [0.0] * 11 + [0.37, 0.37, 1.2, 1.2, 3.2, 3.2, 3.2, 3.2, 8.0, 8.0]

@@ -137,6 +137,14 @@ RULES: dict[str, Rule] = {
         {"has_name": T.has_name, "is_area": T.is_area, "sidewalk": T.sidewalk, "bicycle_road": T.bicycle_road},
         {"has_name": "CAST(name IS NOT NULL AS INTEGER)", "is_area": "CAST(coalesce(area = 'yes', false) AS INTEGER)", "sidewalk": 'CAST("sidewalk:left" IS NOT NULL AS INTEGER)', "bicycle_road": "CAST(bicycle_road IS NOT NULL AS INTEGER)"},
     ),
+    "c18_stress_from_tags": (
+        {"lts": T.stress_from_tags},
+        {"lts": f"""(CASE WHEN {CYCLE_TYPE} NOT IN (2, 3, 4) THEN {CYCLE_TYPE}
+          WHEN ({LANE} AND {SPEED[True]} + 10 * {PARKING} > 65) OR (NOT {LANE} AND (coalesce({LANES[True]}, 2.0) > 5 OR (coalesce({LANES[True]}, 2.0) > 3 AND {SPEED[True]} <= 50) OR {SPEED[True]} > 50)) THEN 4
+          WHEN {LANE} AND {SPEED[True]} + 10 * {PARKING} <= 40 AND {RESIDENTIAL} = 1 THEN 1
+          WHEN {LANE} THEN CASE WHEN coalesce({LANES[True]}, 2.0) > 2 OR {RESIDENTIAL} = 0 OR {SPEED[True]} > 50 THEN 3 ELSE 2 END
+          WHEN {SERVICE} = 1 THEN 2 ELSE CASE WHEN coalesce({LANES[True]}, 2.0) < 3 AND {RESIDENTIAL} = 1 THEN 2 ELSE 3 END END)"""},
+    ),
     "c19_bike_speed": (
         {"work_mps": lambda t: F.round(T.bike_speed(T.cycle_type(t), T.clamp_speed(t), {0: 6 / 3.6, 1: 5.0, 2: 15 / 3.6, 3: 10 / 3.6, 4: 4 / 3.6, 5: 0.0, -1: 0.0}), 6)},
         {"work_mps": f"round(least({_case(CYCLE_TYPE, {0: 6 / 3.6, 1: 5.0, 2: 15 / 3.6, 3: 10 / 3.6, 4: 4 / 3.6, 5: 0.0, -1: 0.0})}, {CLAMP} / 3.6), 6)"},
