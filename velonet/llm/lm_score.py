@@ -1,8 +1,12 @@
 """Operator 10, LM scoring: cross-entropy difference of matched target and background bigram models.
 
 Both models share one vocabulary, order and smoothing; the larger side's counts are scaled to the smaller side's tokens,
-so neither is the smoother one for its size alone. All words of both corpora are counted. The models have a fixed size:
-MOST_WORDS words, and bigram counts in SLOTS hashed slots, bounded above by the counts of their words.
+so neither is the smoother one for its size alone. Every word and every bigram of both corpora is counted; the counts are
+distributed tables that grow with the corpora. Words and bigrams are told apart by 64-bit hashes.
+
+Bigrams of each text are counted inside its task and dealt out by bigram once; there their counts in both corpora are
+summed up, and the bits of each text's share go back to the text. Counts of the HOT_WORDS most frequent words go to the
+tasks with the function, so that they are never a join key; those of all other words are joined.
 """
 
 from __future__ import annotations
@@ -10,36 +14,33 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of the shared vocabulary: the most frequent of those that both corpora have; all others are one unknown word.
-MOST_WORDS = 1 << 14
-#: Slots of bigram counts (as a power of two), and the share of the bigram estimate in the interpolated model.
-SLOT_BITS, SHARE = 20, 0.5
-#: Slots that travel together to the driver.
-BLOCK = 4096
+#: Words whose counts are sent along, at most; all others are joined.
+HOT_WORDS = 1 << 20
+#: Share of the bigram estimate in the interpolated model.
+SHARE = 0.5
 UNKNOWN, BEGIN = 0, 1
+#: What stands before the first word of a text.
+BEGIN_HASH = np.uint64(1)
 #: Distinct words a task counts before it hands them on.
 MOST_COUNTED = 300_000
+#: Both sides' counts of a word travel in one number, the target's above these bits.
+SIDE_BITS = 31
 
 
-class Ids(dict):
-    """word -> id in the vocabulary, UNKNOWN for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return UNKNOWN
-
-
-def slots(ids: np.ndarray) -> np.ndarray:
-    """Slot of every bigram (ids[i-1], ids[i])."""
-    pair = ids[:-1].astype(np.uint64) * np.uint64(1 << 32) + ids[1:].astype(np.uint64)
-    return (common.mix(pair) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _hash(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))
 
 
 def _texts(target: DataFrame, background: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def rows(side: bool) -> pd.DataFrame:
         n = list(seen[side].values())
-        out = pd.DataFrame({"word": list(seen[side]), "t": n if side else [0] * len(n), "b": [0] * len(n) if side else n})
+        out = pd.DataFrame({"word": common.signed(_hash(list(seen[side]))), "t": n if side else [0] * len(n), "b": [0] * len(n) if side else n})
         seen[side].clear()
         return out
 
@@ -66,94 +67,136 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows(side)
 
 
-def _count_bigrams(words: dict[bytes, int]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Ids(words.value)
-        total = {True: np.zeros(1 << SLOT_BITS, np.int64), False: np.zeros(1 << SLOT_BITS, np.int64)}
-        for batch in common.chunks(batches, "raw", 4_000_000):
-            for side in (True, False):
-                own = batch["raw"][batch["target"] == side]
-                if len(own):
-                    got = [slots(np.fromiter(map(ids.__getitem__, w), np.int64, len(w))) for w in ([None, *raw.split()] for raw in own)]
-                    total[side] += np.bincount(np.concatenate(got), minlength=1 << SLOT_BITS)
-        used = np.flatnonzero(total[True] + total[False])
-        for a in range(0, len(used), 100_000):
-            part = used[a : a + 100_000]
-            yield pd.DataFrame({"slot": part.astype(np.int32), "t": total[True][part], "b": total[False][part]})
-
-    return run
-
-
-@dataclass(frozen=True)
-class Models:
-    """Vocabulary, and of target and background: counts of words and of bigram slots, and word probabilities."""
-
-    words: dict[bytes | None, int]
-    unigrams: tuple[np.ndarray, np.ndarray]
-    bigrams: tuple[np.ndarray, np.ndarray]
-    single: tuple[np.ndarray, np.ndarray]
-
-    def losses(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Bits of each token after the first id (BEGIN) under either model."""
-        where, before, now = slots(ids), ids[:-1], ids[1:]
-        out = []
-        for one, two, p1 in zip(self.unigrams, self.bigrams, self.single, strict=True):
-            c = np.minimum(two[where], np.minimum(one[before], one[now]))
-            out.append(-np.log2(SHARE * c / np.maximum(one[before], 1) + (1 - SHARE) * p1[now]))
-        return out
-
-
 def _least_count(counted: DataFrame) -> float:
-    """The lowest count of the words that enter the vocabulary: as low as MOST_WORDS allow, in steps of a 32nd power of 2."""
+    """The count above which words are hot: as low as HOT_WORDS allow, in steps of a 32nd power of 2."""
     step = F.ceil(F.log2(F.col("t") + F.col("b")) * 32).cast("int")
     seen = sorted(((r["step"], r["n"]) for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
     total, least = 0, float("inf")
     for s, n in seen:
         total += n
-        if total > MOST_WORDS:
+        if total > HOT_WORDS:
             break
         least = 2.0 ** ((s - 1) / 32)
     return least
 
 
-def _packed(part: pd.DataFrame) -> pd.DataFrame:
-    """Counts of one block of slots as two arrays of 32-bit floats."""
-    out = np.zeros((2, BLOCK), "<f4")
-    at = part["slot"].to_numpy() % BLOCK
-    out[0, at], out[1, at] = part["t"].to_numpy(), part["b"].to_numpy()
-    return pd.DataFrame({"block": [int(part["slot"].iloc[0]) // BLOCK], "t": [out[0].tobytes()], "b": [out[1].tobytes()]})
+@dataclass(frozen=True)
+class Models:
+    """Both corpora, the table (word, t, b) of all words' counts, hot words' hashes and counts, and the corpora's sizes.
+
+    ``tokens``, ``texts`` are those of target and background. The properties bring whole models to the driver, for a
+    look at small ones; scoring does without them.
+    """
+
+    target: DataFrame
+    background: DataFrame
+    counted: DataFrame
+    n_words: int
+    tokens: tuple[int, int]
+    texts: tuple[int, int]
+    hot: Broadcast
+
+    @cached_property
+    def _table(self) -> pd.DataFrame:
+        return self.counted.toPandas().sort_values("word", ignore_index=True)
+
+    @property
+    def words(self) -> dict[bytes | None, int]:
+        """The target's words (None: the begin of a text) and their places in the other properties."""
+        place = {h: i + 2 for i, h in enumerate(self._table["word"].tolist())}
+        own = sorted({w for r in self.target.select(common.raw_text().alias("raw")).collect() for w in bytes(r["raw"]).split()})
+        return {None: BEGIN} | {w: place[h] for w, h in zip(own, common.signed(_hash(own)).tolist(), strict=True)}
+
+    @property
+    def unigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.r_[0.0, float(n), self._table[c].to_numpy(np.float64)] for c, n in zip("tb", self.texts, strict=True))
+
+    @property
+    def single(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple((one * self.scale(side) + 0.5) / self.mass(side) for side, one in enumerate(self.unigrams))
+
+    def scale(self, side: int) -> float:
+        """What brings the counts of a side down to the smaller side's tokens."""
+        return (min(self.tokens) or 1) / self.tokens[side] if self.tokens[side] else 1.0
+
+    def mass(self, side: int) -> float:
+        """Scaled tokens of a side, and a half for each word and for unknown ones."""
+        return self.tokens[side] * self.scale(side) + 0.5 * (self.n_words + 1)
 
 
 def train(target: DataFrame, background: DataFrame) -> Models:
-    """Count all texts of both corpora (column ``text``). What comes to the driver has the models' fixed size."""
-    spark = target.sparkSession
+    """Count all words of both corpora (column ``text``). Hot words and a few sums are all that comes to the driver."""
     texts = _texts(target, background)
-    counted = texts.mapInPandas(_count_words, "word binary, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    counted = texts.mapInPandas(_count_words, "word long, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
     counted = common.materialize(counted)
-    common_words = counted.filter("t > 0 and b > 0")
-    top = common_words.filter(F.col("t") + F.col("b") > _least_count(common_words)).toPandas().sort_values("word", ignore_index=True)
-    whole = counted.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
-    texts_in = {r["target"]: r["n"] for r in texts.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
-    words: dict[bytes | None, int] = {bytes(w): i + 2 for i, w in enumerate(top["word"])}
-    words[None] = BEGIN
-    unigrams = []
-    for name, n, side in (("t", whole[0], True), ("b", whole[1], False)):
-        own = top[name].to_numpy(np.float64)
-        unigrams.append(np.r_[n - own.sum(), float(texts_in.get(side, 0)), own])
-    slot_counts = texts.mapInPandas(_count_bigrams(spark.sparkContext.broadcast(words)), "slot int, t long, b long").groupBy("slot").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    blocks = slot_counts.groupBy(F.floor(F.col("slot") / BLOCK)).applyInPandas(_packed, "block int, t binary, b binary").collect()
-    bigrams = []
-    for name in ("t", "b"):
-        full = np.zeros(1 << SLOT_BITS, np.float32)
-        for row in blocks:
-            full[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row[name], "<f4")
-        bigrams.append(full)
-    least = min(whole) or 1
-    single = []
-    for one, n in zip(unigrams, whole, strict=True):
-        scaled = one * (least / n if n else 1.0) + 0.5
-        single.append(scaled / (scaled.sum() - scaled[BEGIN]))
-    return Models(words, tuple(unigrams), tuple(bigrams), tuple(single))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    n, t, b, most = counted.agg(F.count(F.lit(1)), none(F.sum("t")), none(F.sum("b")), none(F.max(F.greatest("t", "b")))).first()
+    if most >> SIDE_BITS:
+        raise OverflowError(f"a word's count, {most}, takes more than {SIDE_BITS} bits")
+    sizes = tuple(df.count() for df in (target, background))
+    top = counted.filter(F.col("t") + F.col("b") > _least_count(counted)).toPandas()
+    word = np.r_[BEGIN_HASH, top["word"].to_numpy(np.int64).view(np.uint64)]
+    count = np.r_[np.int64((sizes[0] << SIDE_BITS) + sizes[1]), (top["t"].to_numpy(np.int64) << SIDE_BITS) + top["b"].to_numpy(np.int64)]
+    order = np.argsort(word, kind="stable")
+    return Models(target, background, counted, n, (t, b), sizes, target.sparkSession.sparkContext.broadcast((word[order], count[order])))
+
+
+def _bigrams(models: Models, texts: DataFrame, roles: str, rare: bool) -> DataFrame:
+    """Rows (bigram, row, t, b, d, c1, c2): a text's distinct bigrams, how often it has each, and its words' counts.
+
+    ``roles`` names the columns among t (target), b (background) and d (to be scored) that take the text's count. Only
+    bigrams with a word that is not hot (``rare``), or only the others. Without the role d texts need not be told apart.
+    """
+    sent = models.hot
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot, counts = sent.value
+        hashes = common.WordHashes()
+        for batch in common.chunks(batches, "raw", 2_000_000):
+            each = [hashes.of(raw.split()) for raw in batch["raw"]]
+            size = np.array(list(map(len, each)))
+            h = np.concatenate([x for w in each for x in (np.array([BEGIN_HASH]), w)])
+            text = np.repeat(np.arange(len(each)), size + 1)
+            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+            known = hot[at] == h
+            now = np.flatnonzero(text[1:] == text[:-1]) + 1
+            now = now[(known[now] & known[now - 1]) != rare]
+            if not len(now):
+                continue
+            key = common.mix(common.mix(h[now - 1]) * np.uint64(common.BASES[1]) + h[now])
+            group = text[now] if "d" in roles else np.zeros(len(now), np.int64)
+            order = np.lexsort((key, group))
+            new = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1])])
+            n = np.diff(np.r_[new, len(order)]).astype(np.int32)
+            first = order[new]
+            now, key = now[first], key[first]
+            row = batch["row"].to_numpy(np.int64)[text[now]] if "d" in roles else np.zeros(len(now), np.int64)
+            out = {"bigram": common.signed(key), "row": row} | {r: n if r in roles else np.zeros(len(n), np.int32) for r in "tbd"}
+            for c, i in (("1", now - 1), ("2", now)):
+                # a hot word needs no join: its key matches no word, and no two bigrams share it
+                out["c" + c] = np.where(known[i], counts[at[i]], 0)
+                if rare:
+                    out["h" + c] = common.signed(np.where(known[i], key, h[i]))
+                    out["k" + c] = known[i]
+            yield pd.DataFrame(out)
+
+    schema = "bigram long, row long, t int, b int, d int, c1 long" + (", h1 long, k1 boolean" if rare else "") + ", c2 long" + (", h2 long, k2 boolean" if rare else "")
+    got = texts.mapInPandas(run, schema)
+    if not rare:
+        return got
+    packed = F.shiftleft("t", SIDE_BITS) + F.col("b")
+    for c in "12":
+        words = models.counted.select(F.col("word").alias("h" + c), packed.alias("u" + c))
+        count = F.when(F.col("k" + c), F.col("c" + c)).otherwise(F.coalesce("u" + c, F.lit(0)))
+        got = got.join(words, "h" + c, "left").withColumn("c" + c, count).drop("h" + c, "k" + c, "u" + c)
+    return got.select("bigram", "row", "t", "b", "d", "c1", "c2")
+
+
+def _bits(models: Models, side: int) -> Column:
+    """Bits of a bigram's second word under the model of one side, from the columns t or b, c1 and c2."""
+    of = lambda c: (F.shiftright(c, SIDE_BITS) if side == 0 else F.col(c).bitwiseAND(F.lit((1 << SIDE_BITS) - 1))).cast("double")
+    single = (of("c2") * models.scale(side) + 0.5) / models.mass(side)
+    return -F.log2(SHARE * F.col("tb"[side]) / F.greatest(of("c1"), F.lit(1.0)) + (1 - SHARE) * single)
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -161,28 +204,31 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
     Losses are bits per token and ``score`` is target less background: the lower, the more a text is like the target.
     Null and empty texts have no tokens, losses and score 0; null ids and repeated rows are scored like others; an empty
-    table gives no rows; further columns are ignored. No shuffle.
+    table gives no rows; further columns are ignored. Texts stay where they are: their distinct bigrams move once, those
+    with a word that is not hot up to three times.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        ids = Ids(m.words)
-        for batch in common.chunks(batches, "raw", 4_000_000):
-            rows = []
-            for raw in batch["raw"]:
-                w = [None, *raw.split()]
-                if len(w) == 1:
-                    rows.append((0, 0.0, 0.0, 0.0))
-                    continue
-                a, b = (float(x.mean()) for x in m.losses(np.fromiter(map(ids.__getitem__, w), np.int64, len(w))))
-                rows.append((len(w) - 1, a, b, a - b))
-            out = pd.DataFrame(rows, columns=["n_tokens", "loss_target", "loss_background", "score"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
-            yield out
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.raw_text().alias("raw"))
-    return source.mapInPandas(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    keyed = lambda df, row: df.select(row.alias("row"), common.raw_text().alias("raw"))
+    row = F.xxhash64(F.col("doc_id").cast("long"), common.raw_text())
+    none = F.lit(0).cast("long")
+    if docs is models.background:
+        sources = [(keyed(models.target, none), "t"), (keyed(docs, row), "bd")]
+    else:
+        sources = [(keyed(models.target, none), "t"), (keyed(models.background, none), "b"), (keyed(docs, row), "d")]
+    every = None
+    for texts, roles in sources:
+        for rare in (False, True):
+            got = _bigrams(models, texts, roles, rare)
+            every = got if every is None else every.union(got)
+    same = W.partitionBy("bigram")
+    counted = every.select("row", "d", "c1", "c2", F.sum("t").over(same).alias("t"), F.sum("b").over(same).alias("b")).filter("d > 0")
+    lost = counted.select("row", "d", (F.col("d") * _bits(models, 0)).alias("t"), (F.col("d") * _bits(models, 1)).alias("b"))
+    lost = lost.groupBy("row").agg(F.sum("d").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    # equal rows are one row here: their sums are those of all of them
+    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    per = lambda c: F.coalesce(F.col(c) / F.col("n"), F.lit(0.0))
+    out = rows.join(lost, "row", "left").select("doc_id", "copies", F.coalesce((F.col("n") / F.col("copies")).cast("long"), none).alias("n_tokens"), per("t").alias("loss_target"), per("b").alias("loss_background"))
+    out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
