@@ -5,6 +5,9 @@ bit of (j, word). Sequences a few word edits apart fall into step again, so edit
 keys made of a few sampled steps collide for near windows with good probability. Every word of every document starts a
 window; an item gives keys from several of its sections, so that edits in one do not hide the others. A colliding window
 of the item's size is then verified by exact edit distance.
+
+A short item leaves a walk too few words to fall into step. It is cut into one piece more than the edits it tolerates
+instead: an edit spoils one piece at most, so one is in the text word for word, and none of its places is missed.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Edits tolerated, as a share of an item's words; items of fewer words than LEAST are not searched.
-RATE, LEAST = 0.2, 8
+#: Edits tolerated, as a share of an item's words; items of fewer words than WALKED are sought by pieces, not by walks.
+RATE, WALKED = 0.2, 20
 #: Walks, keys of each, steps sampled for a key, steps of a walk, sections of an item.
 WALKS, KEYS, SAMPLES, STEPS, SECTIONS, SEED = 2, 5, 4, 20, 4, 17
 #: What one pass over the documents carries to the tasks, at most; a larger benchmark takes several passes.
@@ -92,7 +95,10 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 @dataclass(frozen=True)
 class Index:
-    """Items and their keys, sorted; ``gate`` tells by a key's upper bits whether to look it up at all."""
+    """Items and their keys, sorted; ``gate`` tells by a key's upper bits whether to look it up at all.
+
+    ``pieces`` holds keys, owners and offsets of the short items' pieces by their width, with a gate for each.
+    """
 
     ids: np.ndarray
     words: list[np.ndarray]
@@ -101,23 +107,41 @@ class Index:
     owner: list[np.ndarray]
     offset: list[np.ndarray]
     gate: np.ndarray
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
 GATE_BITS = 20
 
 
+def _ordered(keys: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return keys[order], owner[order], offset[order]
+
+
+def _pieces(i: int, h: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(width, key, item, offset) of each piece of a short item."""
+    n = int(RATE * len(h)) + 1
+    edges = [len(h) * k // n for k in range(n + 1)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield b - a, int(common.window_hashes(h[a:b], b - a)[0]), i, a
+
+
 def build(items: pd.DataFrame) -> Index:
     hashes = Folded()
     ids, words = [], []
     for item, raw in zip(items["item_id"], items["raw"], strict=True):
         h = hashes.of(raw.split())
-        if len(h) >= LEAST:
+        if len(h):
             ids.append(item)
             words.append(h)
     keys: list[list[int]] = [[] for _ in range(WALKS * KEYS)]
     owner: list[int] = []
     offset: list[int] = []
+    short: list[tuple[int, int, int, int]] = []
     for i, h in enumerate(words):
+        if len(h) < WALKED:
+            short += _pieces(i, h)
+            continue
         last = max(0, len(h) - STEPS // 2 - 2)
         for at in sorted({round(last * s / max(1, SECTIONS - 1)) for s in range(SECTIONS)}):
             got = keys_of(np.r_[h[at:], np.zeros(STEPS + 1, np.uint64)], 1)[:, 0].tolist()
@@ -130,10 +154,16 @@ def build(items: pd.DataFrame) -> Index:
     gate = np.zeros(1 << GATE_BITS, bool)
     for k in keys:
         a = common.mix(np.array(k, np.uint64))
-        order = np.argsort(a, kind="stable")
-        out.append((a[order], own[order], off[order]))
+        out.append(_ordered(a, own, off))
         gate[a >> np.uint64(64 - GATE_BITS)] = True
-    return Index(np.array(ids, np.int64), words, [frozenset(h.tolist()) for h in words], [x[0] for x in out], [x[1] for x in out], [x[2] for x in out], gate)
+    pieces = {}
+    for width in sorted({x[0] for x in short}):
+        mine = [x[1:] for x in short if x[0] == width]
+        found = _ordered(np.array([x[0] for x in mine], np.uint64), np.array([x[1] for x in mine]), np.array([x[2] for x in mine]))
+        own_gate = np.zeros(1 << GATE_BITS, bool)
+        own_gate[found[0] >> np.uint64(64 - GATE_BITS)] = True
+        pieces[width] = (*found, own_gate)
+    return Index(np.array(ids, np.int64), words, [frozenset(h.tolist()) for h in words], [x[0] for x in out], [x[1] for x in out], [x[2] for x in out], gate, pieces)
 
 
 def search(index: Index, h: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -141,19 +171,22 @@ def search(index: Index, h: np.ndarray, start: np.ndarray, size: np.ndarray) ->
 
     ``start`` and ``size`` give every document's words in h; between documents lie at least STEPS + 1 zeros.
     """
-    keys = keys_of(h, len(h) - STEPS - 1)
+    tables = []
+    if len(index.keys[0]):
+        keys = keys_of(h, len(h) - STEPS - 1)
+        tables = [(common.mix(keys[k]), index.keys[k], index.owner[k], index.offset[k], index.gate) for k in range(WALKS * KEYS)]
+    tables += [(common.window_hashes(h, width), *table) for width, table in index.pieces.items()]
     seen: dict[tuple[int, int], list] = {}
     tried: set[tuple[int, int, int]] = set()
-    for k in range(WALKS * KEYS):
-        a = common.mix(keys[k])
-        at = np.flatnonzero(index.gate[a >> np.uint64(64 - GATE_BITS)])
-        lo, hi = np.searchsorted(index.keys[k], a[at], "left"), np.searchsorted(index.keys[k], a[at], "right")
+    for a, known, owner, offset, gate in tables:
+        at = np.flatnonzero(gate[a >> np.uint64(64 - GATE_BITS)])
+        lo, hi = np.searchsorted(known, a[at], "left"), np.searchsorted(known, a[at], "right")
         hit = hi > lo
         for p, x, y in zip(at[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
             row = int(np.searchsorted(start, p, "right")) - 1
             if p >= start[row] + size[row]:
                 continue
-            for i, off in zip(index.owner[k][x:y].tolist(), index.offset[k][x:y].tolist(), strict=True):
+            for i, off in zip(owner[x:y].tolist(), offset[x:y].tolist(), strict=True):
                 begin = p - int(start[row]) - off
                 if (row, i, begin) in tried:
                     continue
@@ -193,7 +226,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are compared in lower case without marks around them. One row for each document row and item, its place of
     fewest edits; a document without a find has no row. Null and empty texts have no finds; null ids and repeated rows
-    are searched like others; items that are null or shorter than LEAST words find nothing; empty tables give no rows;
+    are searched like others; items that are null or without words find nothing; empty tables give no rows;
     further columns are ignored. No shuffle: the index of a block of items, of bounded size, goes to the tasks.
     """
     spark = docs.sparkSession
