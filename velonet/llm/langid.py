@@ -20,6 +20,8 @@ from . import common
 WINDOW, WINDOWS_EACH = 256, 3
 #: Labelled texts that the network is trained on, at most, shared out evenly among the languages.
 MOST_ROWS = 4_000
+#: Texts of a language that training asks for at least, so that the draw leaves none out.
+LEAST_EACH = 16
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 12, 8
 EPOCHS, BATCH, RATE, SEED = 5, 64, 0.01, 3
 #: Bytes that one pass of the network takes.
@@ -137,13 +139,14 @@ def _training_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 def train(docs: DataFrame, most: int = MOST_ROWS) -> Network | None:
     """Train on a bounded sample: of each language the texts whose ids hash lowest; None without any labelled text.
 
-    Rows that held_out() sets aside never enter. What comes to the driver is ``most`` texts' windows of fixed size.
+    Every label counts as a language. Rows that held_out() sets aside never enter. What comes to the driver is windows of
+    fixed size of about ``most`` texts, or of LEAST_EACH a language where that is more.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~common.held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
     if not counts:
         return None
-    each = max(1, most // len(counts))
+    each = max(LEAST_EACH, most // len(counts))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.1 * each / n)))])
     place = F.xxhash64("doc_id") / F.lit(float(2**64)) + 0.5
     picked = rows.filter(place <= share[F.col("lang")]).select("doc_id", "lang", common.raw_text().alias("raw"))
