@@ -10,7 +10,7 @@ from test_operators import words
 from velonet.llm import lm_score
 
 
-def plain(target, background, docs):
+def plain(target, background, docs, leave_out=False):
     sides = [[(t or "").encode().split() for t in s] for s in (target, background)]
     ones = [Counter(w for t in s for w in t) for s in sides]
     twos = [Counter(p for t in s for p in zip([None, *t], t, strict=False)) for s in sides]
@@ -18,18 +18,20 @@ def plain(target, background, docs):
     least, out = min(n) or 1, {}
     for i, text in docs:
         w = (text or "").encode().split()
+        own, pairs = Counter(w), Counter(zip([None, *w], w, strict=False))
         loss = [0.0, 0.0]
         for k in (0, 1):
             scale = least / n[k] if n[k] else 1.0
+            gone = k == 1 and leave_out
             for a, b in zip([None, *w], w, strict=False):
-                single = (ones[k][b] * scale + 0.5) / (n[k] * scale + 0.5 * (vocabulary + 1))
-                before = len(sides[k]) if a is None else ones[k][a]
-                loss[k] -= math.log2(lm_score.SHARE * twos[k][a, b] / max(before, 1) + (1 - lm_score.SHARE) * single) / len(w)
+                single = ((ones[k][b] - gone * own[b]) * scale + 0.5) / ((n[k] - gone * len(w)) * scale + 0.5 * (vocabulary + 1))
+                before = len(sides[k]) - gone if a is None else ones[k][a] - gone * own[a]
+                loss[k] -= math.log2(lm_score.SHARE * (twos[k][a, b] - gone * pairs[a, b]) / max(before, 1) + (1 - lm_score.SHARE) * single) / len(w)
         out[i] = (len(w), *loss)
     return out
 
 
-@pytest.mark.parametrize("hot", [1 << 20, 40, 0])
+@pytest.mark.parametrize("hot", [(1 << 20) - 1, 40, 0])
 def test_every_word_and_bigram_counts(spark, monkeypatch, hot):
     monkeypatch.setattr(lm_score, "HOT_WORDS", hot)
     rng = random.Random(3)
@@ -47,7 +49,7 @@ def test_every_word_and_bigram_counts(spark, monkeypatch, hot):
     model = lm_score.train(t, df)
     for frame, source in ((df, rows), (odd, other)):
         got = [(r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"], r["score"]) for r in lm_score.score(frame, model).collect()]
-        want = plain(target, [x for _, x in rows], source)
+        want = plain(target, [x for _, x in rows], source, frame is df)
         assert sorted(str(g[0]) for g in got) == sorted(str(i) for i, _ in source)
         for i, n, a, b, s in got:
             assert (n, a, b) == (want[i][0], pytest.approx(want[i][1]), pytest.approx(want[i][2])) and s == pytest.approx(a - b)

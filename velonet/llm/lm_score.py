@@ -1,16 +1,19 @@
 """Operator 10, LM scoring: cross-entropy difference of matched target and background bigram models.
 
-Both models share one vocabulary, order and smoothing; the larger side's counts are scaled to the smaller side's tokens,
-so neither is the smoother one for its size alone. Every word and every bigram of both corpora is counted; the counts are
-distributed tables that grow with the corpora. Words and bigrams are told apart by 64-bit hashes.
-
-Bigrams of each text are counted inside its task and dealt out by bigram once; there their counts in both corpora are
-summed up, and the bits of each text's share go back to the text. Counts of the HOT_WORDS most frequent words go to the
-tasks with the function, so that they are never a join key; those of all other words are joined.
+Both models share one vocabulary, order and smoothing; the single-word part of the larger side is scaled down to the smaller
+side's tokens (the bigram part is a ratio, which scaling leaves as it is), so neither is the smoother one for its size alone.
+Every word and every bigram of both corpora is counted; the counts are distributed tables that grow with the corpora. Where
+the scored texts are the background, each is left out of the background's counts when it is scored.
+
+The HOT_WORDS most frequent words have numbers, known to every task. Texts are indexed in blocks: a block's distinct bigrams of
+two hot words are pairs of numbers, packed by bucket of the pair, and its texts' entries are packed lists in the same order.
+The pairs go to their buckets, meet there, and come back with their counts in both corpora; so of a bigram, however common, a
+bucket gets one entry for each block. Bigrams with another word are rows that meet at that word, where its count is joined.
 """
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,28 +22,59 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Words whose counts are sent along, at most; all others are joined.
-HOT_WORDS = 1 << 20
+#: Bits of a hot word's number; words with numbers, at most (number 0 is what stands before the first word of a text).
+ID_BITS = 20
+HOT_WORDS = (1 << ID_BITS) - 1
 #: Share of the bigram estimate in the interpolated model.
 SHARE = 0.5
 UNKNOWN, BEGIN = 0, 1
-#: What stands before the first word of a text.
-BEGIN_HASH = np.uint64(1)
 #: Distinct words a task counts before it hands them on.
-MOST_COUNTED = 300_000
+MOST_COUNTED = 500_000
 #: Both sides' counts of a word travel in one number, the target's above these bits.
 SIDE_BITS = 31
+#: Bytes of text in a block. Tokens for each bucket of pairs; more buckets than MOST_BUCKETS would leave a block's payloads
+#: a few pairs each, so beyond about 40 billion tokens buckets grow instead.
+BLOCK_BYTES, BUCKET_TOKENS, MOST_BUCKETS = 4_000_000, 1 << 21, 20_000
+#: What a text's count adds to.
+ROLES = {"t": 1, "b": 2, "d": 4}
+#: Payloads that are not of a bucket: a block's entries, its bigrams with a word that is not hot.
+ENTRIES, RARE = -2, -1
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))
+    """63-bit hashes."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 7) >> 1 for w in words), np.int64, len(words))
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers from 0 on, each as compressed planes of bytes of the least width that holds it."""
+    out = []
+    for a in arrays:
+        width = next(w for w in (1, 2, 4, 8) if w == 8 or int(a.max(initial=0)) < 1 << 8 * w)
+        planes = np.ascontiguousarray(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+        data = zstandard.compress(planes, 1)
+        out.append(struct.pack("<BII", width, len(a), len(data)) + data)
+    return b"".join(out)
+
+
+def _unpack(raw: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(raw):
+        width, n, size = struct.unpack_from("<BII", raw, at)
+        at += 9
+        planes = np.frombuffer(zstandard.decompress(raw[at : at + size]) if n else b"", np.uint8).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64))
+        at += size
+    return out
 
 
 def _texts(target: DataFrame, background: DataFrame) -> DataFrame:
@@ -53,7 +87,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def rows(side: bool) -> pd.DataFrame:
         n = list(seen[side].values())
-        out = pd.DataFrame({"word": common.signed(_hash(list(seen[side]))), "t": n if side else [0] * len(n), "b": [0] * len(n) if side else n})
+        out = pd.DataFrame({"word": _hash(list(seen[side])), "t": n if side else [0] * len(n), "b": [0] * len(n) if side else n})
         seen[side].clear()
         return out
 
@@ -67,6 +101,12 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield rows(side)
 
 
+def _packed_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            yield pd.DataFrame({"words": [_pack(*(batch[c].to_numpy() for c in ("word", "t", "b")))]})
+
+
 def _least_count(counted: DataFrame) -> float:
     """The count above which words are hot: as low as HOT_WORDS allow, in steps of a 32nd power of 2."""
     step = F.ceil(F.log2(F.col("t") + F.col("b")) * 32).cast("int")
@@ -82,10 +122,11 @@ def _least_count(counted: DataFrame) -> float:
 
 @dataclass(frozen=True)
 class Models:
-    """Both corpora, the table (word, t, b) of all words' counts, hot words' hashes and counts, and the corpora's sizes.
+    """Both corpora, the table (word, t, b) of all words' counts, the hot words, and the corpora's sizes.
 
-    ``tokens``, ``texts`` are those of target and background. The properties bring whole models to the driver, for a
-    look at small ones; scoring does without them.
+    ``tokens``, ``texts`` are those of target and background; ``hot`` holds the hashes of the hot words in order, the
+    number of each, and both counts by number; ``least`` is the count above which words are hot. The properties bring whole models to the driver, for a look at small ones;
+    scoring does without them.
     """
 
     target: DataFrame
@@ -95,6 +136,7 @@ class Models:
     tokens: tuple[int, int]
     texts: tuple[int, int]
     hot: Broadcast
+    least: float
 
     @cached_property
     def _table(self) -> pd.DataFrame:
@@ -105,7 +147,7 @@ class Models:
         """The target's words (None: the begin of a text) and their places in the other properties."""
         place = {h: i + 2 for i, h in enumerate(self._table["word"].tolist())}
         own = sorted({w for r in self.target.select(common.raw_text().alias("raw")).collect() for w in bytes(r["raw"]).split()})
-        return {None: BEGIN} | {w: place[h] for w, h in zip(own, common.signed(_hash(own)).tolist(), strict=True)}
+        return {None: BEGIN} | {w: place[h] for w, h in zip(own, _hash(own).tolist(), strict=True)}
 
     @property
     def unigrams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -134,95 +176,258 @@ def train(target: DataFrame, background: DataFrame) -> Models:
     if most >> SIDE_BITS:
         raise OverflowError(f"a word's count, {most}, takes more than {SIDE_BITS} bits")
     sizes = tuple(df.count() for df in (target, background))
-    top = counted.filter(F.col("t") + F.col("b") > _least_count(counted)).toPandas()
-    word = np.r_[BEGIN_HASH, top["word"].to_numpy(np.int64).view(np.uint64)]
-    count = np.r_[np.int64((sizes[0] << SIDE_BITS) + sizes[1]), (top["t"].to_numpy(np.int64) << SIDE_BITS) + top["b"].to_numpy(np.int64)]
-    order = np.argsort(word, kind="stable")
-    return Models(target, background, counted, n, (t, b), sizes, target.sparkSession.sparkContext.broadcast((word[order], count[order])))
+    if max(sizes) >> SIDE_BITS:
+        raise OverflowError(f"{max(sizes)} texts take more than {SIDE_BITS} bits")
+    least = _least_count(counted)
+    hot = counted.filter(F.col("t") + F.col("b") > least).mapInPandas(_packed_words, "words binary")
+    got = [_unpack(bytes(r["words"])) for r in hot.collect()]
+    word, t_, b_ = (np.concatenate([np.empty(0, np.int64), *[g[i] for g in got]]) for i in range(3))
+    order = np.lexsort((word, -t_ - b_))
+    word, counts = word[order], np.vstack([sizes, np.stack([t_, b_], 1)[order]]).astype(np.int32)
+    at = np.argsort(word, kind="stable")
+    return Models(target, background, counted, n, (t, b), sizes, target.sparkSession.sparkContext.broadcast((word[at], (at + 1).astype(np.int32), counts)), least)
+
+
+class _Codes(dict):
+    """word -> its number, or -1 less its hash if it is not hot; with a bounded memory."""
+
+    def __init__(self, known: np.ndarray, number: np.ndarray) -> None:
+        self.known, self.number = known, number
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= common.CACHE_WORDS:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word, 7) >> 1
+        at = int(np.searchsorted(self.known, h))
+        code = self[word] = int(self.number[at]) if at < len(self.known) and self.known[at] == h else -1 - h
+        return code
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts by the keys, the last one first in rank, and where in it groups of equal keys begin."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        s = k[order]
+        new[1:] |= s[1:] != s[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _indexed(models: Models, texts: DataFrame, roles: str, buckets: int, leave_out: bool) -> DataFrame:
+    """Texts (row, raw) -> payloads (block, bucket, role, payload).
+
+    For each bucket the block's distinct pairs and how often each occurs; with the role d also ENTRIES (for each pair, in
+    order of bucket and pair, the texts that have it, how often, and with ``leave_out`` how often they have its two
+    words); and RARE, the same for bigrams with a word that is not hot.
+    """
+    sent, role, told = models.hot, sum(ROLES[r] for r in roles), "d" in roles
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, number, _ = sent.value
+        codes = _Codes(known, number)
+        block = TaskContext.get().partitionId() << 32
+        for batch in common.chunks(batches, "raw", BLOCK_BYTES):
+            begin, each = np.zeros(1, np.int64), []
+            for raw in batch["raw"]:
+                words = raw.split()
+                each += [begin, np.fromiter(map(codes.__getitem__, words), np.int64, len(words))]
+            size = np.array([len(w) + 1 for w in each[1::2]])
+            x = np.concatenate(each)
+            text = np.repeat(np.arange(len(size)), size)
+            own = np.zeros(len(x), np.int64)
+            if leave_out:
+                order, first = _groups(x, text)
+                n = np.diff(np.r_[first, len(x)])
+                own[order] = np.repeat(n, n)
+            now = np.flatnonzero(text[1:] == text[:-1]) + 1
+            a, b, tx = x[now - 1], x[now], text[now] if told else np.zeros(len(now), np.int64)
+            row, tokens = batch["row"].to_numpy(np.int64), size - 1
+            block += 1
+            out: list[tuple[int, bytes]] = []
+            hot = (a >= 0) & (b >= 0)
+            pair, at, t = a[hot] << ID_BITS | b[hot], now[hot], tx[hot]
+            bucket = (common.mix(pair.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order, first = _groups(t, bucket << 2 * ID_BITS | pair)
+            n = np.diff(np.r_[first, len(order)])
+            first = order[first]
+            pair, bucket, t, at = pair[first], bucket[first], t[first], at[first]
+            new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (bucket[1:] != bucket[:-1])]) if len(pair) else first
+            if told and len(pair):
+                out.append((ENTRIES, _pack(row.view(np.uint64) >> np.uint64(32), row & 0xFFFFFFFF, tokens, np.diff(np.r_[new, len(pair)]), t, n, own[at - 1], own[at])))
+            if len(pair):
+                total = np.add.reduceat(n, new)
+                pair, bucket = pair[new], bucket[new]
+                cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(pair)]
+                for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    out.append((int(bucket[i]), _pack(np.diff(pair[i:j], prepend=0), total[i:j])))
+            if not hot.all():
+                a, b, at, t = a[~hot], b[~hot], now[~hot], tx[~hot]
+                order, first = _groups(b, a, t)
+                n = np.diff(np.r_[first, len(order)])
+                first = order[first]
+                a, b, at, t = a[first], b[first], at[first], t[first]
+                out.append((RARE, _pack(row.view(np.uint64) >> np.uint64(32), row & 0xFFFFFFFF, tokens, t, np.maximum(a, 0), np.maximum(-1 - a, 0), a < 0, np.maximum(b, 0), np.maximum(-1 - b, 0), b < 0, n, own[at - 1], own[at])))
+            if out:
+                yield pd.DataFrame({"block": block, "bucket": [k for k, _ in out], "role": role, "payload": [p for _, p in out]})
+
+    return texts.mapInPandas(run, "block long, bucket int, role int, payload binary")
+
+
+def _rows(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high << 32 | low
+
+
+def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Payloads of pairs, sorted by bucket -> for each block to be scored its pairs with their counts in both corpora."""
+
+    def close(rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        got = [_unpack(p) for *_, p in rows]
+        key = np.concatenate([np.cumsum(g[0]) for g in got])
+        size = [len(g[0]) for g in got]
+        role = np.repeat([r for _, _, r, _ in rows], size)
+        n = np.concatenate([g[1] for g in got])
+        every, place = np.unique(key, return_inverse=True)
+        t, b = (np.bincount(place, n * (role & r > 0), len(every)).astype(np.int64)[place] for r in (ROLES["t"], ROLES["b"]))
+        end = np.cumsum(size)
+        out = [(block, bucket, _pack(g[0], t[e - len(g[0]) : e], b[e - len(g[0]) : e])) for (block, bucket, r, _), g, e in zip(rows, got, end.tolist(), strict=True) if r & ROLES["d"]]
+        if out:
+            yield pd.DataFrame(out, columns=["block", "bucket", "payload"])
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for x in zip(batch["block"].tolist(), batch["bucket"].tolist(), batch["role"].tolist(), batch["payload"], strict=True):
+            if rows and rows[-1][1] != x[1]:
+                yield from close(rows)
+                rows = []
+            rows.append(x)
+    if rows:
+        yield from close(rows)
+
+
+def _bits(n: np.ndarray, first: np.ndarray, single: np.ndarray, scale: float, mass: np.ndarray | float) -> np.ndarray:
+    """Bits of a bigram's second word: from its count, the counts of both words, and the side's mass."""
+    return -np.log2(SHARE * n / np.maximum(first, 1) + (1 - SHARE) * (single * scale + 0.5) / mass)
+
+
+def _lost(models: Models, leave_out: bool):
+    """A block's entries and the counts of its pairs, sorted by block and bucket -> (row, n, t, b): the texts' bits."""
+    sent, scale, mass = models.hot, [models.scale(s) for s in (0, 1)], [models.mass(s) for s in (0, 1)]
+
+    def close(entries: bytes, totals: list[bytes]) -> pd.DataFrame:
+        counts = sent.value[2]
+        high, low, tokens, m, t, n, o1, o2 = _unpack(entries)
+        got = [_unpack(p) for p in totals]
+        pair = np.repeat(np.concatenate([np.cumsum(g[0]) for g in got]), m)
+        both = [np.repeat(np.concatenate([g[1 + s] for g in got]), m) for s in (0, 1)]
+        one, two = counts[pair >> ID_BITS], counts[pair & ((1 << ID_BITS) - 1)]  # counts fit, as train() has checked
+        less = n if leave_out else 0
+        bits = (
+            _bits(both[0], one[:, 0], two[:, 0], scale[0], mass[0]),
+            _bits(both[1] - less, one[:, 1] - o1, two[:, 1] - o2, scale[1], mass[1] - (tokens[t] * scale[1] if leave_out else 0)),
+        )
+        sums = [np.bincount(t, n * x, len(low)) for x in (1, *bits)]
+        some = sums[0] > 0
+        return pd.DataFrame({"row": _rows(high, low)[some], "n": sums[0][some].astype(np.int64), "t": sums[1][some], "b": sums[2][some]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, entries, totals = None, b"", []
+        for batch in batches:
+            for k, bucket, payload in zip(batch["block"].tolist(), batch["bucket"].tolist(), batch["payload"], strict=True):
+                if k != block:
+                    if entries:
+                        yield close(entries, totals)
+                    block, entries, totals = k, b"", []
+                if bucket == ENTRIES:
+                    entries = payload
+                else:
+                    totals.append(payload)
+        if entries:
+            yield close(entries, totals)
+
+    return run
+
+
+def _rare_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Payloads -> rows of bigrams with a word that is not hot: ``h`` that word (the first of two), ``other`` the other one's
+    number or -1 less its hash, ``tag`` the role and whether h is the first word; small numbers travel two in one."""
+    for batch in batches:
+        for role, payload in zip(batch["role"].tolist(), batch["payload"], strict=True):
+            high, low, tokens, t, ia, ha, ra, ib, hb, rb, n, o1, o2 = _unpack(payload)
+            ra, rb = ra > 0, rb > 0
+            told = bool(role & ROLES["d"])
+            yield pd.DataFrame({
+                "h": np.where(ra, ha, hb), "other": np.where(ra, np.where(rb, -1 - hb, ib), ia), "c": np.zeros(len(n), np.int64), "row": _rows(high, low)[t] if told else 0,
+                "tag": role << 1 | ra, "meta": n << 32 | o1, "more": o2 << 32 | (tokens[t] if told else 0),
+            })
 
-def _bigrams(models: Models, texts: DataFrame, roles: str, rare: bool) -> DataFrame:
-    """Rows (bigram, row, t, b, d, c1, c2): a text's distinct bigrams, how often it has each, and its words' counts.
 
-    ``roles`` names the columns among t (target), b (background) and d (to be scored) that take the text's count. Only
-    bigrams with a word that is not hot (``rare``), or only the others. Without the role d texts need not be told apart.
-    """
-    sent = models.hot
+def _rare_bits(models: Models, leave_out: bool):
+    """Rows with the counts ``u`` of h, ``c`` of a hidden other, and t, b of the bigram -> (row, n, t, b)."""
+    sent, scale, mass = models.hot, [models.scale(s) for s in (0, 1)], [models.mass(s) for s in (0, 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot, counts = sent.value
-        hashes = common.WordHashes()
-        for batch in common.chunks(batches, "raw", 2_000_000):
-            each = [hashes.of(raw.split()) for raw in batch["raw"]]
-            size = np.array(list(map(len, each)))
-            h = np.concatenate([x for w in each for x in (np.array([BEGIN_HASH]), w)])
-            text = np.repeat(np.arange(len(each)), size + 1)
-            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-            known = hot[at] == h
-            now = np.flatnonzero(text[1:] == text[:-1]) + 1
-            now = now[(known[now] & known[now - 1]) != rare]
-            if not len(now):
+        counts, low = sent.value[2], (1 << 32) - 1
+        for batch in batches:
+            if not len(batch):
                 continue
-            key = common.mix(common.mix(h[now - 1]) * np.uint64(common.BASES[1]) + h[now])
-            group = text[now] if "d" in roles else np.zeros(len(now), np.int64)
-            order = np.lexsort((key, group))
-            new = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1])])
-            n = np.diff(np.r_[new, len(order)]).astype(np.int32)
-            first = order[new]
-            now, key = now[first], key[first]
-            row = batch["row"].to_numpy(np.int64)[text[now]] if "d" in roles else np.zeros(len(now), np.int64)
-            out = {"bigram": common.signed(key), "row": row} | {r: n if r in roles else np.zeros(len(n), np.int32) for r in "tbd"}
-            for c, i in (("1", now - 1), ("2", now)):
-                # a hot word needs no join: its key matches no word, and no two bigrams share it
-                out["c" + c] = np.where(known[i], counts[at[i]], 0)
-                if rare:
-                    out["h" + c] = common.signed(np.where(known[i], key, h[i]))
-                    out["k" + c] = known[i]
-            yield pd.DataFrame(out)
-
-    schema = "bigram long, row long, t int, b int, d int, c1 long" + (", h1 long, k1 boolean" if rare else "") + ", c2 long" + (", h2 long, k2 boolean" if rare else "")
-    got = texts.mapInPandas(run, schema)
-    if not rare:
-        return got
-    packed = F.shiftleft("t", SIDE_BITS) + F.col("b")
-    for c in "12":
-        words = models.counted.select(F.col("word").alias("h" + c), packed.alias("u" + c))
-        count = F.when(F.col("k" + c), F.col("c" + c)).otherwise(F.coalesce("u" + c, F.lit(0)))
-        got = got.join(words, "h" + c, "left").withColumn("c" + c, count).drop("h" + c, "k" + c, "u" + c)
-    return got.select("bigram", "row", "t", "b", "d", "c1", "c2")
-
-
-def _bits(models: Models, side: int) -> Column:
-    """Bits of a bigram's second word under the model of one side, from the columns t or b, c1 and c2."""
-    of = lambda c: (F.shiftright(c, SIDE_BITS) if side == 0 else F.col(c).bitwiseAND(F.lit((1 << SIDE_BITS) - 1))).cast("double")
-    single = (of("c2") * models.scale(side) + 0.5) / models.mass(side)
-    return -F.log2(SHARE * F.col("tb"[side]) / F.greatest(of("c1"), F.lit(1.0)) + (1 - SHARE) * single)
+            x = {c: batch[c].to_numpy(np.int64) for c in batch.columns}
+            ahead, n, o1, o2, tokens = (x["tag"] & 1) > 0, x["meta"] >> 32, x["meta"] & low, x["more"] >> 32, x["more"] & low
+            hot = counts[np.maximum(x["other"], 0)]
+            bits = []
+            for s in (0, 1):
+                of = (lambda c: c >> SIDE_BITS) if s == 0 else (lambda c: c & ((1 << SIDE_BITS) - 1))
+                own, other = of(x["u"]), np.where(x["other"] >= 0, hot[:, s], of(x["c"]))
+                less = 1 if leave_out and s else 0
+                bits.append(_bits(x["tb"[s]] - less * n, np.where(ahead, own, other) - less * o1, np.where(ahead, other, own) - less * o2, scale[s], mass[s] - less * tokens * scale[s]))
+            row, place = np.unique(x["row"], return_inverse=True)
+            sums = [np.bincount(place, n * y, len(row)) for y in (1, *bits)]
+            yield pd.DataFrame({"row": row, "n": sums[0].astype(np.int64), "t": sums[1], "b": sums[2]})
+
+    return run
+
+
+def _rare_lost(models: Models, payloads: DataFrame, leave_out: bool) -> DataFrame:
+    """(row, n, t, b) of the bigrams with a word that is not hot: they meet at it, where its count is joined."""
+    rows = payloads.mapInPandas(_rare_rows, "h long, other long, c long, row long, tag byte, meta long, more long")
+    words = models.counted.filter(F.col("t") + F.col("b") <= models.least).select(F.col("word"), (F.shiftleft("t", SIDE_BITS) + F.col("b")).alias("u"))
+    two = rows.filter("other < 0").join(words, -1 - F.col("other") == F.col("word"), "left").select("h", "other", F.coalesce("u", F.lit(0)).alias("c"), "row", "tag", "meta", "more")
+    every = rows.filter("other >= 0").union(two).join(words, F.col("h") == F.col("word"), "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    same = W.partitionBy("h", "other", F.col("tag").bitwiseAND(F.lit(1).cast("byte")))
+    has = lambda r: F.col("tag").cast("int").bitwiseAND(F.lit(ROLES[r] << 1)) > 0
+    count = lambda r: F.sum(F.when(has(r), F.shiftright("meta", 32)).otherwise(0)).over(same)
+    found = every.withColumns({"t": count("t"), "b": count("b")}).filter(has("d"))
+    return found.select("other", "c", "u", "t", "b", "row", "tag", "meta", "more").mapInPandas(_rare_bits(models, leave_out), "row long, n long, t double, b double")
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
     """Rows (doc_id, n_tokens, loss_target, loss_background, score), one for each row of ``docs``.
 
     Losses are bits per token and ``score`` is target less background: the lower, the more a text is like the target.
-    Null and empty texts have no tokens, losses and score 0; null ids and repeated rows are scored like others; an empty
-    table gives no rows; further columns are ignored. Texts stay where they are: their distinct bigrams move once, those
-    with a word that is not hot up to three times.
+    Where ``docs`` is the models' background itself, a text's own counts are taken off the background's when it is scored
+    (another row with the same text stays in). Null and empty texts have no tokens, losses and score 0; null ids and
+    repeated rows are scored like others; words of equal counts have numbers in order of their hashes, which no score
+    depends on; an empty table gives no rows; further columns are ignored. Texts stay where they are.
     """
     keyed = lambda df, row: df.select(row.alias("row"), common.raw_text().alias("raw"))
     row = F.xxhash64(F.col("doc_id").cast("long"), common.raw_text())
     none = F.lit(0).cast("long")
-    if docs is models.background:
-        sources = [(keyed(models.target, none), "t"), (keyed(docs, row), "bd")]
+    leave_out = docs is models.background
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, max(parts, sum(models.tokens) // BUCKET_TOKENS))
+    index = _indexed(models, keyed(models.target, none), "t", buckets, False)
+    if leave_out:
+        index = index.union(_indexed(models, keyed(docs, row), "bd", buckets, True))
     else:
-        sources = [(keyed(models.target, none), "t"), (keyed(models.background, none), "b"), (keyed(docs, row), "d")]
-    every = None
-    for texts, roles in sources:
-        for rare in (False, True):
-            got = _bigrams(models, texts, roles, rare)
-            every = got if every is None else every.union(got)
-    same = W.partitionBy("bigram")
-    counted = every.select("row", "d", "c1", "c2", F.sum("t").over(same).alias("t"), F.sum("b").over(same).alias("b")).filter("d > 0")
-    lost = counted.select("row", "d", (F.col("d") * _bits(models, 0)).alias("t"), (F.col("d") * _bits(models, 1)).alias("b"))
-    lost = lost.groupBy("row").agg(F.sum("d").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+        index = index.union(_indexed(models, keyed(models.background, none), "b", buckets, False)).union(_indexed(models, keyed(docs, row), "d", buckets, False))
+    # totals must meet the very entries they were made from, so the index is written once
+    index = common.materialize(index)
+    dealt = index.filter("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+    totals = dealt.mapInPandas(_totals, "block long, bucket int, payload binary")
+    met = index.filter(F.col("bucket") == ENTRIES).select("block", "bucket", "payload").union(totals)
+    lost = met.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInPandas(_lost(models, leave_out), "row long, n long, t double, b double")
+    lost = lost.union(_rare_lost(models, index.filter(F.col("bucket") == RARE).select("role", "payload"), leave_out))
+    lost = lost.groupBy("row").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     # equal rows are one row here: their sums are those of all of them
     rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     per = lambda c: F.coalesce(F.col(c) / F.col("n"), F.lit(0.0))
@@ -232,5 +437,5 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """Score ``docs`` by models of ``target`` and of ``docs`` themselves as background."""
+    """Score ``docs`` by models of ``target`` and of ``docs`` themselves as background, each text left out of it in turn."""
     return score(docs, train(target, docs))
