@@ -8,7 +8,6 @@ a size check admits, a compiled-array Dijkstra in Arrow batches over the sources
 from __future__ import annotations
 
 import heapq
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from velonet.functions import arrays as A
 from velonet.params import Params, Profile
+from velonet.session import checkpoint_folder
 
 #: Arcs that the in-memory kernel may carry to every task: 24 bytes each, so 240 MB at most.
 KERNEL_ARCS = 10_000_000
@@ -26,9 +26,7 @@ KERNEL_ARCS = 10_000_000
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a loop's state in the session's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="velonet-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

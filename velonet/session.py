@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,20 @@ def session(name: str = "velonet", master: str | None = None, **conf: str) -> Sp
     for k, v in settings.items():
         build = build.config(k, v)
     return build.getOrCreate()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all machines share: the one that is set, or that spark.checkpoint.dir names.
+
+    Only a local master, where driver and executors are one process, may do without; it gets a temporary folder. Elsewhere
+    a missing setting is an error.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="velonet-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
