@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from velonet.session import checkpoint_folder
+
 #: Words are runs of bytes other than space and tab..carriage return; bytes.split() cuts exactly there.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Odd multipliers of the polynomial window hashes modulo 2**64 (fixed values).
@@ -24,20 +25,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with checkpoint() in spark.checkpoint.dir; a temporary folder serves only where that is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="velonet-"))
+    """Cut lineage with checkpoint() in the folder that spark.checkpoint.dir names."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame, most: int = 8_000_000) -> None:
+    """Let Arrow batches of this session hold at most so many bytes: a worker holds a batch, its pandas form and results."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(df.sparkSession.conf.get(key)).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        df.sparkSession.conf.set(key, str(most))
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True where crc32 of the id's text is divisible by 5: such rows never train a model."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(col.cast("string")) % 5 == 0, F.lit(False))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name`` with as many underscores ahead as tell it from the columns taken, whatever their case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def raw_text(col: str = "text") -> Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b""))
@@ -124,6 +138,28 @@ def chunks(batches: Iterator[pd.DataFrame], column: str, most_bytes: int = 8_000
             start = end
 
 
+#: Bits of the filter that tells which documents can be left where they are: 2 MB, whatever the size of the corpus.
+FILTER_BITS = 24
+
+
+def _place(doc: Column) -> Column:
+    return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS))
+
+
+def flagged(rows: DataFrame, doc: Column, ids: DataFrame, column: str, flag: str) -> DataFrame:
+    """``rows`` with a column ``flag``: whether the document may be among ``ids``; false alarms only grow with the ids.
+
+    The bits are set by bitmap aggregates, 4 kB for each 32,768 places, so the table of them that is broadcast has at most
+    512 rows and 2 MB.
+    """
+    place, k, held = _place(F.col(column)), fresh("bucket", rows.columns), fresh("bits", rows.columns)
+    bits = ids.groupBy(F.bitmap_bucket_number(place).alias(k)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(held))
+    at = F.bitmap_bit_position(_place(doc))
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(_place(doc)) == F.col(k), "left")
+    byte = F.conv(F.hex(F.substring(held, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(k, held)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): rows (node, root), root the smallest node reached.
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -50,7 +50,7 @@ def _anchor_rows(window: int, period: int):
     """Documents -> (k, t, doc, pos): anchor hash, hash of the whole word sequence, document, position.
 
     Within a batch, an anchor that stands in two texts is already known to be shared: its rows come out as settled
-    (k spread by document, t = 0) and only two rows go to its group as evidence (pos = -1). So the rows of a very
+    (k spread by document and place, t = 0) and only two rows go to its group as evidence (pos = -1). So the rows of a very
     common passage that meet in one task are two for each batch, however many documents hold it.
     """
     size = window - period + 1
@@ -83,7 +83,7 @@ def _anchor_rows(window: int, period: int):
             settled = np.empty(len(k), bool)
             settled[order] = np.repeat(shared, last - first + 1)
             k, t, d, p = np.concatenate(ks), np.concatenate(ts), np.concatenate(ds), np.concatenate(ps)
-            known = common.mix(d[settled].astype(np.uint64) ^ np.uint64(common.BASES[0]))
+            known = common.mix(d[settled].astype(np.uint64) * np.uint64(common.BASES[0]) + p[settled].astype(np.uint64))
             yield pd.DataFrame({
                 "k": np.r_[k[~settled], known, k[evidence]].view(np.int64),
                 "t": np.r_[t[~settled], np.zeros(len(known), np.uint64), t[evidence]].view(np.int64),
@@ -144,7 +144,7 @@ def _window_rows(window: int, period: int):
     """Documents with their shared anchors -> (a, b, doc, pos, len): candidate windows to match, and settled runs.
 
     Of equal windows in one batch all but those of the smallest document are removed at once: they come out as settled
-    runs (a spread by document, len > 0); the rest go to their group with len 0. Hashes have 96 bits.
+    runs (a spread by document and place, len > 0); the rest go to their group with len 0. Hashes have 96 bits.
     """
     reach = period - 1
 
@@ -184,7 +184,7 @@ def _window_rows(window: int, period: int):
                 order = np.lexsort((p, d))
                 d, p = d[order], p[order]
                 cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)])
-                yield pd.DataFrame({"a": common.mix(d[cut].astype(np.uint64)).view(np.int64), "b": np.zeros(len(cut), np.int32), "doc": d[cut], "pos": p[cut].astype(np.int32), "len": np.diff(np.r_[cut, len(d)]).astype(np.int32)})
+                yield pd.DataFrame({"a": common.mix(d[cut].astype(np.uint64) * np.uint64(common.BASES[0]) + p[cut].astype(np.uint64)).view(np.int64), "b": np.zeros(len(cut), np.int32), "doc": d[cut], "pos": p[cut].astype(np.int32), "len": np.diff(np.r_[cut, len(d)]).astype(np.int32)})
 
     return run
 
@@ -265,37 +265,6 @@ def _kept(window: int, texts: bool):
     return run
 
 
-#: Bits of the filter that tells tasks which documents can be left where they are: 2 MB, whatever the size of the corpus.
-FILTER_BITS = 24
-
-
-def _place(doc: Column) -> Column:
-    return F.pmod(F.xxhash64(doc), F.lit(1 << FILTER_BITS))
-
-
-def _listed(ids: DataFrame, column: str):
-    """A test (doc_id, place) -> whether the document may be among ``ids``; false alarms only grow with the ids.
-
-    The bits are set by bitmap aggregates, 4 kB for each 32,768 places, so what is collected and sent has a fixed size.
-    """
-    place = _place(F.col(column))
-    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    bits = {r["bucket"]: np.frombuffer(bytes(r["bits"]), np.uint8) for r in rows}
-    sent = ids.sparkSession.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def may_hold(bucket: pd.Series, at: pd.Series) -> pd.Series:
-        out = np.zeros(len(bucket), bool)
-        for b in bucket.unique().tolist():
-            if b in sent.value:
-                own = (bucket == b).to_numpy()
-                p = at.to_numpy()[own]
-                out[own] = sent.value[b][p // 8] >> (p % 8).astype(np.uint8) & 1
-        return pd.Series(out)
-
-    return lambda doc: may_hold(F.bitmap_bucket_number(_place(doc)), F.bitmap_bit_position(_place(doc)))
-
-
 def dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256[, kept_text]), one for each row of ``docs`` (doc_id, text).
 
@@ -314,7 +283,7 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     named = rows.filter("doc_id is not null")
     anchors = named.mapInPandas(_anchor_rows(window, period), "k long, t long, doc long, pos int").repartition(n, "k").sortWithinPartitions("k")
     shared = common.materialize(anchors.mapInPandas(_shared_anchors, "doc long, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at")))
-    moved = named.filter(_listed(shared, "doc")(F.col("doc_id")))
+    moved = common.flagged(named, F.col("doc_id"), shared, "doc", "_may").filter("_may")
     near = common.materialize(moved.join(shared.hint("shuffle_merge"), moved["doc_id"] == shared["doc"]).select("doc_id", "raw", "at"))
     cut = near.mapInPandas(_window_rows(window, period), "a long, b int, doc long, pos int, len int")
     cut = cut.repartition(n, "a", "b").sortWithinPartitions("a", "b", "doc")
