@@ -143,7 +143,7 @@ def compiled(model: Model) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Model:
     """Fit on a bounded sample of labelled rows; rows set aside by held_out() never enter."""
-    rows = text_stats.sample(docs, labels, most, True)
+    rows = text_stats.sample(docs, labels, most)
     return fit(rows[list(FEATURES)].to_numpy(np.float64), rows["quality"].to_numpy(np.float64))
 
 

@@ -1,13 +1,14 @@
 """Operator 8, quality rules: base rules, then an isolation forest on the rule statistics.
 
 Documents that random splits isolate after few steps are anomalous. The forest is grown on a bounded sample of documents
-labelled as good, and the cut is calibrated on labelled rows so that at most MISS of the good ones would go.
+labelled as good, and the cut is calibrated on all labelled rows so that at most MISS of the good ones would go. Rows that
+held_out() sets aside take no part in either.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common, text_stats
 
 FEATURES = text_stats.RATIOS
-#: Labelled rows that the forest and its cut are fitted on, at most.
+#: Labelled rows that the forest is grown on, at most; the cut takes all of them.
 MOST_ROWS = 20_000
 TREES, SUBSAMPLE, SEED = 100, 256, 5
 #: How far beyond the rows at a node a split may fall, in widths of their range, and the depth this adds.
@@ -93,31 +94,53 @@ def anomaly(forest: Forest, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(forest.feature) / forest.unit)
 
 
-def calibrate(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut above which documents go: the lowest that at most MISS of the good rows exceed; inf without good rows.
+def failed(df: DataFrame | pd.DataFrame):
+    """Whether the base rules reject a row of statistics."""
+    return (df["n_words"] < LEAST_WORDS) | (100 * df["n_repeat_words"] > MOST_REPEATED_PERCENT * df["n_words"])
+
+
+def ranked(rows: DataFrame, column: str, rank: int, bins: int = 4096, rounds: int = 4) -> float:
+    """The value of a column of numbers from 0 to 1 that has ``rank`` rows below it: counts in ever finer bins, no sort."""
+    low, width = 0.0, 1.0
+    for _ in range(rounds):
+        inside = rows.filter((F.col(column) >= low) & (F.col(column) < low + width) if low + width < 1 else F.col(column) >= low)
+        place = F.least(F.floor((F.col(column) - low) / (width / bins)), F.lit(bins - 1)).cast("int")
+        for k, n in sorted((r["k"], r["n"]) for r in inside.groupBy(place.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if rank < n:
+                break
+            rank -= n
+        low, width = low + k * (width / bins), width / bins
+    return rows.filter(F.col(column) >= low).agg(F.min(column)).first()[0]
+
+
+def calibrate(seen: DataFrame) -> float:
+    """The cut above which documents go, from labelled rows (quality, anomaly): the lowest that at most MISS of the good rows
+    exceed; inf without good rows.
 
     From there it rises as long as no further bad row is let through, to the middle of the gap below the next one.
     """
-    if not len(good):
+    good, bad = seen.filter("quality = 1"), seen.filter("quality = 0")
+    n = good.count()
+    if not n:
         return float("inf")
-    low = float(np.sort(good)[max(0, int(np.ceil(len(good) * (1 - MISS))) - 1)])
-    above = bad[bad > low]
-    if not len(above):
+    low = ranked(good, "anomaly", max(0, int(np.ceil(n * (1 - MISS))) - 1))
+    above = bad.filter(F.col("anomaly") > low).agg(F.min("anomaly")).first()[0]
+    if above is None:
         return low
-    return (max(low, float(good[good < above.min()].max(initial=low))) + float(above.min())) / 2
+    return (max(low, good.filter(F.col("anomaly") < above).agg(F.max("anomaly")).first()[0] or low) + above) / 2
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Forest | None:
-    """Forest and cut from a bounded sample of labelled rows; None without rows labelled as good."""
-    rows = text_stats.sample(docs, labels, most, False)
-    x, y = rows[list(FEATURES)].to_numpy(np.float64), rows["quality"].to_numpy()
-    base = (rows["n_words"] < LEAST_WORDS) | (100 * rows["n_repeat_words"] > MOST_REPEATED_PERCENT * rows["n_words"])
-    x, y = x[~base.to_numpy()], y[~base.to_numpy()]
-    if not (y == 1).any():
+    """Forest from a bounded sample of labelled rows, cut from all of them; None without rows labelled as good."""
+    rows = text_stats.sample(docs, labels, most)
+    good = rows[(rows["quality"] == 1) & ~failed(rows)]
+    if not len(good):
         return None
-    forest = grow(x[y == 1])
-    a = anomaly(forest, x)
-    return Forest(forest.feature, forest.threshold, forest.child, forest.length, forest.unit, calibrate(a[y == 1], a[y == 0]))
+    forest = grow(good[list(FEATURES)].to_numpy(np.float64))
+    known = text_stats.labelled(labels)
+    some = common.flagged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.col("doc_id"), known, "doc_id", "_may").filter("_may")
+    seen = judged(some, forest).filter("not base_failed").select("doc_id", "anomaly").join(known, "doc_id")
+    return replace(forest, cut=calibrate(common.materialize(seen.select("quality", "anomaly"))))
 
 
 def judged(docs: DataFrame, forest: Forest | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -127,33 +150,34 @@ def judged(docs: DataFrame, forest: Forest | None, carry: tuple[str, ...] = ("do
     are judged like others; without a forest (no labelled rows) the base rules decide; an empty table gives no rows. The
     forest is of fixed size and goes to the tasks with the function. No shuffle.
     """
-    seen = text_stats.measured(docs, carry)
-    fields = {f.name: f.dataType.simpleString() for f in seen.schema}
     names = [*carry, *text_stats.COUNTS]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[names].copy()
-            out["anomaly"] = anomaly(forest, batch[list(FEATURES)].to_numpy(np.float64)) if forest is not None else 0.0
-            yield out
+    def rate(rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[names].copy()
+        out["anomaly"] = anomaly(forest, rows[list(FEATURES)].to_numpy(np.float64)) if forest is not None else 0.0
+        return out
 
-    got = seen.mapInPandas(run, ", ".join(f"`{c}` {fields[c]}" for c in names) + ", anomaly double")
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    got = text_stats.measured(docs, carry, rate, ", ".join([*(f"{c} long" for c in text_stats.COUNTS), "anomaly double"]))
     cut = float(forest.cut) if forest is not None else float("inf")
-    return got.select(*names, failed.alias("base_failed"), "anomaly", (~failed & (F.col("anomaly") <= F.lit(cut))).alias("kept"))
+    bad = failed(got)
+    return got.select(*names, bad.alias("base_failed"), "anomaly", (~bad & (F.col("anomaly") <= F.lit(cut))).alias("kept"))
 
 
 def filtered(docs: DataFrame, forest: Forest | None) -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they are. Only the texts pass through Python."""
+    """The rows of ``docs`` that are kept, all columns as they are. Only the texts pass through Python.
+
+    Null and empty texts have no words and go; null ids and repeated rows are judged like others; an empty table stays empty.
+    """
 
     @F.pandas_udf("boolean")
     def keep(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = common.WordHashes()
         for batch in batches:
             rows = pd.DataFrame([text_stats.of_text(raw, hashes) for raw in batch], columns=[*text_stats.COUNTS, *text_stats.RATIOS])
-            bad = (rows["n_words"] < LEAST_WORDS) | (100 * rows["n_repeat_words"] > MOST_REPEATED_PERCENT * rows["n_words"])
+            bad = failed(rows)
             if forest is not None:
                 bad |= anomaly(forest, rows[list(FEATURES)].to_numpy(np.float64)) > forest.cut
             yield ~bad
 
+    common.small_batches(docs)
     return docs.filter(keep(common.raw_text()))

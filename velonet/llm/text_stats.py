@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -75,32 +75,36 @@ def of_text(raw: bytes, hashes: common.WordHashes) -> tuple:
     )
 
 
-def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` and the statistics of each row's whole text (null: empty)."""
+def measured(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), then: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str = SCHEMA) -> DataFrame:
+    """``carry`` and the statistics of each row's whole text (null: empty), or what ``then`` makes of them in the same pass."""
     fields = dict((f.name, f.dataType.simpleString()) for f in docs.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = common.WordHashes()
-        for batch in batches:
+        for batch in common.chunks(batches, "raw"):
             got = pd.DataFrame([of_text(raw, hashes) for raw in batch["raw"]], columns=[*COUNTS, *RATIOS])
             for i, c in enumerate(carry):
                 got.insert(i, c, batch[c].reset_index(drop=True))
-            yield got
+            yield then(got) if then else got
 
+    common.small_batches(docs)
     source = docs.select(*carry, common.raw_text().alias("raw"))
-    return source.mapInPandas(run, ", ".join(f"`{c}` {fields[c]}" for c in carry) + ", " + SCHEMA)
+    return source.mapInPandas(run, ", ".join(f"`{c}` {fields[c]}" for c in carry) + ", " + schema)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int, labelled_only_trained: bool) -> pd.DataFrame:
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the rows that may train: one for each id, 1 where its labels differ; held-out ids never enter."""
+    rows = labels.filter("doc_id is not null and quality in (0, 1)").filter(~common.held_out())
+    return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, most: int) -> pd.DataFrame:
     """Statistics and ``quality`` of at most ``most`` labelled documents, those whose id hashes lowest.
 
-    The ids are the only thing that is broadcast, and ``most`` bounds them; with ``labelled_only_trained`` rows that
-    held_out() sets aside never enter.
+    One row for each id, however many rows of ``docs`` share it (of different texts the one with the least statistics).
+    The ids are the only thing that is broadcast, and ``most`` bounds them.
     """
-    ids = labels.filter("doc_id is not null and quality in (0, 1)")
-    if labelled_only_trained:
-        ids = ids.filter(~common.held_out())
-    ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    got = measured(rows, ("doc_id", "quality")).toPandas()
-    return got.drop_duplicates().sort_values("doc_id").reset_index(drop=True)
+    one = measured(rows, ("doc_id", "quality")).groupBy("doc_id", "quality").agg(F.min(F.struct(*COUNTS, *RATIOS)).alias("m"))
+    return one.select("doc_id", "quality", "m.*").toPandas().sort_values("doc_id").reset_index(drop=True)
