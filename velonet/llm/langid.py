@@ -137,19 +137,21 @@ def _training_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 
 
 def train(docs: DataFrame, most: int = MOST_ROWS) -> Network | None:
-    """Train on a bounded sample: of each language the texts whose ids hash lowest; None without any labelled text.
+    """Train on a bounded sample: of each language the texts whose hashes are lowest; None without any labelled text.
 
-    Every label counts as a language. Rows that held_out() sets aside never enter. What comes to the driver is windows of
-    fixed size of about ``most`` texts, or of LEAST_EACH a language where that is more.
+    Every label counts as a language. Rows that held_out() sets aside never enter; rows equal in id, label and text are one
+    text. What comes to the driver is windows of fixed size of about ``most`` texts, or of LEAST_EACH a language where that
+    is more.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~common.held_out())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()}
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
     if not counts:
         return None
     each = max(LEAST_EACH, most // len(counts))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.1 * each / n)))])
-    place = F.xxhash64("doc_id") / F.lit(float(2**64)) + 0.5
-    picked = rows.filter(place <= share[F.col("lang")]).select("doc_id", "lang", common.raw_text().alias("raw"))
+    place = F.col("key") / F.lit(float(2**64)) + 0.5
+    picked = rows.filter(place <= share[F.col("lang")]).dropDuplicates(["lang", "key"]).select("doc_id", "lang", common.raw_text().alias("raw"))
     got = picked.mapInPandas(_training_windows, "doc_id long, part int, lang string, window binary").toPandas()
     got = got.sort_values(["doc_id", "part", "window"]).reset_index(drop=True)
     langs = tuple(sorted(set(got["lang"])))
@@ -169,7 +171,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
     A null or letterless text is ``und`` with score 0, as is every text when nothing could be learned; null ids are not
     held out; repeated rows stay; an empty table gives no rows; further columns are ignored. The network has a fixed
-    size and goes to the tasks with the function. No shuffle.
+    size and goes to the tasks with the function. Of languages with equal probabilities the first in order wins. No shuffle.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
