@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Spans are gathered in blocks of this many matches, so that long texts do not copy ever longer arrays.
 STEP = 256
 #: Code points before a span in which context words count.
@@ -86,48 +88,58 @@ ADDED = (
 CONTEXT_GAIN, ACCEPT = 0.3, 0.5
 
 
-def find(text: Column, kind: Kind) -> Column:
+#: Code points in a block of text, from which the pieces between tags are taken.
+CUT = 4096
+
+
+def find(found: Column, between: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind in order: array of (kind, start, end, score), offsets in code points, end exclusive.
 
-    Columns ``_m_<kind>`` and ``_p_<kind>`` hold the matches and the pieces between them.
+    ``found`` and ``between`` hold the matches and the pieces between them; null without a match. The context of a match
+    is the end of what was passed so far, so a text is gone through once, however many matches it has.
     """
     none = F.array().cast(SPAN)
-    found, between = F.col(f"_m_{kind.name}"), F.col(f"_p_{kind.name}")
-    acc_type = f"struct<at:int,out:{SPAN}>"
+    acc_type = f"struct<at:int,tail:string,out:{SPAN}>"
+    last = lambda c: F.substring(c, -CONTEXT, CONTEXT)
 
     def one(acc: Column, i: Column) -> Column:
-        m = F.element_at(found, i)
-        start = acc["at"] + F.length(F.element_at(between, i))
+        m, piece = F.element_at(found, i), F.element_at(between, i)
+        start = acc["at"] + F.length(piece)
         end = start + F.length(m)
-        near = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))).rlike(kind.context)
-        score = F.lit(kind.score) + F.when(near, CONTEXT_GAIN).otherwise(0.0)
+        ahead = last(F.concat(acc["tail"], last(piece)))
+        score = F.lit(kind.score) + F.when(F.lower(ahead).rlike(kind.context), CONTEXT_GAIN).otherwise(0.0)
         span = F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
         keep = kind.valid(m) if kind in BASE else kind.valid(m) & (score >= ACCEPT)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out")).cast(acc_type)
+        tail = last(F.concat(ahead, last(m)))
+        return F.struct(end.alias("at"), tail.alias("tail"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out")).cast(acc_type)
 
     def block(acc: Column, b: Column) -> Column:
         first = b * STEP + 1
-        inner = F.aggregate(F.sequence(first, F.least(first + STEP - 1, F.size(found))), F.struct(acc["at"].alias("at"), none.alias("out")).cast(acc_type), one)
+        inner = F.aggregate(F.sequence(first, F.least(first + STEP - 1, F.size(found))), F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), none.alias("out")).cast(acc_type), one)
         # the inner result is used twice: bind it with a one-element transform
-        return F.element_at(F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), 1)
+        return F.element_at(F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), r["tail"].alias("tail"), F.concat(acc["out"], F.array(r["out"])).alias("out"))), 1)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("out"))
     blocks = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / STEP).cast("int")), start, block)
     return F.when(F.coalesce(F.size(found), F.lit(0)) > 0, F.flatten(blocks["out"])).otherwise(none)
 
 
-def detect(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + ADDED) -> DataFrame:
-    """``docs`` with columns ``_s_<kind>``: its spans in each text (null: empty). Rows and other columns stay."""
+def detect(docs: DataFrame, kinds: tuple[Kind, ...] = BASE + ADDED) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with one more column for each kind, its spans in each text (null: empty), and the names of these columns.
+
+    Rows and other columns stay; the new columns' names are none of theirs.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
+    name = {(x, k.name): common.fresh(f"_{x}_{k.name}", docs.columns) for k in kinds for x in "mps"}
     out = docs
     for kind in kinds:
         found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-        out = out.withColumn(f"_m_{kind.name}", F.when(text.contains(kind.needs), found) if kind.needs else found)
+        out = out.withColumn(name["m", kind.name], F.when(text.contains(kind.needs), found) if kind.needs else found)
     for kind in kinds:
-        out = out.withColumn(f"_p_{kind.name}", F.when(F.size(f"_m_{kind.name}") > 0, F.split(text, kind.pattern, -1)))
+        out = out.withColumn(name["p", kind.name], F.when(F.size(name["m", kind.name]) > 0, F.split(text, kind.pattern, -1)))
     for kind in kinds:
-        out = out.withColumn(f"_s_{kind.name}", find(text, kind))
-    return out.drop(*[f"_{x}_{k.name}" for k in kinds for x in "mp"])
+        out = out.withColumn(name["s", kind.name], find(F.col(name["m", kind.name]), F.col(name["p", kind.name]), kind))
+    return out.drop(*[name[x, k.name] for k in kinds for x in "mp"]), {k.name: name["s", k.name] for k in kinds}
 
 
 def written(spans: Column) -> Column:
@@ -141,12 +153,12 @@ def report(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans; repeated rows and null ids are reported like others; an empty table gives no
     rows; further columns are ignored.
     """
-    seen = detect(docs.select("doc_id", "text"))
-    base = F.concat(*[F.col(f"_s_{k.name}") for k in BASE])
-    every = F.concat(*[F.col(f"_s_{k.name}") for k in BASE + ADDED])
+    seen, name = detect(docs.select("doc_id", "text"))
+    base = F.concat(*[F.col(name[k.name]) for k in BASE])
+    every = F.concat(*[F.col(name[k.name]) for k in BASE + ADDED])
     return seen.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        *[F.size(f"_s_{k.name}").cast("long").alias(f"n_{k.name}") for k in BASE],
+        *[F.size(name[k.name]).cast("long").alias(f"n_{k.name}") for k in BASE],
         F.sha2(written(base), 256).alias("base_sha256"),
         written(every).alias("spans"),
         F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["score"].alias("score"))).alias("scored"),
@@ -154,29 +166,45 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind's tag; overlapping spans become one tag.
+    """``docs`` with every span of ``text`` replaced by its kind's tag; overlapping spans become one tag, the first's.
 
-    Null texts stay null; other columns stay, but ``n_chars``, where there is one, follows the new text.
+    Null texts stay null, empty ones empty; repeated rows and null ids are treated like others; an empty table stays
+    empty; other columns stay, but ``n_chars``, where there is one, follows the new text.
     """
     names = docs.columns
     kinds = BASE + ADDED
+    found, name = detect(docs, kinds)
+    spans, cut = common.fresh("_spans", found.columns), common.fresh("_cut", found.columns)
     tags = F.create_map(*[x for k in kinds for x in (F.lit(k.name), F.lit(k.tag))])
     ordered = F.array_sort(
-        F.flatten(F.array(*[F.transform(F.col(f"_s_{k.name}"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))) for k in kinds]))
+        F.flatten(F.array(*[F.transform(F.col(name[k.name]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))) for k in kinds]))
     )
     text = F.col("text")
 
+    def between(a: Column, b: Column) -> Column:
+        """The text from a to b, taken from the blocks that hold it."""
+        k = F.floor(a / CUT).cast("int")
+        return F.substring(F.array_join(F.slice(cut, k + 1, F.floor(b / CUT).cast("int") - k + 1), ""), a - k * CUT + 1, b - a)
+
     def put(acc: Column, s: Column) -> Column:
         start, end = s["start"], -s["less"]
-        gap = F.substring(text, acc["at"] + 1, start - acc["at"])
-        return F.when(start >= acc["at"], F.struct(end.alias("at"), F.concat(acc["out"], F.array(gap, tags[s["kind"]])).alias("out"))).otherwise(
+        return F.when(start >= acc["at"], F.struct(end.alias("at"), F.concat(acc["out"], F.array(between(acc["at"], start), tags[s["kind"]])).alias("out"))).otherwise(
             F.struct(F.greatest(end, acc["at"]).alias("at"), acc["out"].alias("out"))
         )
 
-    joined = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), put)
-    rest = F.element_at(F.transform(F.array(joined), lambda r: F.concat(F.array_join(r["out"], ""), F.substring(text, r["at"] + 1, F.length(text)))), 1)
-    out = detect(docs, kinds).withColumn("_spans", ordered)
-    out = out.withColumn("text", F.when(F.size("_spans") > 0, rest).otherwise(text))
+    acc_type = "struct<at:int,done:array<array<string>>,out:array<string>>"
+    some = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def block(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(F.slice(spans, b * STEP + 1, STEP), F.struct(acc["at"].alias("at"), some["out"].alias("out")), put)
+        return F.element_at(F.transform(F.array(inner), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["done"], F.array(r["out"])).alias("done"), acc["out"].alias("out")).cast(acc_type)), 1)
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("out")).cast(acc_type)
+    joined = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / STEP).cast("int")), begin, block)
+    rest = F.element_at(F.transform(F.array(joined), lambda r: F.concat(F.array_join(F.flatten(r["done"]), ""), between(r["at"], F.length(text)))), 1)
+    out = found.withColumn(spans, ordered)
+    out = out.withColumn(cut, F.when(F.size(spans) > 0, F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CUT), F.lit(0))))
+    out = out.withColumn("text", F.when(F.size(spans) > 0, rest).otherwise(text))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*names)
