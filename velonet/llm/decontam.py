@@ -284,7 +284,12 @@ def _free(sent):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, all columns as they are. Only texts pass through Python."""
+    """The rows of ``docs`` in which no item is found, all columns as they are. Only texts pass through Python.
+
+    Null and empty texts stay; null ids and repeated rows are searched like others; an empty table stays empty, an empty
+    benchmark finds nothing.
+    """
+    common.small_batches(docs)
     out = docs
     for block in _blocks(docs.sparkSession, benchmark):
         index = build(block)
