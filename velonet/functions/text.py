@@ -12,6 +12,7 @@ SUFFIXES = {
     "ave": "avenue", "av": "avenue", "blvd": "boulevard", "cres": "crescent", "crt": "court", "dr": "drive", "hwy": "highway", "ln": "lane",
     "pkwy": "parkway", "pl": "place", "priv": "private", "rd": "road", "st": "street", "terr": "terrace", "way": "way",
 }
+#: Fixed values.
 CONJUNCTIONS = (" & ", " - ", " to ")
 STRUCTURES = ("bridge", "tunnel", "underpass", "overpass")
 DIRECTIONS = {"s": "south", "n": "north", "w": "west", "e": "east", "sw": "southwest", "se": "southeast", "nw": "northwest", "ne": "northeast"}
@@ -101,9 +102,25 @@ def coordinate_code(degrees: Column) -> Column:
     return chars64(F.floor((degrees + 8) * 1000000).cast("long"))
 
 
+def fixed(v: Column, places: int) -> Column:
+    """|v| with so many decimals (v below 2**43), rounded by its exact binary value as C does, of two equally near to the even one.
+
+    format_string would round the shortest decimal that stands for v. The product v * 10**places is taken in two doubles.
+    """
+    v, scale = F.abs(v), float(10**places)
+    high = v * 134217729.0
+    head = high - (high - v)
+    p = v * scale
+    low = (head * scale - p) + (v - head) * scale
+    whole = F.floor(p)
+    over = (p - whole - 0.5) + low
+    n = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(n / int(scale)).cast("string"), *([F.lit("."), F.lpad((n % int(scale)).cast("string"), places, "0")] if places else []))
+
+
 def lonlat_label(lon: Column, lat: Column, places: int = 5) -> Column:
     """Degrees with a hemisphere letter each, latitude first."""
-    one = lambda v, a, b: F.concat(F.format_string(f"%.{places}f", F.abs(v)), F.lit("°"), F.when(v < 0, b).otherwise(a))
+    one = lambda v, a, b: F.concat(fixed(v, places), F.lit("°"), F.when(v < 0, b).otherwise(a))
     return F.concat(one(lat, "N", "S"), F.lit(" "), one(lon, "E", "W"))
 
 

@@ -94,9 +94,8 @@ def ranked_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (node, root, size, rank): lone nodes included, the largest component ranks 1."""
     labelled = nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     size = labelled.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    # sizes are few compared with nodes: the ranking runs over distinct sizes, not over all components in one task
-    levels = size.select("size").distinct()
-    order = levels.alias("x").join(levels.alias("y"), F.col("y.size") > F.col("x.size"), "left").groupBy(F.col("x.size").alias("size")).agg((F.count("y.size") + 1).alias("rank"))
+    # sizes are few: n components with nodes in all have at most sqrt(2 * nodes) different ones, which one task can rank
+    order = size.select("size").distinct().withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"))))
     return labelled.join(size.join(order, "size"), "root").select("node", "root", "size", "rank")
 
 
@@ -127,21 +126,30 @@ def connecting_edge(edges: DataFrame) -> DataFrame:
     return f.union(b).groupBy("node", "neighbour").agg(F.max(F.struct("tr_id", "dir")).alias("m")).select("node", "neighbour", "m.tr_id", "m.dir")
 
 
+def _zeros(arc: Column, zeros: Column) -> Column:
+    """Arcs of cost 0 that end a way, once an arc is added to it."""
+    return F.when(arc > 0, 0).otherwise(zeros + 1)
+
+
 def frontier_paths(graph: DataFrame, sources: DataFrame, limit: float, hops: int | None = None) -> DataFrame:
-    """Rows (source, node, cost): least costs up to ``limit`` (and over at most ``hops`` arcs, if given).
+    """Rows (source, node, cost, zeros): least costs up to ``limit`` (and over at most ``hops`` arcs, if given).
 
-    Each round extends only the nodes that improved in the last one by an equality join on the arcs, and merges by a
-    minimum; state is checkpointed, so the plan does not grow.
+    Of ways of equal cost that one counts which ends in the fewest arcs of cost 0, ``zeros``. Each round extends only the
+    nodes that improved in the last one by an equality join on the arcs, and merges by a minimum; state is checkpointed,
+    so the plan does not grow.
     """
-    best = settle(sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0.0).alias("cost")))
+    label, old = F.struct("cost", "zeros"), F.struct(F.col("cost").alias("cost"), F.col("zeros").alias("zeros"))
+    best = settle(sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("zeros")).distinct())
     fresh = best
     done = 0
     while hops is None or done < hops:
-        step = fresh.join(graph, fresh["node"] == graph["src"]).select("source", F.col("dst").alias("node"), (fresh["cost"] + graph["cost"]).alias("cost")).filter(F.col("cost") <= limit)
-        step = step.groupBy("source", "node").agg(F.min("cost").alias("new"))
-        merged = settle(best.join(step, ["source", "node"], "full").select("source", "node", F.least("cost", "new").alias("cost"), (F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost")))).alias("better")))
-        best = merged.select("source", "node", "cost")
-        fresh = merged.filter("better").select("source", "node", "cost")
+        step = fresh.join(graph.withColumnRenamed("cost", "arc"), fresh["node"] == graph["src"]).select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("arc")).alias("cost"), _zeros(F.col("arc"), F.col("zeros")).alias("zeros"))
+        step = step.filter(F.col("cost") <= limit).groupBy("source", "node").agg(F.min(label).alias("new"))
+        better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < old))
+        merged = best.join(step, ["source", "node"], "full").withColumn("better", F.coalesce(better, F.lit(False)))
+        merged = settle(merged.withColumn("now", F.when(F.col("better"), F.col("new")).otherwise(old)).select("source", "node", "now.cost", "now.zeros", "better"))
+        best = merged.drop("better")
+        fresh = merged.filter("better").drop("better")
         done += 1
         if fresh.isEmpty():
             break
@@ -149,51 +157,57 @@ def frontier_paths(graph: DataFrame, sources: DataFrame, limit: float, hops: int
 
 
 class Csr:
-    """Arcs as arrays sorted by source, with nodes numbered from 0."""
+    """Arcs as arrays sorted by source, with nodes numbered from 0 in order; scratch arrays serve one search after another."""
 
     def __init__(self, src: np.ndarray, dst: np.ndarray, cost: np.ndarray) -> None:
         self.nodes, both = np.unique(np.r_[src, dst], return_inverse=True)
         a, b = both[: len(src)], both[len(src) :]
         order = np.lexsort((b, a))
-        self.dst, self.cost = b[order], cost[order]
-        self.first = np.searchsorted(a[order], np.arange(len(self.nodes) + 1))
-
-    def dijkstra(self, start: int, limit: float) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Costs, predecessors, and the nodes reached in order of cost."""
-        cost = np.full(len(self.nodes), np.inf)
-        before = np.full(len(self.nodes), -1, np.int64)
-        cost[start] = 0.0
-        heap, order = [(0.0, start)], []
-        closed = np.zeros(len(self.nodes), bool)
+        self.dst, self.arc = b[order].tolist(), cost[order].tolist()
+        self.first = np.searchsorted(a[order], np.arange(len(self.nodes) + 1)).tolist()
+
+    def dijkstra(self, start: int, limit: float) -> tuple[list[int], list[float], list[int], list[int]]:
+        """The nodes reached in order, with cost, arcs of cost 0 at the end, and predecessor (-1 at the start).
+
+        Of predecessors that give a node its label (cost, zeros) the smallest counts: with zeros 0 they cost less than the
+        node, else they have one zero less, so there are no circles. Only nodes that are reached take memory.
+        """
+        label, before, closed, order = {start: (0.0, 0)}, {start: -1}, set(), []
+        heap = [(0.0, 0, start)]
         while heap:
-            c, n = heapq.heappop(heap)
-            if closed[n]:
+            c, z, n = heapq.heappop(heap)
+            if n in closed:
                 continue
-            closed[n] = True
+            closed.add(n)
             order.append(n)
-            a, b = self.first[n], self.first[n + 1]
-            near, new = self.dst[a:b], c + self.cost[a:b]
-            better = (new < cost[near]) & (new <= limit)
-            for m, v in zip(near[better].tolist(), new[better].tolist(), strict=True):
-                if v < cost[m]:
-                    cost[m], before[m] = v, n
-                    heapq.heappush(heap, (v, m))
-        return cost, before, order
+            for k in range(self.first[n], self.first[n + 1]):
+                arc, m = self.arc[k], self.dst[k]
+                v = c + arc
+                if v > limit or m in closed:
+                    continue
+                new, now = (v, 0 if arc > 0 else z + 1), label.get(m)
+                if now is None or new < now:
+                    label[m], before[m] = new, n
+                    heapq.heappush(heap, (*new, m))
+                elif new == now and n < before[m]:
+                    before[m] = n
+        return order, [label[n][0] for n in order], [label[n][1] for n in order], [before[n] for n in order]
 
 
 def paths(graph: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
-    """Rows (source, node, cost, previous) of all nodes within ``limit`` of each source.
+    """Rows (source, node, cost, zeros, previous) of all nodes within ``limit`` of each source.
 
-    The kernel serves graphs of at most KERNEL_ARCS arcs, checked by a count; larger ones go by frontier joins.
+    ``previous`` is the smallest node from which the least cost is met (see Csr.dijkstra). The kernel serves graphs of at
+    most KERNEL_ARCS arcs, checked by a count; larger ones go by frontier joins, with the same rows.
     """
     spark = graph.sparkSession
     if graph.count() > KERNEL_ARCS:
-        best = frontier_paths(graph, sources, limit)
-        # the predecessor is the smallest node from which the least cost is met
-        far = best.select(F.col("source"), F.col("node").alias("dst"), F.col("cost").alias("end"))
-        via = best.join(graph.withColumnRenamed("cost", "arc"), best["node"] == graph["src"]).join(far, ["source", "dst"]).filter(F.abs(F.col("cost") + F.col("arc") - F.col("end")) < 1e-9)
+        best = frontier_paths(graph.withColumn("cost", F.col("cost").cast("double")), sources, limit)
+        far = best.select(F.col("source"), F.col("node").alias("dst"), F.col("cost").alias("end"), F.col("zeros").alias("end_zeros"))
+        via = best.join(graph.withColumnRenamed("cost", "arc"), best["node"] == graph["src"]).join(far, ["source", "dst"])
+        via = via.filter((F.col("cost") + F.col("arc") == F.col("end")) & (_zeros(F.col("arc"), F.col("zeros")) == F.col("end_zeros")) & (F.col("dst") != F.col("source")))
         prev = via.groupBy("source", "dst").agg(F.min("node").alias("previous")).withColumnRenamed("dst", "node")
-        return best.join(prev, ["source", "node"], "left").select("source", "node", "cost", "previous")
+        return best.join(prev, ["source", "node"], "left").select("source", "node", "cost", "zeros", "previous")
     flat = graph.select("src", "dst", "cost").toPandas()
     sent = spark.sparkContext.broadcast((flat["src"].to_numpy(np.int64), flat["dst"].to_numpy(np.int64), flat["cost"].to_numpy(float)))
 
@@ -203,15 +217,18 @@ def paths(graph: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
             for s in batch["source"].tolist():
                 i = int(np.searchsorted(csr.nodes, s))
                 if i == len(csr.nodes) or csr.nodes[i] != s:
-                    yield pd.DataFrame({"source": [s], "node": [s], "cost": [0.0], "previous": pd.array([None], "Int64")})
+                    yield pd.DataFrame({"source": [s], "node": [s], "cost": [0.0], "zeros": [0], "previous": pd.array([None], "Int64")})
                     continue
-                cost, before, order = csr.dijkstra(i, limit)
-                got = np.array(order)
-                prev = pd.array(csr.nodes[np.maximum(before[got], 0)], "Int64")
-                prev[before[got] < 0] = None
-                yield pd.DataFrame({"source": s, "node": csr.nodes[got], "cost": cost[got], "previous": prev})
+                order, cost, zeros, before = csr.dijkstra(i, limit)
+                before = np.array(before)
+                prev = pd.array(csr.nodes[np.maximum(before, 0)], "Int64")
+                prev[before < 0] = None
+                yield pd.DataFrame({"source": s, "node": csr.nodes[np.array(order)], "cost": cost, "zeros": zeros, "previous": prev})
 
-    return sources.select(F.col("source").cast("long").alias("source")).mapInPandas(run, "source long, node long, cost double, previous long")
+    # a few searches a task: sources are few rows, which would else sit in one partition
+    dealt = sources.select(F.col("source").cast("long").alias("source")).distinct()
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source")
+    return dealt.mapInPandas(run, "source long, node long, cost double, zeros int, previous long")
 
 
 def anchor(sites: DataFrame, hits: DataFrame, edges: DataFrame) -> DataFrame:
@@ -250,12 +267,12 @@ def od_times(origins: DataFrame, destinations: DataFrame, tree: DataFrame, min_s
 def tree_loads(tree: DataFrame, trips: DataFrame) -> DataFrame:
     """Loads (node, previous, load) on the arcs of shortest-path trees.
 
-    ``tree`` (source, node, cost, previous), ``trips`` (source, node, weight). A tree is one task's group and has at most
+    ``tree`` (source, node, cost, zeros, previous), ``trips`` (source, node, weight). A tree is one task's group and has at most
     the nodes within the cost limit of its source; subtree sums run in decreasing cost.
     """
 
     def accumulate(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        t = left.sort_values(["cost", "node"], ascending=False)
+        t = left.sort_values(["cost", "zeros", "node"], ascending=False)
         place = {n: i for i, n in enumerate(t["node"].tolist())}
         w = np.zeros(len(t))
         for n, x in zip(right["node"].tolist(), right["weight"].tolist(), strict=True):

@@ -6,11 +6,14 @@ corner coordinates (poly, xs, ys). Nothing is broadcast by hand; Spark picks the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velonet.functions import arrays as A
+from velonet.operators.network import settle
 
 
 def cell_of(v: Column, size: float, low: float = 0.0, n: int | None = None) -> Column:
@@ -66,6 +69,16 @@ def foot(px: Column, py: Column) -> tuple[Column, Column, Column, Column]:
     return t, fx, fy, A.distance(px, py, fx, fy)
 
 
+def with_foot(df: DataFrame) -> DataFrame:
+    """With share, fx, fy and dist of foot() for the point x, y, one projection for each step, so that none is repeated."""
+    c = lambda n: F.col(n).cast("double")
+    out = df.withColumns({"_dx": c("x2") - c("x1"), "_dy": c("y2") - c("y1"), "_px": c("x") - c("x1"), "_py": c("y") - c("y1")})
+    out = out.withColumn("share", (F.col("_px") * F.col("_dx") + F.col("_py") * F.col("_dy")) / F.nullif(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"), F.lit(0.0)))
+    out = out.withColumn("share", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("share"))), F.lit(0.0)))
+    out = out.withColumns({"fx": c("x1") + F.col("share") * F.col("_dx"), "fy": c("y1") + F.col("share") * F.col("_dy")})
+    return out.withColumn("dist", A.distance(F.col("x"), F.col("y"), F.col("fx"), F.col("fy"))).drop("_dx", "_dy", "_px", "_py")
+
+
 def box_query(boxes: DataFrame, points: DataFrame, size: float) -> DataFrame:
     """Points (id, x, y) in the cells of each box (box, l, r, b, t): a superset of those inside, as the index gives it."""
     return hash_boxes(boxes, size).join(hash_points(points, size), ["cx", "cy"]).select("box", "id").distinct()
@@ -99,27 +112,43 @@ def polygon_of_points(points: DataFrame, polygons: DataFrame, size: float) -> Da
     return points_in_polygons(points, polygons, size).groupBy("id").agg(F.min("poly").alias("poly"))
 
 
+def dealt_out(df: DataFrame, key: str = "line") -> DataFrame:
+    """In all tasks, by key: adaptive execution leaves small tables in few, which would then make all their cells."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def cells_asked_for(cells: DataFrame, asked: DataFrame) -> DataFrame:
+    """Of the rows of ``cells`` (cx, cy, ..) those in a cell of ``asked``, dealt out by cell.
+
+    Only these go on to the exchange, which also keeps the generated code of both sides small enough to be compiled.
+    """
+    some = cells.join(asked.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+    return some.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cx", "cy")
+
+
 def nearest_line(points: DataFrame, segments: DataFrame, reach: float, size: float, first: float | None = None) -> DataFrame:
     """Rows (id, line, seg, share, fx, fy, dist): the nearest segment to each point (id, x, y) within ``reach``.
 
     Ties go to the smaller (line, seg). A ladder of radii: points solved within a small radius leave before the next,
-    four times wider one, so dense places never see the candidates of the widest search.
+    four times wider one, so dense places never see the candidates of the widest search. The rungs end with the points.
     """
     radius = first or min(reach, size)
-    left, out = points.select("id", "x", "y"), None
+    left, out, segments = points.select("id", "x", "y"), None, dealt_out(segments)
     while True:
         radius = min(radius, reach)
-        cell = max(size, radius)
-        lines = hash_segments(segments, cell)
-        near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        asked = hash_points(left, cell).withColumn("n", near).withColumns({"cx": F.col("cx") + F.col("n.i"), "cy": F.col("cy") + F.col("n.j")}).drop("n")
-        t, fx, fy, d = foot(F.col("x"), F.col("y"))
-        found = asked.join(lines, ["cx", "cy"]).withColumns({"share": t, "fx": fx, "fy": fy, "dist": d}).filter(F.col("dist") < radius)
-        best = found.groupBy("id").agg(F.min(F.struct("dist", "line", "seg", "share", "fx", "fy")).alias("m")).select("id", "m.line", "m.seg", "m.share", "m.fx", "m.fy", "m.dist")
+        # a point has one cell, a segment all cells within the radius of it
+        cell = max(size, 4 * radius)
+        asked = hash_points(left, cell)
+        lines = cells_asked_for(hash_segments(segments, cell, radius), asked)
+        # the radius is tested on the nearest only: a filter ahead would be moved into the join and repeat all steps
+        found = with_foot(asked.join(lines, ["cx", "cy"]))
+        best = found.groupBy("id").agg(F.min(F.struct("dist", "line", "seg", "share", "fx", "fy")).alias("m")).select("id", "m.line", "m.seg", "m.share", "m.fx", "m.fy", "m.dist").filter(F.col("dist") < radius)
+        if radius < reach:
+            best = settle(best)
         out = best if out is None else out.union(best)
-        if radius >= reach:
-            return out
         left = left.join(best.select("id"), "id", "left_anti")
+        if radius >= reach or left.isEmpty():
+            return out
         radius *= 4
 
 
@@ -198,16 +227,27 @@ def hex_population(points: DataFrame, weight: str, left: float, low: float, radi
     return points.groupBy(c.cast("long").alias("col"), r.cast("long").alias("row"), h.cast("long").alias("half")).agg(F.sum(weight).alias("pop"))
 
 
+def cubic_weight(d: Column, k: Column) -> Column:
+    """Weight of the cell k = -1, 0, 1 or 2 places on, at a share d of the way to the next one: cubic convolution."""
+    return (
+        F.when(k == -1, ((-0.5 * d + 1.0) * d - 0.5) * d)
+        .when(k == 0, (1.5 * d - 2.5) * d * d + 1.0)
+        .when(k == 1, ((-1.5 * d + 2.0) * d + 0.5) * d)
+        .otherwise((0.5 * d - 0.5) * d * d)
+    )
+
+
 def raster_sample(points: DataFrame, cells: DataFrame, left: float, top: float, size: float) -> DataFrame:
-    """Heights (id, h) of points by bilinear interpolation of raster cells (col, row, h); no height at the border or voids."""
+    """Heights (id, h) of points by bicubic interpolation of raster cells (col, row, h); none at the border or near voids.
+
+    The sixteen cells around a point decide (cubic convolution), so tiles of any number are joined by cell.
+    """
     u, v = (F.col("x") - left) / size - 0.5, (top - F.col("y")) / size - 0.5
     at = points.withColumns({"c0": F.floor(u).cast("long"), "r0": F.floor(v).cast("long"), "du": u - F.floor(u), "dv": v - F.floor(v)})
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1, 2) for j in (-1, 0, 1, 2)]))
     asked = at.withColumn("k", corner).withColumns({"col": F.col("c0") + F.col("k.i"), "row": F.col("r0") + F.col("k.j")})
-    wx = F.when(F.col("k.i") == 1, F.col("du")).otherwise(1 - F.col("du"))
-    wy = F.when(F.col("k.j") == 1, F.col("dv")).otherwise(1 - F.col("dv"))
-    got = asked.join(cells, ["col", "row"]).withColumn("part", wx * wy * F.col("h"))
-    return got.filter("h > -500").groupBy("id").agg(F.sum("part").alias("h"), F.count(F.lit(1)).alias("n")).filter("n = 4").select("id", "h")
+    got = asked.join(cells, ["col", "row"]).withColumn("part", cubic_weight(F.col("du"), F.col("k.i")) * cubic_weight(F.col("dv"), F.col("k.j")) * F.col("h"))
+    return got.filter("h > -500").groupBy("id").agg(F.sum("part").alias("h"), F.count(F.lit(1)).alias("n")).filter("n = 16").select("id", "h")
 
 
 def heat(points: DataFrame, weight: str, sigma: float, cell: float) -> DataFrame:
@@ -238,30 +278,30 @@ def conflate(lines: DataFrame, streets: DataFrame, step: float = 5.0, reach: flo
     one-way. Streets are cut into bins of ``step``; a bin takes the highest value, a street the most frequent value of
     its bins, of equals the larger, and nothing (0) only if at least half of its bins are empty.
     """
-    src = along(lines)
+    src = along(lines).filter("len > 0")
     w = W.partitionBy("line")
-    src = src.withColumns({"total": F.sum("len").over(w), "turn": A.line_angle(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))})
+    # direction of the bikeway as a unit vector, so that the tests below are products only
+    src = src.withColumns({"total": F.sum("len").over(w), "sx": (F.col("x2") - F.col("x1")) / F.col("len"), "sy": (F.col("y2") - F.col("y1")) / F.col("len")})
     start = F.pmod(F.col("total"), F.lit(step)) / 2
     lo, hi = F.ceil((F.col("before") - start) / step).cast("long"), F.ceil((F.col("before") + F.col("len") - start) / step).cast("long") - 1
     src = src.filter(lo <= hi).withColumn("k", F.explode(F.sequence(lo, hi)))
     t = (F.col("k") * step + start - F.col("before")) / F.col("len")
-    samples = src.select(F.monotonically_increasing_id().alias("id"), (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"), F.col("turn").alias("source_turn"), "infra", F.struct("line", "k").alias("key"))
-    samples = samples.drop("id").withColumnRenamed("key", "id")
-    there = along(streets).withColumn("turn", A.line_angle(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    asked = hash_points(samples, reach).withColumn("n", near).withColumns({"cx": F.col("cx") + F.col("n.i"), "cy": F.col("cy") + F.col("n.j")}).drop("n")
-    found = asked.join(hash_segments(there, reach), ["cx", "cy"]).filter(A.angle_between(F.col("source_turn"), F.col("turn")) < angle * 3.141592653589793 / 180)
-    # where the perpendicular (direction n) through the sample meets the segment
-    nx, ny = -F.sin("source_turn"), F.cos("source_turn")
+    samples = src.select(F.struct("line", "k").alias("id"), (F.col("x1") + t * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + t * (F.col("y2") - F.col("y1"))).alias("y"), "sx", "sy", "infra")
+    there = along(dealt_out(streets)).filter("len > 0")
+    # a sample has one cell, a street all cells within reach of it, so a pair meets once
+    cell = 4 * reach
+    asked = hash_points(samples, cell)
+    found = asked.join(cells_asked_for(hash_segments(there, cell, reach), asked), ["cx", "cy"])
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    det = A.cross(nx, ny, dx, dy)
-    u = A.cross(nx, ny, F.col("x") - F.col("x1"), F.col("y") - F.col("y1")) / F.nullif(det, F.lit(0.0))
-    mx, my = F.col("x1") + u * dx, F.col("y1") + u * dy
-    found = found.withColumns({"u": u, "dist": A.distance(F.col("x"), F.col("y"), mx, my)}).filter("u between 0 and 1").filter(F.col("dist") <= reach)
-    # the cell join names a segment once for each shared cell
-    found = found.groupBy("id", "line", "seg").agg(F.min("dist").alias("dist"), F.first("u").alias("u"), F.first("before").alias("before"), F.first("len").alias("len"), F.first("one_way").alias("one_way"), F.first("infra").alias("infra"))
+    found = found.filter(F.abs(F.col("sx") * dx + F.col("sy") * dy) > math.cos(math.radians(angle)) * F.col("len"))
+    # where the perpendicular (direction -sy, sx) through the sample meets the segment, and how far along it
+    px, py, det = F.col("x") - F.col("x1"), F.col("y") - F.col("y1"), A.cross(-F.col("sy"), F.col("sx"), dx, dy)
+    found = found.withColumns({"u": A.cross(-F.col("sy"), F.col("sx"), px, py) / F.nullif(det, F.lit(0.0)), "dist": F.abs(A.cross(px, py, dx, dy) / F.nullif(det, F.lit(0.0)))})
+    found = found.filter("u between 0 and 1").filter(F.col("dist") <= reach)
     order = W.partitionBy("id").orderBy("dist", "line", "seg")
-    ranked = found.withColumns({"rank": F.row_number().over(order), "pair": F.min("one_way").over(order.rowsBetween(0, 1)), "next": F.lead("one_way").over(order), "top": F.first("one_way").over(order.rowsBetween(W.unboundedPreceding, 0))})
+    # the two nearest of each task go to the shuffle, no more
+    two = found.select("id", "dist", "line", "seg", "u", "before", "len", "one_way", "infra").withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
+    ranked = two.withColumn("top", F.max(F.when(F.col("rank") == 1, F.col("one_way"))).over(W.partitionBy("id")))
     kept = ranked.filter((F.col("rank") == 1) | ((F.col("rank") == 2) & (F.col("one_way") == 1) & (F.col("top") == 1)))
     bins = kept.groupBy("line", F.floor((F.col("before") + F.col("u") * F.col("len")) / step).cast("long").alias("bin")).agg(F.max("infra").alias("infra"))
     size = streets.groupBy("line").agg(F.greatest(F.ceil(F.sum("len") / step).cast("long"), F.lit(1)).alias("bins"))

@@ -25,18 +25,20 @@ class Params:
 
 @dataclass(frozen=True)
 class Profile:
-    """Speeds by stress level in km/h, and trip limits in minutes."""
+    """Speeds by stress level in km/h, and trip limits in minutes and kilometres."""
 
     name: str
     kph: dict[int, float] = field(default_factory=dict)
     min_time: float = 10.0
     max_time: float = 30.0
+    max_km: float | None = None  # no limit by distance unless given
 
     def mps(self) -> dict[int, float]:
         """Level -> metres a second. Levels without a speed are closed: practically infinite cost."""
         return {k: v / 3.6 or 1e-20 for k, v in self.kph.items()} | {k: 1e-20 for k in range(5, 11)}
 
 
+#: The profiles' speeds and limits.
 WORK = Profile("Work", {-1: 10, 0: 6, 1: 18, 2: 15, 3: 10, 4: 4})
 SUPER = Profile("Super", {k: 18 for k in range(-1, 5)})
 SCHOOL = Profile("School", {-1: 0, 0: 4, 1: 10, 2: 5, 3: 0, 4: 0}, 0.0, 15.0)

@@ -148,19 +148,20 @@ def stress_by_class(spark, sf):
 
 
 def _chain(spark, sf):
+    """Every order is linked to the one seven further on, in rings of ten."""
     k = F.col("o_orderkey")
-    return D.read(spark, sf, "orders").filter(k % 5 < 3).select(k.alias("a"), (k + 7).alias("b"))
+    return D.read(spark, sf, "orders").select(k.alias("a"), (k - k % 70 + (k + 7) % 70).alias("b"))
 
 
-@query("g05_components", """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 7 AS b FROM orders WHERE o_orderkey % 5 < 3),
-  walk AS (SELECT a AS node, a AS root FROM e UNION SELECT b, b FROM e UNION SELECT w.node, e.a FROM walk w JOIN e ON e.b = w.root)
+@query("g05_components", """WITH RECURSIVE o AS (SELECT o_orderkey AS a, o_orderkey - o_orderkey % 70 + (o_orderkey + 7) % 70 AS b FROM orders), e AS (SELECT a, b FROM o UNION SELECT b, a FROM o),
+  walk AS (SELECT a AS node, a AS root FROM e UNION SELECT w.node, e.a FROM walk w JOIN e ON e.b = w.root)
   SELECT node, min(root) AS root FROM walk GROUP BY node""")
 def components(spark, sf):
     return N.components(_chain(spark, sf))
 
 
-@query("s05_absorbed_nodes", """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_orderkey + 7 AS b FROM orders WHERE o_orderkey % 5 < 3),
-  walk AS (SELECT a AS node, a AS root FROM e UNION SELECT b, b FROM e UNION SELECT w.node, e.a FROM walk w JOIN e ON e.b = w.root), r AS (SELECT node, min(root) AS root FROM walk GROUP BY node)
+@query("s05_absorbed_nodes", """WITH RECURSIVE o AS (SELECT o_orderkey AS a, o_orderkey - o_orderkey % 70 + (o_orderkey + 7) % 70 AS b FROM orders), e AS (SELECT a, b FROM o UNION SELECT b, a FROM o),
+  walk AS (SELECT a AS node, a AS root FROM e UNION SELECT w.node, e.a FROM walk w JOIN e ON e.b = w.root), r AS (SELECT node, min(root) AS root FROM walk GROUP BY node)
   SELECT root, count(*) AS n_nodes, max(node) AS last FROM r GROUP BY root""")
 def absorbed(spark, sf):
     return N.components(_chain(spark, sf)).groupBy("root").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("node").alias("last"))
@@ -205,44 +206,55 @@ def connecting_edge(spark, sf):
     return N.connecting_edge(_edges(spark, sf))
 
 
-HOPS = 3
-TREE = f"""graph AS (SELECT src, dst, CAST(min(cost) AS DOUBLE) AS cost FROM both_ways GROUP BY src, dst),
-walk AS (SELECT s_suppkey * 20 AS source, s_suppkey * 20 AS node, CAST(0 AS DOUBLE) AS cost, 0 AS hop FROM supplier WHERE s_suppkey % 4 = 0
-  UNION ALL SELECT w.source, g.dst, w.cost + g.cost, w.hop + 1 FROM walk w JOIN graph g ON w.node = g.src WHERE w.hop < {HOPS} AND w.cost + g.cost <= 20000),
+HOPS, LIMIT, FAR = 3, 8000.0, 20000.0
+SOURCES = "SELECT s_suppkey * 20 AS source, s_suppkey * 20 AS node, CAST(0 AS DOUBLE) AS cost"
+MIN_GRAPH = "graph AS (SELECT src, dst, CAST(min(cost) AS DOUBLE) AS cost FROM both_ways GROUP BY src, dst)"
+TREE = f"""{MIN_GRAPH},
+walk AS ({SOURCES} FROM supplier UNION SELECT w.source, g.dst, w.cost + g.cost FROM walk w JOIN graph g ON w.node = g.src WHERE w.cost + g.cost <= {LIMIT}),
+tree AS (SELECT source, node, min(cost) AS cost FROM walk GROUP BY source, node)"""
+FAR_TREE = TREE.replace(f"<= {LIMIT}", f"<= {FAR}")
+PREVIOUS = """previous AS (SELECT t.source, t.node, min(p.node) AS previous FROM tree t JOIN graph g ON g.dst = t.node JOIN tree p ON p.source = t.source AND p.node = g.src
+  WHERE p.cost + g.cost = t.cost AND p.cost < t.cost GROUP BY 1, 2)"""
+BOUNDED = f"""{MIN_GRAPH},
+walk AS ({SOURCES}, 0 AS hop FROM supplier UNION ALL SELECT w.source, g.dst, w.cost + g.cost, w.hop + 1 FROM walk w JOIN graph g ON w.node = g.src WHERE w.hop < {HOPS} AND w.cost + g.cost <= {FAR}),
 tree AS (SELECT source, node, min(cost) AS cost FROM walk GROUP BY source, node)"""
 RECURSIVE_GRAPH = GRAPH.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _tree(spark, sf):
-    k = F.col("s_suppkey")
-    sources = D.read(spark, sf, "supplier").filter(k % 4 == 0).select((k * 20).alias("source"))
-    return N.frontier_paths(N.arcs(_edges(spark, sf), "min").withColumn("cost", F.col("cost").cast("double")), sources, 20000.0, HOPS)
+def _suppliers(spark, sf):
+    return D.read(spark, sf, "supplier").select((F.col("s_suppkey") * 20).alias("source"))
+
+
+def _tree(spark, sf, limit=FAR):
+    """Shortest-path trees from all suppliers, no bound on hops."""
+    return N.paths(N.arcs(_edges(spark, sf), "min").withColumn("cost", F.col("cost").cast("double")), _suppliers(spark, sf), limit)
 
 
-@query("g08_bounded_paths", f"{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {TREE} SELECT source, node, cost FROM tree")
+@query("g08_bounded_paths", f"{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {BOUNDED} SELECT source, node, cost FROM tree")
 def bounded_paths(spark, sf):
-    return _tree(spark, sf)
+    """Least costs over at most HOPS arcs, from all suppliers."""
+    graph = N.arcs(_edges(spark, sf), "min").withColumn("cost", F.col("cost").cast("double"))
+    return N.frontier_paths(graph, _suppliers(spark, sf), FAR, HOPS).select("source", "node", "cost")
 
 
-@query("g08_dijkstra")
+@query("g08_dijkstra", f"{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {TREE}, {PREVIOUS} SELECT t.source, t.node, t.cost, p.previous FROM tree t LEFT JOIN previous p ON t.source = p.source AND t.node = p.node")
 def dijkstra(spark, sf):
-    """Shortest-path trees with predecessors from all suppliers, no bound on hops; checked against brute force in tests."""
-    sources = D.read(spark, sf, "supplier").select((F.col("s_suppkey") * 20).alias("source"))
-    return N.paths(N.arcs(_edges(spark, sf), "min"), sources, 8000.0)
+    """Shortest-path trees with predecessors from all suppliers, no bound on hops."""
+    return _tree(spark, sf, LIMIT).select("source", "node", "cost", "previous")
 
 
 ANCHORED = """origins AS (SELECT c_custkey AS site_id, (c_custkey * 13) % 2000 AS node, CAST(c_custkey % 60 AS DOUBLE) AS secs FROM customer),
-  dests AS (SELECT s_suppkey AS site_id, s_suppkey * 20 AS node, CAST(s_suppkey % 30 AS DOUBLE) AS secs FROM supplier WHERE s_suppkey % 4 = 0)"""
+  dests AS (SELECT s_suppkey AS site_id, s_suppkey * 20 AS node, CAST(s_suppkey % 30 AS DOUBLE) AS secs FROM supplier)"""
 
 
 def _sites(spark, sf):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     o = D.read(spark, sf, "customer").select(c.alias("site_id"), ((c * 13) % 2000).alias("node"), (c % 60).cast("double").alias("secs"))
-    d = D.read(spark, sf, "supplier").filter(s % 4 == 0).select(s.alias("site_id"), (s * 20).alias("node"), (s % 30).cast("double").alias("secs"))
+    d = D.read(spark, sf, "supplier").select(s.alias("site_id"), (s * 20).alias("node"), (s % 30).cast("double").alias("secs"))
     return o, d
 
 
-@query("g11_od_times", f"""{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {TREE}, {ANCHORED}
+@query("g11_od_times", f"""{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {FAR_TREE}, {ANCHORED}
   SELECT o.site_id AS o_id, d.site_id AS d_id, min(o.secs + t.cost + d.secs) AS secs FROM tree t JOIN dests d ON t.source = d.node JOIN origins o ON t.node = o.node GROUP BY 1, 2 HAVING min(o.secs + t.cost + d.secs) >= 600""")
 def od_times(spark, sf):
     o, d = _sites(spark, sf)
@@ -259,16 +271,18 @@ def anchor_costs(spark, sf):
     return N.anchor_costs(a, 1.6).withColumn("secs", F.round("secs", 4))
 
 
-@query("g12_blocked_destinations", f"""{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {TREE} SELECT source, count(*) AS reached, max(cost) AS farthest FROM tree GROUP BY source""")
+@query("g12_blocked_destinations", f"""{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {FAR_TREE} SELECT source, count(*) AS reached, max(cost) AS farthest FROM tree GROUP BY source""")
 def blocked(spark, sf):
     """Destinations are dealt out to tasks by key, in place of blocks of a fixed size."""
     return _tree(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("reached"), F.max("cost").alias("farthest"))
 
 
-@query("g13_tree_loads")
+@query("g13_tree_loads", f"""{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {TREE}, {PREVIOUS},
+  up AS (SELECT source, node, CAST(1 + node % 3 AS DOUBLE) AS w FROM tree WHERE cost > 600 UNION ALL SELECT u.source, p.previous, u.w FROM up u JOIN previous p ON p.source = u.source AND p.node = u.node)
+  SELECT p.node, p.previous, round(sum(u.w), 3) AS load FROM up u JOIN previous p ON p.source = u.source AND p.node = u.node GROUP BY 1, 2""")
 def tree_loads(spark, sf):
-    """Loads of trips from every node within reach to all suppliers; conservation is tested."""
-    tree = dijkstra(spark, sf)
+    """Loads of trips from every node within reach to all suppliers."""
+    tree = _tree(spark, sf, LIMIT)
     trips = tree.filter("cost > 600").select("source", "node", (1 + F.col("node") % 3).cast("double").alias("weight"))
     return N.tree_loads(tree, trips).withColumn("load", F.round("load", 3))
 
@@ -296,7 +310,7 @@ def bikeability(spark, sf):
     return D.read(spark, sf, "orders").select(k.alias("pair"), F.round(U.bikeability(w, s, Params.min_trip_s, 1800.0), 6).alias("ratio"))
 
 
-@query("g16_access_by_cell", f"""{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {TREE}, {ANCHORED},
+@query("g16_access_by_cell", f"""{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {FAR_TREE}, {ANCHORED},
   od AS (SELECT o.site_id AS o_id, d.site_id AS d_id, min(o.secs + t.cost + d.secs) AS secs FROM tree t JOIN dests d ON t.source = d.node JOIN origins o ON t.node = o.node GROUP BY 1, 2),
   r AS (SELECT o_id, d_id, CASE WHEN secs > 600 AND secs < 9000 AND secs * 1.5 < 9000 THEN secs * 1.5 / secs - 1 + d_id / 100.0 END AS ratio, CAST(1 + d_id % 7 AS DOUBLE) AS w FROM od)
   SELECT o_id % 50 AS cell, round(sum(CASE WHEN ratio IS NOT NULL THEN ratio * w END) / nullif(sum(CASE WHEN ratio IS NOT NULL THEN w END), 0), 6) AS mean, coalesce(sum(CASE WHEN ratio IS NOT NULL THEN w END), 0) AS weight FROM r GROUP BY 1""")
@@ -348,7 +362,8 @@ def thread_links(spark, sf):
     return U.thread_links(_candidates(spark, sf))
 
 
-@query("g20_threads")
+@query("g20_threads", f"""{CAND.replace('WITH ', 'WITH RECURSIVE ', 1)}, l AS (SELECT a, b FROM two UNION SELECT b, a FROM two), walk AS (SELECT a AS node, a AS root FROM l UNION SELECT w.node, l.a FROM walk w JOIN l ON l.b = w.root)
+  SELECT c.tr_id, coalesce(min(w.root), c.tr_id) AS thread FROM cand c LEFT JOIN walk w ON w.node = c.tr_id GROUP BY c.tr_id""")
 def threads(spark, sf):
     """Candidates with the smallest segment of their thread."""
     c = _candidates(spark, sf)
