@@ -141,7 +141,7 @@ def _shared_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _window_rows(window: int, period: int):
-    """Documents with their shared anchors -> (a, b, doc, pos, len): candidate windows to match, and settled runs.
+    """Documents with their shared anchors -> (a, b, doc, pos, len, more): candidate windows to match, and settled runs.
 
     Of equal windows in one batch all but those of the smallest document are removed at once: they come out as settled
     runs (a spread by document and place, len > 0); the rest go to their group with len 0. Hashes have 96 bits.
@@ -177,14 +177,23 @@ def _window_rows(window: int, period: int):
             low[order] = d[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
             a, b = np.concatenate(a_), np.concatenate(b_)
             gone = d > low
-            keep = ~gone
-            yield pd.DataFrame({"a": a[keep].view(np.int64), "b": b[keep].view(np.int32), "doc": d[keep], "pos": p[keep].astype(np.int32), "len": np.zeros(int(keep.sum()), np.int32)})
+            # of equal windows of one document only the first is a row, which holds the places of the others
+            held = order[~gone[order]]
+            again = np.zeros(len(held), bool)
+            again[1:] = (a[held][1:] == a[held][:-1]) & (b[held][1:] == b[held][:-1]) & (d[held][1:] == d[held][:-1])
+            more = np.full(len(d), None, object)
+            first = np.flatnonzero(~again)
+            for i, n in zip(first.tolist(), np.diff(np.r_[first, len(held)]).tolist(), strict=True) if again.any() else ():
+                if n > 1:
+                    more[held[i]] = p[held[i + 1 : i + n]].astype(np.int32)
+            keep = np.sort(held[first])
+            yield pd.DataFrame({"a": a[keep].view(np.int64), "b": b[keep].view(np.int32), "doc": d[keep], "pos": p[keep].astype(np.int32), "len": np.zeros(len(keep), np.int32), "more": more[keep]})
             if gone.any():
                 d, p = d[gone], p[gone]
                 order = np.lexsort((p, d))
                 d, p = d[order], p[order]
                 cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)])
-                yield pd.DataFrame({"a": common.mix(d[cut].astype(np.uint64) * np.uint64(common.BASES[0]) + p[cut].astype(np.uint64)).view(np.int64), "b": np.zeros(len(cut), np.int32), "doc": d[cut], "pos": p[cut].astype(np.int32), "len": np.diff(np.r_[cut, len(d)]).astype(np.int32)})
+                yield pd.DataFrame({"a": common.mix(d[cut].astype(np.uint64) * np.uint64(common.BASES[0]) + p[cut].astype(np.uint64)).view(np.int64), "b": np.zeros(len(cut), np.int32), "doc": d[cut], "pos": p[cut].astype(np.int32), "len": np.diff(np.r_[cut, len(d)]).astype(np.int32), "more": None})
 
     return run
 
@@ -195,11 +204,11 @@ def _later_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if not len(batch):
             continue
-        a, b, d, p, n = (batch[c].to_numpy() for c in ("a", "b", "doc", "pos", "len"))
+        a, b, d, p, n, more = (batch[c].to_numpy() for c in ("a", "b", "doc", "pos", "len", "more"))
         run = n > 0
         if run.any():
             yield pd.DataFrame({"doc": d[run], "pos": p[run], "len": n[run]})
-            a, b, d, p = a[~run], b[~run], d[~run], p[~run]
+            a, b, d, p, more = a[~run], b[~run], d[~run], p[~run], more[~run]
         if not len(a):
             continue
         first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
@@ -211,6 +220,9 @@ def _later_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         later = d > low
         if later.any():
             yield pd.DataFrame({"doc": d[later], "pos": p[later], "len": np.ones(int(later.sum()), np.int32)})
+            for doc, places in zip(d[later].tolist(), more[later], strict=True):
+                if places is not None:
+                    yield pd.DataFrame({"doc": doc, "pos": np.asarray(places, np.int32), "len": np.ones(len(places), np.int32)})
 
 
 def _digest(words: list[bytes]) -> tuple[bytes, str]:
@@ -285,7 +297,7 @@ def dedup(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
     shared = common.materialize(anchors.mapInPandas(_shared_anchors, "doc long, pos int").groupBy("doc").agg(F.collect_list("pos").alias("at")))
     moved = common.flagged(named, F.col("doc_id"), shared, "doc", "_may").filter("_may")
     near = common.materialize(moved.join(shared.hint("shuffle_merge"), moved["doc_id"] == shared["doc"]).select("doc_id", "raw", "at"))
-    cut = near.mapInPandas(_window_rows(window, period), "a long, b int, doc long, pos int, len int")
+    cut = near.mapInPandas(_window_rows(window, period), "a long, b int, doc long, pos int, len int, more array<int>")
     cut = cut.repartition(n, "a", "b").sortWithinPartitions("a", "b", "doc")
     gone = cut.mapInPandas(_later_windows, "doc long, pos int, len int").groupBy("doc").agg(F.collect_list("pos").alias("runs_at"), F.collect_list("len").alias("runs"))
     parted = near.join(gone.hint("shuffle_merge"), near["doc_id"] == gone["doc"]).select("doc_id", "raw", "runs_at", "runs")
