@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Odd multipliers of the polynomial window hashes modulo 2**64 (fixed values).
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Distinct words whose hash a Python worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(df: DataFrame, most: int = 8_000_000) -> None:
+def small_batches(df: DataFrame, most: int = 4_000_000) -> None:
     """Let Arrow batches of this session hold at most so many bytes: a worker holds a batch, its pandas form and results."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = str(df.sparkSession.conf.get(key)).rstrip("b")

@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, most: int = MAX_LENGTH, keep_id
         import zlib
 
         encode = tokenizer(tokenizer_path)
-        for batch in common.chunks(batches, "text"):
+        for batch in common.chunks(batches, "text", 3_000_000):
             rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
             arrays = []
             for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):

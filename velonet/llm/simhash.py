@@ -260,7 +260,7 @@ RECALL, CROWD = 0.975, 512
 #: Candidates differ in at most MOST_BITS of the first COMPARED * 64 bits: 3.6 standard deviations above the mean at SIMILAR.
 COMPARED, MOST_BITS = 2, 34
 #: Texts and bytes of shingle hashes in a block that is compared in one go, and texts of a large group that every block holds.
-COMPARED_TEXTS, BLOCK_BYTES, LEADERS = 512, 16_000_000, 32
+COMPARED_TEXTS, BLOCK_BYTES, LEADERS = 4096, 16_000_000, 32
 
 
 def similar_plan(n: int) -> tuple[int, int]:
