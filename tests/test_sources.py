@@ -72,6 +72,24 @@ def test_shapefile_and_dbf(spark, tmp_path):
     assert R.dbf(spark, str(tmp_path / "a.dbf")).first()["fields"] == {"NAME": "Oak"}
 
 
+def test_shapefile_round_trip(spark, tmp_path):
+    rows = [([[0.0, 0.0, 4.0], [9.0, 9.5, 9.0]], [[0.0, 4.0, 0.0], [1.0, 1.5, 2.0]], "Elm", 7), ([[1.5, 2.5, 2.0]], [[-1.0, -1.0, 3.0]], None, 8), ([], [], "a name of more than twenty characters", 9)]
+    df = spark.createDataFrame(rows, "xs array<array<double>>, ys array<array<double>>, name string, code long").coalesce(1)
+    path = str(tmp_path / "o.shp")
+    K.write_any(df, path)
+    got = {(r["shape"], r["part"]): (r["xs"], r["ys"]) for r in R.shapefile(spark, path + "/*.shp").collect()}
+    assert got == {(i + 1, p): (x, y) for i, (xs, ys, _, _) in enumerate(rows) for p, (x, y) in enumerate(zip(xs, ys, strict=True))}
+    fields = {r["shape"]: r["fields"] for r in R.dbf(spark, path + "/*.dbf").collect()}
+    assert fields == {1: {"name": "Elm", "code": "7"}, 2: {"name": "", "code": "8"}, 3: {"name": "a name of more than", "code": "9"}}
+    with pytest.raises(FileExistsError):
+        K.write_any(df, path)
+    K.write_shapefile(df.filter("code < 0"), path, mode="overwrite")
+    K.write_shapefile(df, path, mode="overwrite", rows_per_file=2)
+    assert R.shapefile(spark, path + "/*.shp").count() == 3 and len(list((tmp_path / "o.shp").glob("*.shx"))) == 2
+    with pytest.raises(ValueError):
+        K.write_shapefile(df, path, kind=1)
+
+
 def test_raster(spark, tmp_path):
     h = np.arange(6, dtype="<f4").reshape(2, 3)
     entries = [(256, 3, 1, 3), (257, 3, 1, 2), (258, 3, 1, 32), (259, 3, 1, 1), (273, 4, 1, 8), (279, 4, 1, 24), (339, 3, 1, 3)]

@@ -237,17 +237,37 @@ def cubic_weight(d: Column, k: Column) -> Column:
     )
 
 
-def raster_sample(points: DataFrame, cells: DataFrame, left: float, top: float, size: float) -> DataFrame:
+def raster_sample(points: DataFrame, cells: DataFrame, left: float, top: float, size: float, unknown: bool = False) -> DataFrame:
     """Heights (id, h) of points by bicubic interpolation of raster cells (col, row, h); none at the border or near voids.
 
-    The sixteen cells around a point decide (cubic convolution), so tiles of any number are joined by cell.
+    The sixteen cells around a point decide (cubic convolution), so tiles of any number are joined by cell. With
+    ``unknown`` the points without a height stay, with null.
     """
     u, v = (F.col("x") - left) / size - 0.5, (top - F.col("y")) / size - 0.5
     at = points.withColumns({"c0": F.floor(u).cast("long"), "r0": F.floor(v).cast("long"), "du": u - F.floor(u), "dv": v - F.floor(v)})
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1, 2) for j in (-1, 0, 1, 2)]))
     asked = at.withColumn("k", corner).withColumns({"col": F.col("c0") + F.col("k.i"), "row": F.col("r0") + F.col("k.j")})
-    got = asked.join(cells, ["col", "row"]).withColumn("part", cubic_weight(F.col("du"), F.col("k.i")) * cubic_weight(F.col("dv"), F.col("k.j")) * F.col("h"))
-    return got.filter("h > -500").groupBy("id").agg(F.sum("part").alias("h"), F.count(F.lit(1)).alias("n")).filter("n = 16").select("id", "h")
+    got = asked.join(cells, ["col", "row"], "left" if unknown else "inner").withColumn("h", F.when(F.col("h") > -500, F.col("h")))
+    got = got.withColumn("part", cubic_weight(F.col("du"), F.col("k.i")) * cubic_weight(F.col("dv"), F.col("k.j")) * F.col("h"))
+    out = got.groupBy("id").agg(F.sum("part").alias("h"), F.count("h").alias("n")).select("id", F.when(F.col("n") == 16, F.col("h")).alias("h"))
+    return out if unknown else out.filter("h is not null")
+
+
+def slopes(heights: DataFrame, table: list[float]) -> DataFrame:
+    """Codes of the flattest, steepest and mean slope of lines, and the mean slowdown either way.
+
+    ``heights`` has (line, k, gap, h, passage): samples in order of k, ``gap`` metres apart. Bridges and tunnels are
+    level. A line with an unknown slope has the code -127; such a step counts as level in the slowdown. A line of one
+    sample has no row.
+    """
+    rise = F.when(F.col("passage"), 0.0).otherwise(F.lead("h").over(W.partitionBy("line").orderBy("k")) - F.col("h"))
+    last = F.lead("k").over(W.partitionBy("line").orderBy("k")).isNull()
+    steps = heights.withColumns({"rise": rise, "last": last}).filter("not last").withColumn("grade", F.abs("rise") / F.col("gap"))
+    known = F.coalesce(F.col("rise"), F.lit(0.0))
+    steps = steps.withColumns({"fwd": A.slope_penalty(known, F.col("gap"), table), "bwd": A.slope_penalty(-known, F.col("gap"), table)})
+    whole = F.count("grade") == F.count(F.lit(1))
+    code = lambda v: A.slope_percent(F.when(whole, v), F.lit(1.0))
+    return steps.groupBy("line").agg(code(F.min("grade")).alias("abs_slope_min"), code(F.max("grade")).alias("abs_slope_max"), code(F.avg("grade")).alias("abs_slope_avg"), F.avg("fwd").alias("fwd_climb"), F.avg("bwd").alias("bwd_climb"))
 
 
 def heat(points: DataFrame, weight: str, sigma: float, cell: float) -> DataFrame:

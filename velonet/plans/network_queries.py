@@ -420,11 +420,4 @@ def shared_segments(spark, sf):
     return s.groupBy(F.least("start_node", "end_node").alias("a"), F.greatest("start_node", "end_node").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("g24_slope", f"""WITH {BASE}, {LEGS}, {SEGS}, h AS (SELECT line, seg, len, CAST((y1 % 97) - (y2 % 97) AS DOUBLE) / 10 AS rise FROM segs)
-  SELECT line, round(max(abs(rise / len)), 6) AS steepest, round(avg(abs(rise / len)), 6) AS mean, round(min(abs(rise / len)), 6) AS flattest FROM h WHERE len > 0 GROUP BY line""")
-def slope(spark, sf):
-    s = segments(spark, sf).filter("len > 0").withColumn("g", F.abs(((F.col("y1") % 97) - (F.col("y2") % 97)).cast("double") / 10 / F.col("len")))
-    return s.groupBy("line").agg(F.round(F.max("g"), 6).alias("steepest"), F.round(F.avg("g"), 6).alias("mean"), F.round(F.min("g"), 6).alias("flattest"))
-
-
 del W, SERVICE

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velonet.functions import arrays as A
+from velonet.operators import city as C
 from velonet.operators import spatial as S
-from velonet.params import Params
+from velonet.params import SLOPE_PENALTY, Params
 
 from . import adapters as D
 from .network_queries import BASE, LEGS, SEGS, segments
@@ -225,6 +226,43 @@ def raster_sample(spark, sf):
     return S.raster_sample(_points(D.homes(spark, sf)), cells, 0.0, 20000.0, 400.0).withColumn("h", F.round("h", 6))
 
 
+WIDE_RASTER = RASTER.replace("(0, 49)", "(0, 55)")
+SLOPE_STEP = 2000.0
+PENALTY = f"({list(SLOPE_PENALTY)!r})[12 + CAST(trunc(greatest(-11.0, least(11.0, 100 * {{0}} / gap))) AS INTEGER)]"
+
+
+@query("g24_slope", f"""{SAMPLED}, cells AS ({WIDE_RASTER}), l AS (SELECT line, max(total) AS total, greatest(CAST(ceil(max(total) / {SLOPE_STEP}) AS BIGINT), 1) AS n FROM a GROUP BY line HAVING max(total) > 0),
+  s AS (SELECT line, n, total / n AS gap, unnest(generate_series(0, n)) AS k FROM l),
+  f AS (SELECT s.*, x1, y1, x2, y2, greatest(0.0, least(1.0, coalesce((k * gap - before) / nullif(len, 0), 0))) AS t FROM s JOIN a ON a.line = s.line AND before <= k * gap + 1e-9 QUALIFY row_number() OVER (PARTITION BY s.line, k ORDER BY seg DESC) = 1),
+  q AS (SELECT line, n, gap, k, (x1 + t * (x2 - x1) + 1200) / 400.0 - 0.5 AS u, (21200 - (y1 + t * (y2 - y1))) / 400.0 - 0.5 AS v FROM f),
+  o AS (SELECT i, j FROM (SELECT unnest([-1, 0, 1, 2]) AS i) CROSS JOIN (SELECT unnest([-1, 0, 1, 2]) AS j)), d AS (SELECT *, u - floor(u) AS du, v - floor(v) AS dv FROM q CROSS JOIN o),
+  hs AS (SELECT line, n, gap, k, sum(({_cubic_sql('du', 'i')}) * ({_cubic_sql('dv', 'j')}) * h) AS h FROM d JOIN cells ON col = floor(u) + i AND row_ = floor(v) + j GROUP BY line, n, gap, k),
+  r AS (SELECT line, n, k, gap, CASE WHEN line % 10 = 0 THEN 0.0 ELSE lead(h) OVER (PARTITION BY line ORDER BY k) - h END AS rise FROM hs), g AS (SELECT *, abs(rise) / gap AS grade FROM r WHERE k < n)
+  SELECT line, CAST(trunc(least(6.5, 100 * min(grade))) AS INTEGER) AS abs_slope_min, CAST(trunc(least(6.5, 100 * max(grade))) AS INTEGER) AS abs_slope_max, CAST(trunc(least(6.5, 100 * avg(grade))) AS INTEGER) AS abs_slope_avg,
+    CAST(round(avg({PENALTY.format('rise')}), 9) AS DOUBLE) AS fwd_climb, CAST(round(avg({PENALTY.format('-rise')}), 9) AS DOUBLE) AS bwd_climb FROM g GROUP BY line""")
+def slope(spark, sf):
+    """Slopes of all ways over a made-up raster; every tenth way stands for a bridge."""
+    c = spark.range(56 * 56).select((F.col("id") % 56).alias("col"), F.floor(F.col("id") / 56).alias("row"))
+    cells = c.withColumn("h", ((F.col("col") * 31 + F.col("row") * 17) % 211).cast("double"))
+    samples = S.sample_lines(segments(spark, sf), SLOPE_STEP).select(F.struct("line", "k", "gap").alias("id"), "x", "y")
+    heights = S.raster_sample(samples, cells, -1200.0, 21200.0, 400.0, unknown=True).select("id.*", "h", (F.col("id.line") % 10 == 0).alias("passage"))
+    return S.slopes(heights, SLOPE_PENALTY).withColumns({c: F.round(c, 9) for c in ("fwd_climb", "bwd_climb")})
+
+
+@query("x21_city_parcels", """WITH RECURSIVE w AS (SELECT s_suppkey AS poly, s_nationkey AS city, (s_suppkey * 6007) % 20011 AS x, (s_suppkey * 90001) % 20021 AS y FROM supplier),
+  t AS (SELECT a.poly AS a, b.poly AS b FROM w a JOIN w b ON a.city = b.city AND abs(a.x - b.x) <= 800 AND abs(a.y - b.y) <= 600),
+  walk AS (SELECT a AS poly, b AS root FROM t UNION SELECT k.poly, t.b FROM walk k JOIN t ON t.a = k.root), part AS (SELECT poly, min(root) AS root FROM walk GROUP BY poly),
+  big AS (SELECT city, root FROM part JOIN w USING (poly) GROUP BY city, root QUALIFY row_number() OVER (PARTITION BY city ORDER BY count(*) DESC, root) = 1), main AS (SELECT w.* FROM w JOIN part USING (poly) JOIN big USING (city, root))
+  SELECT w.city, w.poly, CASE WHEN m.poly IS NULL THEN 'detached' ELSE 'main' END AS role FROM w LEFT JOIN main m ON m.poly = w.poly
+  UNION ALL SELECT DISTINCT m.city, w.poly, 'around' FROM main m JOIN w ON w.city <> m.city AND pow(greatest(abs(w.x - m.x) - 800, 0), 2) + pow(greatest(abs(w.y - m.y) - 600, 0), 2) <= pow(1500.25, 2)""")
+def city_parcels(spark, sf):
+    """Parcels of every nation, taken for a city, and those within 1500.25 m of its largest connected part."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    owner = D.read(spark, sf, "supplier").select(F.col("s_suppkey").alias("site_id"), F.col("s_nationkey").alias("city"))
+    parcels = D.works(spark, sf).join(owner, "site_id").select(F.col("site_id").alias("poly"), "city", F.array(x - 400, x + 400, x + 400, x - 400).alias("xs"), F.array(y - 300, y - 300, y + 300, y + 300).alias("ys"))
+    return C.city_parcels(parcels, 1500.25, 1000.0)
+
+
 @query("x25_both_circles", f"""{GEO}, f AS (SELECT line, greatest(0.0, least(1.0, coalesce(CAST((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1) AS DOUBLE) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0), 0))) AS t, px, py, x1, y1, x2, y2, k
   FROM segs CROSS JOIN (SELECT unnest([6000, 14000]) AS px, unnest([8000, 12000]) AS py, unnest([0, 1]) AS k))
   SELECT line FROM f WHERE sqrt(pow(px - (x1 + t * (x2 - x1)), 2) + pow(py - (y1 + t * (y2 - y1)), 2)) <= 2500 GROUP BY line HAVING count(DISTINCT k) = 2""")

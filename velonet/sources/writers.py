@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from velonet.functions.text import base36
 
 
 def write_any(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Write by suffix: parquet, csv with a header, or JSON lines."""
+    """Write by suffix: parquet, csv with a header, JSON lines, or shapefiles of polygons (see write_shapefile)."""
     kind = path.lower().rsplit(".", 1)[-1]
     out = df.write.mode(mode)
     if kind == "parquet":
@@ -24,6 +26,8 @@ def write_any(df: DataFrame, path: str, mode: str = "error") -> None:
         out.option("header", True).csv(path)
     elif kind in ("json", "geojson"):
         out.json(path)
+    elif kind == "shp":
+        write_shapefile(df, path, mode=mode)
     else:
         raise ValueError(path)
 
@@ -50,6 +54,74 @@ def features(df: DataFrame, points: str, properties: list[str]) -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties"))).alias("feature"))
 
 
+def shapefile_bytes(kind: int, shapes: list[tuple[list, list]], fields: list[str], records: list[tuple], width: int = 20) -> tuple[bytes, bytes, bytes]:
+    """The .shp, .shx and .dbf files of shapes (lists of x by part, lists of y by part) of ``kind`` 3 or 5.
+
+    Attributes are text of ``width`` bytes, longer ones are cut; names of ten characters. A shape without points is a null shape.
+    """
+    body, index, boxes = bytearray(), bytearray(), []
+    for number, (xs, ys) in enumerate(shapes, 1):
+        parts = [np.column_stack([np.asarray(x, "<f8"), np.asarray(y, "<f8")]) for x, y in zip(xs, ys, strict=True) if len(x)]
+        if parts:
+            points = np.concatenate(parts)
+            boxes.append([*points.min(axis=0), *points.max(axis=0)])
+            starts = np.cumsum([0, *map(len, parts[:-1])]).astype("<i4")
+            content = struct.pack("<i4dii", kind, *boxes[-1], len(parts), len(points)) + starts.tobytes() + points.tobytes()
+        else:
+            content = struct.pack("<i", 0)
+        index += struct.pack(">ii", 50 + len(body) // 2, len(content) // 2)
+        body += struct.pack(">ii", number, len(content) // 2) + content
+    b = np.array(boxes) if boxes else np.zeros((1, 4))
+    box = [*b[:, :2].min(axis=0), *b[:, 2:].max(axis=0)]
+    head = lambda size: struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + size) // 2) + struct.pack("<2i8d", 1000, kind, *box, 0, 0, 0, 0)
+    cell = lambda v, n: ("" if v is None else str(v)).encode("latin-1", "replace")[:n].ljust(n)
+    columns = b"".join(f.encode("latin-1", "replace")[:10].ljust(11, b"\0") + b"C" + bytes(4) + bytes([width, 0]) + bytes(14) for f in fields)
+    rows = b"".join(b" " + b"".join(cell(v, width) for v in r) for r in records)
+    dbf = bytes([3, 100, 1, 1]) + struct.pack("<IHH", len(records), 33 + len(columns), 1 + width * len(fields)) + bytes(20) + columns + b"\r" + rows + b"\x1a"
+    return head(len(body)) + bytes(body), head(len(index)) + bytes(index), dbf
+
+
+def write_shapefile(df: DataFrame, path: str, kind: int = 5, mode: str = "error", rows_per_file: int = 100_000) -> None:
+    """Write rows (xs, ys: coordinates by part; all other columns are attributes) as shapefiles in the folder ``path``.
+
+    Tasks encode at most ``rows_per_file`` rows into one file; the driver only passes finished files on, one partition
+    at a time, to the store. A shapefile holds 2 GB at most, so this is an export of results, not of raw data.
+    """
+    if kind not in (3, 5):
+        raise ValueError(f"shape type {kind}")
+    fields = [c for c in df.columns if c not in ("xs", "ys")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, n, held = TaskContext.get().partitionId(), 0, []
+
+        def file(rows: list) -> pd.DataFrame:
+            made = shapefile_bytes(kind, [(r[0], r[1]) for r in rows], fields, [r[2:] for r in rows])
+            return pd.DataFrame({"name": [f"part-{task:05d}-{n:03d}"], "shp": [made[0]], "shx": [made[1]], "dbf": [made[2]]})
+
+        for batch in batches:
+            held += batch.itertuples(index=False, name=None)
+            while len(held) >= rows_per_file:
+                yield file(held[:rows_per_file])
+                held, n = held[rows_per_file:], n + 1
+        if held:
+            yield file(held)
+
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    if fs.exists(folder):
+        if mode != "overwrite":
+            raise FileExistsError(path)
+        fs.delete(folder, True)
+    fs.mkdirs(folder)
+    text = df.select("xs", "ys", *[F.col(f"`{c}`").cast("string").alias(c) for c in fields])
+    for row in text.mapInPandas(run, "name string, shp binary, shx binary, dbf binary").toLocalIterator():
+        for suffix in ("shp", "shx", "dbf"):
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{row['name']}.{suffix}"))
+            out.write(row[suffix])
+            out.close()
+
+
 def container_bytes(entries: dict[str, np.ndarray | str]) -> bytes:
     """A typed container in memory (see readers.container)."""
     out = bytearray()
