@@ -310,15 +310,34 @@ def bikeability(spark, sf):
     return D.read(spark, sf, "orders").select(k.alias("pair"), F.round(U.bikeability(w, s, Params.min_trip_s, 1800.0), 6).alias("ratio"))
 
 
-@query("g16_access_by_cell", f"""{RECURSIVE_GRAPH}{EDGES}, {ARCS}, {FAR_TREE}, {ANCHORED},
-  od AS (SELECT o.site_id AS o_id, d.site_id AS d_id, min(o.secs + t.cost + d.secs) AS secs FROM tree t JOIN dests d ON t.source = d.node JOIN origins o ON t.node = o.node GROUP BY 1, 2),
-  r AS (SELECT o_id, d_id, CASE WHEN secs > 600 AND secs < 9000 AND secs * 1.5 < 9000 THEN secs * 1.5 / secs - 1 + d_id / 100.0 END AS ratio, CAST(1 + d_id % 7 AS DOUBLE) AS w FROM od)
+TRIP = FAR
+PROFILED = f"""{COST}{NUMBERED}, rated AS (SELECT start_node, end_node, floor(least(len_m / greatest(f, 1e-20), 1e9)) AS wf, floor(least(len_m / greatest(b, 1e-20), 1e9)) AS wb, floor(len_m / 5) AS free FROM numbered JOIN costs USING (way_id))"""
+_OD_SQL = """{0}_both AS (SELECT start_node AS src, end_node AS dst, {1} AS cost FROM rated UNION ALL SELECT end_node, start_node, {2} FROM rated), {0}_graph AS (SELECT src, dst, CAST(min(cost) AS DOUBLE) AS cost FROM {0}_both GROUP BY src, dst),
+  {0}_walk AS ({3} FROM supplier UNION SELECT w.source, g.dst, w.cost + g.cost FROM {0}_walk w JOIN {0}_graph g ON w.node = g.src WHERE w.cost + g.cost <= {4}),
+  {0}_od AS (SELECT o.site_id AS o_id, d.site_id AS d_id, min(o.secs + t.cost + d.secs) AS secs FROM {0}_walk t JOIN dests d ON t.source = d.node JOIN origins o ON t.node = o.node GROUP BY 1, 2)"""
+
+
+def _profile_times(spark, sf):
+    """(o_id, d_id, work_s, super_s): times of the profile that stress slows, and without stress; null beyond TRIP seconds."""
+    e = _numbered(spark, sf).join(_speeds(spark, sf), "way_id")
+    slow = lambda d: F.floor(F.least(F.col("len_m") / F.greatest(F.col(f"{d}_mps"), F.lit(1e-20)), F.lit(1e9))).cast("double")
+    free = F.floor(F.col("len_m") / SUPER.mps()[1]).cast("double")
+    rated = N.settle(e.select("tr_id", "start_node", "end_node", slow("fwd").alias("work_fwd"), slow("bwd").alias("work_bwd"), free.alias("super_fwd"), free.alias("super_bwd")))
+    o, d = _sites(spark, sf)
+
+    def times(profile: str) -> DataFrame:
+        edges = rated.select("tr_id", "start_node", "end_node", F.col(f"{profile}_fwd").alias("fwd_s"), F.col(f"{profile}_bwd").alias("bwd_s"))
+        return N.od_times(o, d, N.paths(N.arcs(edges, "min"), _suppliers(spark, sf), TRIP)).select("o_id", "d_id", F.col("secs").alias(f"{profile}_s"))
+
+    return times("super").join(times("work"), ["o_id", "d_id"], "left")
+
+
+@query("g16_access_by_cell", f"""{STRESS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {GRAPH.replace('WITH ', '', 1)}, {PROFILED}, {ANCHORED}, {_OD_SQL.format('w', 'wf', 'wb', SOURCES, TRIP)}, {_OD_SQL.format('u', 'free', 'free', SOURCES, TRIP)},
+  r AS (SELECT u.o_id, CASE WHEN u.secs > 600 AND u.secs < {TRIP} AND w.secs < {TRIP} THEN w.secs / u.secs - 1 END AS ratio, CAST(1 + u.d_id % 7 AS DOUBLE) AS w FROM u_od u LEFT JOIN w_od w ON w.o_id = u.o_id AND w.d_id = u.d_id)
   SELECT o_id % 50 AS cell, round(sum(CASE WHEN ratio IS NOT NULL THEN ratio * w END) / nullif(sum(CASE WHEN ratio IS NOT NULL THEN w END), 0), 6) AS mean, coalesce(sum(CASE WHEN ratio IS NOT NULL THEN w END), 0) AS weight FROM r GROUP BY 1""")
 def access_by_cell(spark, sf):
-    o, d = _sites(spark, sf)
-    od = N.od_times(o, d, _tree(spark, sf))
-    s = F.col("secs")
-    r = od.select((F.col("o_id") % 50).alias("cell"), (U.bikeability(s * 1.5, s, 600.0, 9000.0) + F.col("d_id") / 100).alias("ratio"), (1 + F.col("d_id") % 7).cast("double").alias("w"))
+    """How much longer trips take with stress than without, by cell of their origins and weighted by destination."""
+    r = _profile_times(spark, sf).select((F.col("o_id") % 50).alias("cell"), U.bikeability(F.col("work_s"), F.col("super_s"), Params.min_trip_s, TRIP).alias("ratio"), (1 + F.col("d_id") % 7).cast("double").alias("w"))
     return U.weighted_mean(r, ["cell"], "ratio", "w").withColumn("mean", F.round("mean", 6))
 
 
