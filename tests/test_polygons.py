@@ -40,6 +40,12 @@ def test_cleaning_and_buffers(spark):
     assert abs(n - (20 * 10 + 2 * 2 * 30 + math.pi * 4)) < 4
 
 
+def test_ring_samples(spark):
+    df = spark.createDataFrame([L_SHAPE, (2, [5.0, 5.0], [1.0, 1.0]), (3, [], []), (4, None, None), (5, [0.0, 3.0, 0.0], [0.0, 0.0, 4.0])], RING)
+    got = {(r["poly"], r["k"]): (round(r["x"], 9), round(r["y"], 9)) for r in P.sample_rings(df, 2.5).collect()}
+    assert got == {(1, 0): (0, 0), (1, 1): (2.5, 0), (1, 2): (4, 1), (1, 3): (1.5, 1), (1, 4): (1, 3), (1, 5): (0, 1.5), (5, 0): (0, 0), (5, 1): (2.5, 0), (5, 2): (1.8, 1.6), (5, 3): (0.3, 3.6), (5, 4): (0, 2)}
+
+
 def test_hulls(spark):
     rng = random.Random(3)
     pts = [(k % 2, rng.gauss(0, 10), rng.gauss(0, 5)) for k in range(600)] + [(5, 1.0, 2.0)]

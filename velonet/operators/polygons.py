@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from velonet.functions import arrays as A
@@ -66,6 +67,22 @@ def dilated_cells(polygons: DataFrame, reach: float, size: float) -> DataFrame:
     return at.filter(S.inside(F.col("px"), F.col("py"), F.col("xs"), F.col("ys")) | near).select("cx", "cy").distinct()
 
 
+def sample_rings(polygons: DataFrame, step: float) -> DataFrame:
+    """Points (poly, k, x, y) every ``step`` along the closed rings of polygons (poly, xs, ys), from the first corner on.
+
+    The closing point is not repeated; rings without length, empty or null ones have no points. ``poly`` is to be unique.
+    """
+    at = polygons.filter("size(xs) > 0").select("poly", F.transform("xs", lambda v: v.cast("double")).alias("xs"), F.transform("ys", lambda v: v.cast("double")).alias("ys"))
+    nxt = lambda c: F.concat(F.slice(c, F.lit(2), F.size(c)), F.slice(c, 1, 1))
+    edge = at.select("poly", F.posexplode(F.arrays_zip("xs", "ys", nxt("xs").alias("nx"), nxt("ys").alias("ny"))).alias("i", "e")).select("poly", "i", F.col("e.xs").alias("x1"), F.col("e.ys").alias("y1"), F.col("e.nx").alias("x2"), F.col("e.ny").alias("y2"))
+    ring = W.partitionBy("poly").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    edge = edge.withColumn("len", A.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))).withColumn("before", F.coalesce(F.sum("len").over(ring), F.lit(0.0)))
+    # an edge makes the points from its beginning up to, not including, its end
+    edge = edge.withColumns({"a": F.ceil(F.col("before") / step).cast("long"), "b": F.ceil((F.col("before") + F.col("len")) / step).cast("long") - 1}).filter("len > 0 and a <= b")
+    k = edge.withColumn("k", F.explode(F.sequence("a", "b"))).withColumn("t", (F.col("k") * step - F.col("before")) / F.col("len"))
+    return k.select("poly", "k", (F.col("x1") + F.col("t") * (F.col("x2") - F.col("x1"))).alias("x"), (F.col("y1") + F.col("t") * (F.col("y2") - F.col("y1"))).alias("y"))
+
+
 def _turn(a, b, c) -> float:
     return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from velonet.functions import arrays as A
 from velonet.operators import city as C
+from velonet.operators import polygons as P
 from velonet.operators import spatial as S
 from velonet.params import SLOPE_PENALTY, Params
 
@@ -139,6 +140,16 @@ def sample_centred(spark, sf):
     return got.groupBy("line").agg(F.count(F.lit(1)).alias("n_samples"), F.round(F.min("pos"), 3).alias("first_pos"))
 
 
+@query("x12_sample_rings", f"""WITH {WORKS}, k AS (SELECT site_id AS poly, x, y, unnest(generate_series(0, 18)) AS k, 150.0 * unnest(generate_series(0, 18)) AS p FROM works)
+  SELECT poly, k, round(CAST(x + CASE WHEN p < 800 THEN p - 400 WHEN p < 1400 THEN 400 WHEN p < 2200 THEN 1800 - p ELSE -400 END AS DOUBLE), 4) AS x,
+    round(CAST(y + CASE WHEN p < 800 THEN -300 WHEN p < 1400 THEN p - 1100 WHEN p < 2200 THEN 300 ELSE 2500 - p END AS DOUBLE), 4) AS y FROM k""")
+def sample_rings(spark, sf):
+    """Points every 150 m along the outlines of 800 by 600 m."""
+    x, y = F.col("x"), F.col("y")
+    rings = D.works(spark, sf).select(F.col("site_id").alias("poly"), F.array(x - 400, x + 400, x + 400, x - 400).alias("xs"), F.array(y - 300, y - 300, y + 300, y + 300).alias("ys"))
+    return P.sample_rings(rings, 150.0).select("poly", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 @query("x15_area_centroid", f"WITH {WORKS} SELECT site_id AS poly, CAST(round(2 * 800.5 * 600.25, 3) AS DOUBLE) AS area, round(CAST(x AS DOUBLE), 3) AS cx, round(CAST(y AS DOUBLE), 3) AS cy FROM works")
 def area(spark, sf):
     mean = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c), 3)
