@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm_score, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, url_filter
-from .common import table
+from . import conversation_repair, decontam, langid, lm_score, packing, pii, quality_classifier, quality_rules, secret_scan, simhash, spelling, substring_dedup, url_filter
+from .common import small_batches, table
 
 
 def tokenizer_path() -> str:
@@ -61,8 +62,35 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.repair(conversation_repair.damaged(talks)), talks)
+
+
+def bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query in a session whose Arrow batches are small: so the memory of each is the same whichever ran before."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark.range(0))
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (op1_quality_classifier, op2_substring_dedup, op3_pii, op4_packing, op5_decontamination, op6_language_id, op7_simhash, op8_quality_rules, op9_url_filter, op10_lm_score)
-}
+    f.__name__: bounded(f)
+    for f in (
+        op1_quality_classifier, op2_substring_dedup, op3_pii, op4_packing, op5_decontamination, op6_language_id, op7_simhash, op8_quality_rules, op9_url_filter, op10_lm_score,
+        op11_spelling_variants, op12_secret_scan, op13_conversation_repair,
+    )
+}
 ORACLES: dict[str, str] = {"op9_url_filter": url_filter.oracle_sql()}
