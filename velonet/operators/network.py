@@ -126,15 +126,15 @@ def connecting_edge(edges: DataFrame) -> DataFrame:
     return f.union(b).groupBy("node", "neighbour").agg(F.max(F.struct("tr_id", "dir")).alias("m")).select("node", "neighbour", "m.tr_id", "m.dir")
 
 
-def _zeros(arc: Column, zeros: Column) -> Column:
-    """Arcs of cost 0 that end a way, once an arc is added to it."""
-    return F.when(arc > 0, 0).otherwise(zeros + 1)
+def _zeros(cost: Column, arc: Column, zeros: Column) -> Column:
+    """Arcs that end a way of ``cost`` without adding to it, once an arc is added: cost 0, or too small for the sum."""
+    return F.when(cost + arc > cost, 0).otherwise(zeros + 1)
 
 
 def frontier_paths(graph: DataFrame, sources: DataFrame, limit: float, hops: int | None = None) -> DataFrame:
     """Rows (source, node, cost, zeros): least costs up to ``limit`` (and over at most ``hops`` arcs, if given).
 
-    Of ways of equal cost that one counts which ends in the fewest arcs of cost 0, ``zeros``. Each round extends only the
+    Of ways of equal cost that one counts which ends in the fewest arcs that add nothing to it, ``zeros``. Each round extends only the
     nodes that improved in the last one by an equality join on the arcs, and merges by a minimum; state is checkpointed,
     so the plan does not grow.
     """
@@ -143,7 +143,7 @@ def frontier_paths(graph: DataFrame, sources: DataFrame, limit: float, hops: int
     fresh = best
     done = 0
     while hops is None or done < hops:
-        step = fresh.join(graph.withColumnRenamed("cost", "arc"), fresh["node"] == graph["src"]).select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("arc")).alias("cost"), _zeros(F.col("arc"), F.col("zeros")).alias("zeros"))
+        step = fresh.join(graph.withColumnRenamed("cost", "arc"), fresh["node"] == graph["src"]).select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("arc")).alias("cost"), _zeros(F.col("cost"), F.col("arc"), F.col("zeros")).alias("zeros"))
         step = step.filter(F.col("cost") <= limit).groupBy("source", "node").agg(F.min(label).alias("new"))
         better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < old))
         merged = best.join(step, ["source", "node"], "full").withColumn("better", F.coalesce(better, F.lit(False)))
@@ -167,10 +167,11 @@ class Csr:
         self.first = np.searchsorted(a[order], np.arange(len(self.nodes) + 1)).tolist()
 
     def dijkstra(self, start: int, limit: float) -> tuple[list[int], list[float], list[int], list[int]]:
-        """The nodes reached in order, with cost, arcs of cost 0 at the end, and predecessor (-1 at the start).
+        """The nodes reached in order, with cost, arcs at the end that add nothing, and predecessor (-1 at the start).
 
         Of predecessors that give a node its label (cost, zeros) the smallest counts: with zeros 0 they cost less than the
-        node, else they have one zero less, so there are no circles. Only nodes that are reached take memory.
+        node, else they have one zero less, so there are no circles. An arc adds nothing where the sum of floats stays as it
+        was, which arcs over 0 do, too. Only nodes that are reached take memory.
         """
         label, before, closed, order = {start: (0.0, 0)}, {start: -1}, set(), []
         heap = [(0.0, 0, start)]
@@ -185,7 +186,7 @@ class Csr:
                 v = c + arc
                 if v > limit or m in closed:
                     continue
-                new, now = (v, 0 if arc > 0 else z + 1), label.get(m)
+                new, now = (v, 0 if v > c else z + 1), label.get(m)
                 if now is None or new < now:
                     label[m], before[m] = new, n
                     heapq.heappush(heap, (*new, m))
@@ -205,7 +206,7 @@ def paths(graph: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
         best = frontier_paths(graph.withColumn("cost", F.col("cost").cast("double")), sources, limit)
         far = best.select(F.col("source"), F.col("node").alias("dst"), F.col("cost").alias("end"), F.col("zeros").alias("end_zeros"))
         via = best.join(graph.withColumnRenamed("cost", "arc"), best["node"] == graph["src"]).join(far, ["source", "dst"])
-        via = via.filter((F.col("cost") + F.col("arc") == F.col("end")) & (_zeros(F.col("arc"), F.col("zeros")) == F.col("end_zeros")) & (F.col("dst") != F.col("source")))
+        via = via.filter((F.col("cost") + F.col("arc") == F.col("end")) & (_zeros(F.col("cost"), F.col("arc"), F.col("zeros")) == F.col("end_zeros")) & (F.col("dst") != F.col("source")))
         prev = via.groupBy("source", "dst").agg(F.min("node").alias("previous")).withColumnRenamed("dst", "node")
         return best.join(prev, ["source", "node"], "left").select("source", "node", "cost", "zeros", "previous")
     flat = graph.select("src", "dst", "cost").toPandas()
@@ -267,26 +268,93 @@ def od_times(origins: DataFrame, destinations: DataFrame, tree: DataFrame, min_s
 def tree_loads(tree: DataFrame, trips: DataFrame) -> DataFrame:
     """Loads (node, previous, load) on the arcs of shortest-path trees.
 
-    ``tree`` (source, node, cost, zeros, previous), ``trips`` (source, node, weight). A tree is one task's group and has at most
-    the nodes within the cost limit of its source; subtree sums run in decreasing cost.
+    ``tree`` (source, node, previous), ``trips`` (source, node, weight); trips from nodes outside of the tree do not count. A
+    node's load is the weight of its subtree, found by pointer doubling: after k rounds it has the weights up to 2**k - 1
+    arcs below, and points 2**k arcs up. So the rounds are the logarithm of the depth, and no tree is gathered in one place.
     """
+    weight = trips.groupBy("source", "node").agg(F.sum("weight").alias("load"))
+    nodes = tree.select("source", "node", "previous", F.col("previous").alias("up")).join(weight, ["source", "node"], "left")
+    state = settle(nodes.withColumn("load", F.coalesce("load", F.lit(0.0)).cast("double")))
+    while not state.filter("up IS NOT NULL").isEmpty():
+        sent = state.filter("up IS NOT NULL AND load > 0").groupBy("source", F.col("up").alias("node")).agg(F.sum("load").alias("got"))
+        above = state.select("source", F.col("node").alias("up"), F.col("up").alias("far"))
+        state = state.join(above, ["source", "up"], "left").join(sent, ["source", "node"], "left")
+        state = settle(state.select("source", "node", "previous", F.col("far").alias("up"), (F.col("load") + F.coalesce("got", F.lit(0.0))).alias("load")))
+    return state.filter("previous IS NOT NULL AND load > 0").groupBy("node", "previous").agg(F.sum("load").alias("load"))
+
+
+def trip_loads(tree: DataFrame, od: DataFrame, weights: DataFrame, min_s: float, max_s: float) -> DataFrame:
+    """Loads (node, previous, load) of trips between sites on the arcs towards the sources of ``tree``.
+
+    ``od`` (o_id, d_id, secs, o_node, d_node) has the quickest way of each pair, which starts at the pair's best anchors and
+    counts if min_s < secs < max_s; its weight is that of origin times destination. ``weights`` (side, site_id, w): side 0 has
+    origins, 1 destinations. A pair whose anchors are one node rides no arc.
+    """
+    o = weights.filter("side = 0").select(F.col("site_id").alias("o_id"), F.col("w").alias("ow"))
+    d = weights.filter("side = 1").select(F.col("site_id").alias("d_id"), F.col("w").alias("dw"))
+    ridden = od.filter((F.col("secs") > min_s) & (F.col("secs") < max_s) & (F.col("o_node") != F.col("d_node")))
+    trips = ridden.join(o, "o_id").join(d, "d_id").groupBy(F.col("d_node").alias("source"), F.col("o_node").alias("node")).agg(F.sum(F.col("ow") * F.col("dw")).alias("weight"))
+    return tree_loads(tree.join(trips.select("source").distinct(), "source", "left_semi"), trips)
+
+
+def segment_loads(loads: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (tr_id, dir, load): ``loads`` (node, previous, load) on the segments that connect the two nodes."""
+    link = connecting_edge(edges).withColumnRenamed("neighbour", "previous")
+    return loads.join(link, ["node", "previous"]).groupBy("tr_id", "dir").agg(F.sum("load").alias("load"))
+
+
+def improved_paths(graph: DataFrame, base: DataFrame, changes: DataFrame, limit: float) -> DataFrame:
+    """Rows (scenario, source, node, cost): the nodes that each scenario brings nearer, for all scenarios in one search.
+
+    ``base`` (source, node, cost) has the least costs over ``graph`` (src, dst, cost); a scenario's ``changes`` (scenario, src,
+    dst, cost) are cheaper arcs. Costs only fall, so the search starts at the heads of changed arcs and goes on while nodes
+    come nearer than in ``base``; what a scenario leaves alone is never touched.
+    """
+    graph, changes = graph.select("src", "dst", F.col("cost").alias("arc")), changes.select("scenario", "src", "dst", F.col("cost").alias("arc"))
+    were = base.select("source", "node", F.col("cost").alias("was"))
+
+    def nearer(step: DataFrame) -> DataFrame:
+        step = step.filter(F.col("cost") <= limit).groupBy("scenario", "source", "node").agg(F.min("cost").alias("cost"))
+        return step.join(were, ["source", "node"], "left").filter(F.col("was").isNull() | (F.col("cost") < F.col("was"))).drop("was")
+
+    to = lambda df: df.select("scenario", "source", F.col("dst").alias("node"), (F.col("cost") + F.col("arc")).alias("cost"))
+    best = settle(nearer(to(base.join(changes, F.col("node") == F.col("src")))).select("scenario", "source", "node", "cost"))
+    fresh, keys = best, ["scenario", "source", "node"]
+    while not fresh.isEmpty():
+        at = fresh.withColumnRenamed("node", "src")
+        step = nearer(to(at.join(graph, "src")).unionByName(to(at.join(changes, ["scenario", "src"])))).withColumnRenamed("cost", "new")
+        merged = best.join(step, keys, "full").withColumn("better", F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < F.col("cost"))))
+        merged = settle(merged.select(*keys, F.when(F.col("better"), F.col("new")).otherwise(F.col("cost")).alias("cost"), "better"))
+        best, fresh = merged.drop("better"), merged.filter("better").drop("better")
+    return best
+
+
+def stepped(labels: DataFrame, keys: list[str], cost: str, *then: str) -> DataFrame:
+    """Of rows (keys, rank, cost, ..) those that cost less than all rows of a smaller rank; of equals the first by ``then``."""
+    before = W.partitionBy(*keys).orderBy("rank", cost, *then).rowsBetween(W.unboundedPreceding, -1)
+    return labels.withColumn("_before", F.min(cost).over(before)).filter(F.col("_before").isNull() | (F.col(cost) < F.col("_before"))).drop("_before")
+
 
-    def accumulate(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        t = left.sort_values(["cost", "zeros", "node"], ascending=False)
-        place = {n: i for i, n in enumerate(t["node"].tolist())}
-        w = np.zeros(len(t))
-        for n, x in zip(right["node"].tolist(), right["weight"].tolist(), strict=True):
-            if n in place:
-                w[place[n]] += x
-        prev = [place.get(p) if p == p and p is not None else None for p in t["previous"].tolist()]
-        for i, p in enumerate(prev):
-            if p is not None:
-                w[p] += w[i]
-        keep = np.array([p is not None for p in prev], bool) & (w > 0)
-        return pd.DataFrame({"node": t["node"].to_numpy()[keep], "previous": t["previous"].to_numpy()[keep].astype(np.int64), "load": w[keep]})
-
-    parts = tree.groupBy("source").cogroup(trips.groupBy("source")).applyInPandas(accumulate, "node long, previous long, load double")
-    return parts.groupBy("node", "previous").agg(F.sum("load").alias("load"))
+def prefix_paths(graph: DataFrame, base: DataFrame, changes: DataFrame, limit: float) -> DataFrame:
+    """Rows (source, node, rank, cost): least costs once the changes up to ``rank`` are made, wherever a rank lowers them.
+
+    ``changes`` (rank, src, dst, cost) are made in the order of rank, from 1; rank 0 is ``base``. A label holds the greatest
+    rank its way needs; a node keeps the labels that cost less than those of smaller ranks. So one search serves every prefix
+    of the order, in place of a search for each.
+    """
+    graph, changes = graph.select("src", "dst", F.col("cost").alias("arc")), changes.select(F.col("rank").alias("needs"), "src", "dst", F.col("cost").alias("arc"))
+    to = lambda df, rank: df.select("source", F.col("dst").alias("node"), rank.cast("long").alias("rank"), (F.col("cost") + F.col("arc")).alias("cost"))
+    best = base.select("source", "node", F.lit(0).cast("long").alias("rank"), "cost")
+    fresh, first = best, True
+    while first or not fresh.isEmpty():
+        at = fresh.withColumnRenamed("node", "src")
+        step = to(at.join(changes, "src"), F.greatest("rank", "needs"))
+        step = step if first else step.unionByName(to(at.join(graph, "src"), F.col("rank")))
+        step = step.filter(F.col("cost") <= limit).groupBy("source", "node", "rank").agg(F.min("cost").alias("cost"))
+        both = best.withColumn("fresh", F.lit(False)).unionByName(step.withColumn("fresh", F.lit(True)))
+        merged = settle(stepped(both, ["source", "node"], "cost", "fresh"))  # of equal labels the old one stays
+        best, fresh, first = merged.drop("fresh"), merged.filter("fresh").drop("fresh"), False
+    return best
 
 
 def cluster_sites(pairs: DataFrame, sites: DataFrame) -> DataFrame:
