@@ -43,15 +43,20 @@ def junctions(vertices: DataFrame) -> DataFrame:
     return v.groupBy("node_id").agg(score.alias("score")).filter("score > 1")
 
 
-def split_ways(vertices: DataFrame) -> DataFrame:
-    """Segments (way_id, part, start_node, end_node, len_m, n_points): ways cut at junctions."""
+def part_legs(vertices: DataFrame) -> DataFrame:
+    """Legs (way_id, part, seq, node_id, x, y, next, nx, ny, len) from vertex to vertex, with the part of the way cut at junctions."""
     j = junctions(vertices).select("node_id", F.lit(1).alias("cut"))
     v = vertices.join(j, "node_id", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
     w = W.partitionBy("way_id").orderBy("seq")
     nxt = lambda c: F.lead(c).over(w)
     # a leg belongs to the part that the last cut at or before its first vertex began
     legs = v.withColumns({"part": F.sum("cut").over(w), "nx": nxt("x"), "ny": nxt("y"), "next": nxt("node_id")}).filter("next is not null")
-    legs = legs.withColumn("len", A.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")))
+    return legs.withColumn("len", A.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")))
+
+
+def split_ways(vertices: DataFrame) -> DataFrame:
+    """Segments (way_id, part, start_node, end_node, len_m, n_points): ways cut at junctions."""
+    legs = part_legs(vertices)
     ends = legs.groupBy("way_id", "part").agg(F.min(F.struct("seq", "node_id")).alias("a"), F.max(F.struct("seq", "next")).alias("b"), F.sum("len").alias("len_m"), (F.count(F.lit(1)) + 1).alias("n_points"))
     return ends.select("way_id", "part", F.col("a.node_id").alias("start_node"), F.col("b.next").alias("end_node"), "len_m", "n_points")
 
@@ -232,7 +237,7 @@ def paths(graph: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     return dealt.mapInPandas(run, "source long, node long, cost double, zeros int, previous long")
 
 
-def anchor(sites: DataFrame, hits: DataFrame, edges: DataFrame) -> DataFrame:
+def anchor(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """Anchors (site_id, tr_id, node, metres, dir, walk_m) of sites on their nearest edges, one row for each end.
 
     ``hits`` has (id, line, along_m, dist); dir 0: the end is reached forwards from the start node, 1: backwards.
