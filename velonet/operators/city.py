@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from velonet.functions import arrays as A
 
 from . import network as N
+from . import rings as R
 from . import spatial as S
 
 
@@ -67,3 +68,16 @@ def city_parcels(parcels: DataFrame, buffer_m: float, size: float) -> DataFrame:
     main = rated.filter("role = 'main'")
     near = polygons_within(main, parcels, buffer_m, size).join(main.select(F.col("poly").alias("a"), "city"), "a").select("city", F.col("b").alias("poly")).distinct()
     return rated.select("city", "poly", "role").union(near.join(of, ["city", "poly"], "left_anti").select("city", "poly", F.lit("around")))
+
+
+def outlines(parcels: DataFrame, roles: DataFrame, size: float) -> DataFrame:
+    """Rows (city, xs, ys, area, l, r, b, t, cx, cy): the dissolved outline of each city's main parcels, its extent and centre.
+
+    ``parcels`` (poly, xs, ys), ``roles`` (city, poly, role) as city_parcels gives them. Of several outlines the largest
+    stays, holes are left out; ``area`` is what the outline encloses.
+    """
+    main = roles.filter("role = 'main'").join(parcels.select("poly", "xs", "ys"), "poly").select(F.col("city").alias("grp"), "poly", "xs", "ys")
+    ring = R.union(main, size).filter("area > 0")
+    most = ring.groupBy("grp").agg(F.max_by(F.struct("xs", "ys", "area"), F.struct("area", -F.col("ring"))).alias("m")).select(F.col("grp").alias("city"), "m.*")
+    boxed = S.with_boxes(most)
+    return boxed.select("city", "xs", "ys", "area", "l", "r", "b", "t", ((F.col("l") + F.col("r")) / 2).alias("cx"), ((F.col("b") + F.col("t")) / 2).alias("cy"))

@@ -8,6 +8,7 @@ a size check admits, a compiled-array Dijkstra in Arrow batches over the sources
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,14 @@ KERNEL_ARCS = 10_000_000
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop's state in the session's checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of a loop's state: a table in the session's checkpoint folder, read again.
+
+    A checkpoint would keep the estimate of the size that its plan had. A join multiplies estimates, so in a loop their digits
+    double each round, until the driver spends its time on them; a table has the size of its files.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def marked_vertices(vertices: DataFrame) -> DataFrame:
