@@ -48,8 +48,33 @@ def test_every_word_and_bigram_counts(spark, monkeypatch, hot):
     odd = spark.createDataFrame(other, "doc_id long, text string").repartition(2)
     model = lm_score.train(t, df)
     for frame, source in ((df, rows), (odd, other)):
-        got = [(r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"], r["score"]) for r in lm_score.score(frame, model).collect()]
+        got = [(r["doc_id"], r["n_tokens"], r["loss_target"], r["loss_background"], r["score"]) for r in lm_score.score(frame.select('*'), model, leave_out=frame is df).collect()]
         want = plain(target, [x for _, x in rows], source, frame is df)
         assert sorted(str(g[0]) for g in got) == sorted(str(i) for i, _ in source)
         for i, n, a, b, s in got:
             assert (n, a, b) == (want[i][0], pytest.approx(want[i][1]), pytest.approx(want[i][2])) and s == pytest.approx(a - b)
+
+
+def test_counts_beyond_31_bits(spark):
+    """A model whose commonest word has 2**33 counts scores by them; the counts are put in place of what was counted."""
+    rng = random.Random(1)
+    t = spark.createDataFrame([(" ".join(words(rng, 30)),) for _ in range(5)], "text string")
+    df = spark.createDataFrame([(i, "often " * 3 + " ".join(words(rng, 20))) for i in range(9)], "doc_id long, text string")
+    model = lm_score.train(t, df)
+    known, number, counts = model.hot.value
+    at = int(number[list(known).index(lm_score._hash([b"often"])[0])])
+    assert counts.dtype.itemsize == 8
+    large = counts.copy()
+    large[at, 1] += 1 << 33
+    more = lm_score.Models(**{**{f: getattr(model, f) for f in ("target", "background", "counted", "n_words", "texts", "least")}, "tokens": (model.tokens[0], model.tokens[1] + (1 << 33)), "hot": spark.sparkContext.broadcast((known, number, large))})
+    was, now = ({r["doc_id"]: r for r in lm_score.score(df, m).collect()} for m in (model, more))
+    # the background's single-word part of "often" is all but certain, that of other words all but nothing
+    assert was.keys() == now.keys() and all(math.isfinite(r["score"]) and r["loss_background"] != pytest.approx(was[i]["loss_background"]) for i, r in now.items())
+
+
+def test_rows_are_told_apart_by_id(spark):
+    """Equal texts of two ids, two texts of one id, and rows without an id keep their own losses and ids."""
+    rows = [(1, "a b c"), (2, "a b c"), (1, "c b"), (None, "a b c"), (None, "b"), (-1, "a b c"), (1 << 62, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in lm_score.cross_entropy_difference(df, df.select("text")).collect())
+    assert got == sorted((str(i), len(t.split())) for i, t in rows)

@@ -39,7 +39,8 @@ SHARE = 0.5
 UNKNOWN, BEGIN = 0, 1
 #: Distinct words a task counts before it hands them on.
 MOST_COUNTED = 500_000
-#: Both sides' counts of a word travel in one number, the target's above these bits.
+#: Both counts of a word that is not hot travel in one number, the target's above these bits. A word with more counts would
+#: have 2**20 words ahead of it with as many: that takes 2**51 tokens.
 SIDE_BITS = 31
 #: Bytes of text in a block. Tokens for each bucket of pairs; more buckets than MOST_BUCKETS would leave a block's payloads
 #: a few pairs each, so beyond about 40 billion tokens buckets grow instead.
@@ -173,17 +174,17 @@ def train(target: DataFrame, background: DataFrame) -> Models:
     counted = common.materialize(counted)
     none = lambda c: F.coalesce(c, F.lit(0))
     n, t, b, most = counted.agg(F.count(F.lit(1)), none(F.sum("t")), none(F.sum("b")), none(F.max(F.greatest("t", "b")))).first()
-    if most >> SIDE_BITS:
-        raise OverflowError(f"a word's count, {most}, takes more than {SIDE_BITS} bits")
     sizes = tuple(df.count() for df in (target, background))
-    if max(sizes) >> SIDE_BITS:
-        raise OverflowError(f"{max(sizes)} texts take more than {SIDE_BITS} bits")
     least = _least_count(counted)
+    if most >> SIDE_BITS:  # by far the most words have less; only those that are not hot must
+        rare = counted.filter(F.col("t") + F.col("b") <= least).agg(none(F.max(F.greatest("t", "b")))).first()[0]
+        if rare >> SIDE_BITS:
+            raise OverflowError(f"a word that is not hot has {rare} counts, more than {SIDE_BITS} bits hold")
     hot = counted.filter(F.col("t") + F.col("b") > least).mapInPandas(_packed_words, "words binary")
     got = [_unpack(bytes(r["words"])) for r in hot.collect()]
     word, t_, b_ = (np.concatenate([np.empty(0, np.int64), *[g[i] for g in got]]) for i in range(3))
     order = np.lexsort((word, -t_ - b_))
-    word, counts = word[order], np.vstack([sizes, np.stack([t_, b_], 1)[order]]).astype(np.int32)
+    word, counts = word[order], np.vstack([np.array(sizes, np.int64), np.stack([t_, b_], 1)[order]])
     at = np.argsort(word, kind="stable")
     return Models(target, background, counted, n, (t, b), sizes, target.sparkSession.sparkContext.broadcast((word[at], (at + 1).astype(np.int32), counts)), least)
 
@@ -215,7 +216,7 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _indexed(models: Models, texts: DataFrame, roles: str, buckets: int, leave_out: bool) -> DataFrame:
-    """Texts (row, raw) -> payloads (block, bucket, role, payload).
+    """Texts (doc, row, raw) -> payloads (block, bucket, role, payload).
 
     For each bucket the block's distinct pairs and how often each occurs; with the role d also ENTRIES (for each pair, in
     order of bucket and pair, the texts that have it, how often, and with ``leave_out`` how often they have its two
@@ -242,7 +243,7 @@ def _indexed(models: Models, texts: DataFrame, roles: str, buckets: int, leave_o
                 own[order] = np.repeat(n, n)
             now = np.flatnonzero(text[1:] == text[:-1]) + 1
             a, b, tx = x[now - 1], x[now], text[now] if told else np.zeros(len(now), np.int64)
-            row, tokens = batch["row"].to_numpy(np.int64), size - 1
+            named, tokens = [h for c in ("doc", "row") for h in _halves(batch[c].to_numpy(np.int64))], size - 1
             block += 1
             out: list[tuple[int, bytes]] = []
             hot = (a >= 0) & (b >= 0)
@@ -254,7 +255,7 @@ def _indexed(models: Models, texts: DataFrame, roles: str, buckets: int, leave_o
             pair, bucket, t, at = pair[first], bucket[first], t[first], at[first]
             new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (bucket[1:] != bucket[:-1])]) if len(pair) else first
             if told and len(pair):
-                out.append((ENTRIES, _pack(row.view(np.uint64) >> np.uint64(32), row & 0xFFFFFFFF, tokens, np.diff(np.r_[new, len(pair)]), t, n, own[at - 1], own[at])))
+                out.append((ENTRIES, _pack(*named, tokens, np.diff(np.r_[new, len(pair)]), t, n, own[at - 1], own[at])))
             if len(pair):
                 total = np.add.reduceat(n, new)
                 pair, bucket = pair[new], bucket[new]
@@ -267,13 +268,18 @@ def _indexed(models: Models, texts: DataFrame, roles: str, buckets: int, leave_o
                 n = np.diff(np.r_[first, len(order)])
                 first = order[first]
                 a, b, at, t = a[first], b[first], at[first], t[first]
-                out.append((RARE, _pack(row.view(np.uint64) >> np.uint64(32), row & 0xFFFFFFFF, tokens, t, np.maximum(a, 0), np.maximum(-1 - a, 0), a < 0, np.maximum(b, 0), np.maximum(-1 - b, 0), b < 0, n, own[at - 1], own[at])))
+                out.append((RARE, _pack(*named, tokens, t, np.maximum(a, 0), np.maximum(-1 - a, 0), a < 0, np.maximum(b, 0), np.maximum(-1 - b, 0), b < 0, n, own[at - 1], own[at])))
             if out:
                 yield pd.DataFrame({"block": block, "bucket": [k for k, _ in out], "role": role, "payload": [p for _, p in out]})
 
     return texts.mapInPandas(run, "block long, bucket int, role int, payload binary")
 
 
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper and the lower 32 bits."""
+    return x.view(np.uint64) >> np.uint64(32), x & 0xFFFFFFFF
+
+
 def _rows(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return high << 32 | low
 
@@ -311,16 +317,16 @@ def _bits(n: np.ndarray, first: np.ndarray, single: np.ndarray, scale: float, ma
 
 
 def _lost(models: Models, leave_out: bool):
-    """A block's entries and the counts of its pairs, sorted by block and bucket -> (row, n, t, b): the texts' bits."""
+    """A block's entries and the counts of its pairs, sorted by block and bucket -> (doc, row, n, t, b): the texts' bits."""
     sent, scale, mass = models.hot, [models.scale(s) for s in (0, 1)], [models.mass(s) for s in (0, 1)]
 
     def close(entries: bytes, totals: list[bytes]) -> pd.DataFrame:
         counts = sent.value[2]
-        high, low, tokens, m, t, n, o1, o2 = _unpack(entries)
+        d1, d2, high, low, tokens, m, t, n, o1, o2 = _unpack(entries)
         got = [_unpack(p) for p in totals]
         pair = np.repeat(np.concatenate([np.cumsum(g[0]) for g in got]), m)
         both = [np.repeat(np.concatenate([g[1 + s] for g in got]), m) for s in (0, 1)]
-        one, two = counts[pair >> ID_BITS], counts[pair & ((1 << ID_BITS) - 1)]  # counts fit, as train() has checked
+        one, two = counts[pair >> ID_BITS], counts[pair & ((1 << ID_BITS) - 1)]
         less = n if leave_out else 0
         bits = (
             _bits(both[0], one[:, 0], two[:, 0], scale[0], mass[0]),
@@ -328,7 +334,7 @@ def _lost(models: Models, leave_out: bool):
         )
         sums = [np.bincount(t, n * x, len(low)) for x in (1, *bits)]
         some = sums[0] > 0
-        return pd.DataFrame({"row": _rows(high, low)[some], "n": sums[0][some].astype(np.int64), "t": sums[1][some], "b": sums[2][some]})
+        return pd.DataFrame({"doc": _rows(d1, d2)[some], "row": _rows(high, low)[some], "n": sums[0][some].astype(np.int64), "t": sums[1][some], "b": sums[2][some]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, entries, totals = None, b"", []
@@ -353,17 +359,17 @@ def _rare_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     number or -1 less its hash, ``tag`` the role and whether h is the first word; small numbers travel two in one."""
     for batch in batches:
         for role, payload in zip(batch["role"].tolist(), batch["payload"], strict=True):
-            high, low, tokens, t, ia, ha, ra, ib, hb, rb, n, o1, o2 = _unpack(payload)
+            d1, d2, high, low, tokens, t, ia, ha, ra, ib, hb, rb, n, o1, o2 = _unpack(payload)
             ra, rb = ra > 0, rb > 0
             told = bool(role & ROLES["d"])
             yield pd.DataFrame({
-                "h": np.where(ra, ha, hb), "other": np.where(ra, np.where(rb, -1 - hb, ib), ia), "c": np.zeros(len(n), np.int64), "row": _rows(high, low)[t] if told else 0,
+                "h": np.where(ra, ha, hb), "other": np.where(ra, np.where(rb, -1 - hb, ib), ia), "c": np.zeros(len(n), np.int64), "doc": _rows(d1, d2)[t] if told else 0, "row": _rows(high, low)[t] if told else 0,
                 "tag": role << 1 | ra, "meta": n << 32 | o1, "more": o2 << 32 | (tokens[t] if told else 0),
             })
 
 
 def _rare_bits(models: Models, leave_out: bool):
-    """Rows with the counts ``u`` of h, ``c`` of a hidden other, and t, b of the bigram -> (row, n, t, b)."""
+    """Rows with the counts ``u`` of h, ``c`` of a hidden other, and t, b of the bigram -> (doc, row, n, t, b)."""
     sent, scale, mass = models.hot, [models.scale(s) for s in (0, 1)], [models.mass(s) for s in (0, 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -380,62 +386,63 @@ def _rare_bits(models: Models, leave_out: bool):
                 own, other = of(x["u"]), np.where(x["other"] >= 0, hot[:, s], of(x["c"]))
                 less = 1 if leave_out and s else 0
                 bits.append(_bits(x["tb"[s]] - less * n, np.where(ahead, own, other) - less * o1, np.where(ahead, other, own) - less * o2, scale[s], mass[s] - less * tokens * scale[s]))
-            row, place = np.unique(x["row"], return_inverse=True)
-            sums = [np.bincount(place, n * y, len(row)) for y in (1, *bits)]
-            yield pd.DataFrame({"row": row, "n": sums[0].astype(np.int64), "t": sums[1], "b": sums[2]})
+            order, first = _groups(x["row"], x["doc"])
+            sums = [np.add.reduceat((n * y)[order], first) for y in (1, *bits)]
+            yield pd.DataFrame({"doc": x["doc"][order[first]], "row": x["row"][order[first]], "n": sums[0].astype(np.int64), "t": sums[1], "b": sums[2]})
 
     return run
 
 
 def _rare_lost(models: Models, payloads: DataFrame, leave_out: bool) -> DataFrame:
-    """(row, n, t, b) of the bigrams with a word that is not hot: they meet at it, where its count is joined."""
-    rows = payloads.mapInPandas(_rare_rows, "h long, other long, c long, row long, tag byte, meta long, more long")
+    """(doc, row, n, t, b) of the bigrams with a word that is not hot: they meet at it, where its count is joined."""
+    rows = payloads.mapInPandas(_rare_rows, "h long, other long, c long, doc long, row long, tag byte, meta long, more long")
     words = models.counted.filter(F.col("t") + F.col("b") <= models.least).select(F.col("word"), (F.shiftleft("t", SIDE_BITS) + F.col("b")).alias("u"))
-    two = rows.filter("other < 0").join(words, -1 - F.col("other") == F.col("word"), "left").select("h", "other", F.coalesce("u", F.lit(0)).alias("c"), "row", "tag", "meta", "more")
+    two = rows.filter("other < 0").join(words, -1 - F.col("other") == F.col("word"), "left").select("h", "other", F.coalesce("u", F.lit(0)).alias("c"), "doc", "row", "tag", "meta", "more")
     every = rows.filter("other >= 0").union(two).join(words, F.col("h") == F.col("word"), "left").withColumn("u", F.coalesce("u", F.lit(0)))
     same = W.partitionBy("h", "other", F.col("tag").bitwiseAND(F.lit(1).cast("byte")))
     has = lambda r: F.col("tag").cast("int").bitwiseAND(F.lit(ROLES[r] << 1)) > 0
     count = lambda r: F.sum(F.when(has(r), F.shiftright("meta", 32)).otherwise(0)).over(same)
     found = every.withColumns({"t": count("t"), "b": count("b")}).filter(has("d"))
-    return found.select("other", "c", "u", "t", "b", "row", "tag", "meta", "more").mapInPandas(_rare_bits(models, leave_out), "row long, n long, t double, b double")
+    return found.select("other", "c", "u", "t", "b", "doc", "row", "tag", "meta", "more").mapInPandas(_rare_bits(models, leave_out), "doc long, row long, n long, t double, b double")
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
+def score(docs: DataFrame, models: Models, leave_out: bool = False) -> DataFrame:
     """Rows (doc_id, n_tokens, loss_target, loss_background, score), one for each row of ``docs``.
 
     Losses are bits per token and ``score`` is target less background: the lower, the more a text is like the target.
-    Where ``docs`` is the models' background itself, a text's own counts are taken off the background's when it is scored
-    (another row with the same text stays in). Null and empty texts have no tokens, losses and score 0; null ids and
+    With ``leave_out``, ``docs`` are to have the rows of the models' background: a text's own counts are taken off the
+    background's when it is scored (another row with the same text stays in). Null and empty texts have no tokens, losses and score 0; null ids and
     repeated rows are scored like others; words of equal counts have numbers in order of their hashes, which no score
-    depends on; an empty table gives no rows; further columns are ignored. Texts stay where they are.
+    depends on; an empty table gives no rows; further columns are ignored. Texts stay where they are; a long
+    one is a block of its own, whose words a task holds. Rows of one id are told apart by a hash of the text, rows without an id
+    by two.
     """
-    keyed = lambda df, row: df.select(row.alias("row"), common.raw_text().alias("raw"))
-    row = F.xxhash64(F.col("doc_id").cast("long"), common.raw_text())
+    keyed = lambda df, doc, row: df.select(doc.alias("doc"), row.alias("row"), common.raw_text().alias("raw"))
+    doc, row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(common.raw_text(), F.lit(1))), F.xxhash64(F.col("doc_id").isNull(), common.raw_text())
     none = F.lit(0).cast("long")
-    leave_out = docs is models.background
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(MOST_BUCKETS, max(parts, sum(models.tokens) // BUCKET_TOKENS))
-    index = _indexed(models, keyed(models.target, none), "t", buckets, False)
+    index = _indexed(models, keyed(models.target, none, none), "t", buckets, False)
     if leave_out:
-        index = index.union(_indexed(models, keyed(docs, row), "bd", buckets, True))
+        index = index.union(_indexed(models, keyed(docs, doc, row), "bd", buckets, True))
     else:
-        index = index.union(_indexed(models, keyed(models.background, none), "b", buckets, False)).union(_indexed(models, keyed(docs, row), "d", buckets, False))
+        index = index.union(_indexed(models, keyed(models.background, none, none), "b", buckets, False)).union(_indexed(models, keyed(docs, doc, row), "d", buckets, False))
     # totals must meet the very entries they were made from, so the index is written once
     index = common.materialize(index)
     dealt = index.filter("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
     totals = dealt.mapInPandas(_totals, "block long, bucket int, payload binary")
     met = index.filter(F.col("bucket") == ENTRIES).select("block", "bucket", "payload").union(totals)
-    lost = met.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInPandas(_lost(models, leave_out), "row long, n long, t double, b double")
+    lost = met.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInPandas(_lost(models, leave_out), "doc long, row long, n long, t double, b double")
     lost = lost.union(_rare_lost(models, index.filter(F.col("bucket") == RARE).select("role", "payload"), leave_out))
-    lost = lost.groupBy("row").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    lost = lost.groupBy("doc", "row").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     # equal rows are one row here: their sums are those of all of them
-    rows = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    rows = docs.select(doc.alias("doc"), row.alias("row"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc", "row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     per = lambda c: F.coalesce(F.col(c) / F.col("n"), F.lit(0.0))
-    out = rows.join(lost, "row", "left").select("doc_id", "copies", F.coalesce((F.col("n") / F.col("copies")).cast("long"), none).alias("n_tokens"), per("t").alias("loss_target"), per("b").alias("loss_background"))
+    out = rows.join(lost, ["doc", "row"], "left").select("doc_id", "copies", F.coalesce((F.col("n") / F.col("copies")).cast("long"), none).alias("n_tokens"), per("t").alias("loss_target"), per("b").alias("loss_background"))
     out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Score ``docs`` by models of ``target`` and of ``docs`` themselves as background, each text left out of it in turn."""
-    return score(docs, train(target, docs))
+    return score(docs, train(target, docs), leave_out=True)
