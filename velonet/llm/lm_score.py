@@ -47,8 +47,10 @@ SIDE_BITS = 31
 BLOCK_BYTES, BUCKET_TOKENS, MOST_BUCKETS = 4_000_000, 1 << 21, 20_000
 #: What a text's count adds to.
 ROLES = {"t": 1, "b": 2, "d": 4}
-#: Payloads that are not of a bucket: a block's entries, its bigrams with a word that is not hot.
-ENTRIES, RARE = -2, -1
+#: Payloads that are not of a bucket: the ids of a block's texts, its entries, its bigrams with a word that is not hot.
+NAMES, ENTRIES, RARE = -3, -2, -1
+#: A text is known by its block and its place there, in one number: bits of the place, of the block's place in its partition.
+TEXT_BITS, BLOCK_BITS = 19, 24
 
 
 def _hash(words: list[bytes]) -> np.ndarray:
@@ -216,9 +218,10 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _indexed(models: Models, texts: DataFrame, roles: str, buckets: int, leave_out: bool) -> DataFrame:
-    """Texts (doc, row, raw) -> payloads (block, bucket, role, payload).
+    """Texts (doc, none, raw) -> payloads (block, bucket, role, payload).
 
-    For each bucket the block's distinct pairs and how often each occurs; with the role d also ENTRIES (for each pair, in
+    For each bucket the block's distinct pairs and how often each occurs; with the role d also NAMES (ids, and whether there
+    is none) and ENTRIES (for each pair, in
     order of bucket and pair, the texts that have it, how often, and with ``leave_out`` how often they have its two
     words); and RARE, the same for bigrams with a word that is not hot.
     """
@@ -227,8 +230,8 @@ def _indexed(models: Models, texts: DataFrame, roles: str, buckets: int, leave_o
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, number, _ = sent.value
         codes = _Codes(known, number)
-        block = TaskContext.get().partitionId() << 32
-        for batch in common.chunks(batches, "raw", BLOCK_BYTES):
+        block = TaskContext.get().partitionId() << BLOCK_BITS
+        for batch in (b.iloc[i : i + (1 << TEXT_BITS)] for b in common.chunks(batches, "raw", BLOCK_BYTES) for i in range(0, len(b), 1 << TEXT_BITS)):
             begin, each = np.zeros(1, np.int64), []
             for raw in batch["raw"]:
                 words = raw.split()
@@ -243,9 +246,9 @@ def _indexed(models: Models, texts: DataFrame, roles: str, buckets: int, leave_o
                 own[order] = np.repeat(n, n)
             now = np.flatnonzero(text[1:] == text[:-1]) + 1
             a, b, tx = x[now - 1], x[now], text[now] if told else np.zeros(len(now), np.int64)
-            named, tokens = [h for c in ("doc", "row") for h in _halves(batch[c].to_numpy(np.int64))], size - 1
+            tokens = size - 1
             block += 1
-            out: list[tuple[int, bytes]] = []
+            out: list[tuple[int, bytes]] = [(NAMES, _pack(*_halves(batch["doc"].to_numpy(np.int64)), batch["none"].to_numpy()))] if told else []
             hot = (a >= 0) & (b >= 0)
             pair, at, t = a[hot] << ID_BITS | b[hot], now[hot], tx[hot]
             bucket = (common.mix(pair.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -255,7 +258,7 @@ def _indexed(models: Models, texts: DataFrame, roles: str, buckets: int, leave_o
             pair, bucket, t, at = pair[first], bucket[first], t[first], at[first]
             new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (bucket[1:] != bucket[:-1])]) if len(pair) else first
             if told and len(pair):
-                out.append((ENTRIES, _pack(*named, tokens, np.diff(np.r_[new, len(pair)]), t, n, own[at - 1], own[at])))
+                out.append((ENTRIES, _pack(tokens, np.diff(np.r_[new, len(pair)]), t, n, own[at - 1], own[at])))
             if len(pair):
                 total = np.add.reduceat(n, new)
                 pair, bucket = pair[new], bucket[new]
@@ -268,7 +271,7 @@ def _indexed(models: Models, texts: DataFrame, roles: str, buckets: int, leave_o
                 n = np.diff(np.r_[first, len(order)])
                 first = order[first]
                 a, b, at, t = a[first], b[first], at[first], t[first]
-                out.append((RARE, _pack(*named, tokens, t, np.maximum(a, 0), np.maximum(-1 - a, 0), a < 0, np.maximum(b, 0), np.maximum(-1 - b, 0), b < 0, n, own[at - 1], own[at])))
+                out.append((RARE, _pack(tokens, t, np.maximum(a, 0), np.maximum(-1 - a, 0), a < 0, np.maximum(b, 0), np.maximum(-1 - b, 0), b < 0, n, own[at - 1], own[at])))
             if out:
                 yield pd.DataFrame({"block": block, "bucket": [k for k, _ in out], "role": role, "payload": [p for _, p in out]})
 
@@ -280,8 +283,17 @@ def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x.view(np.uint64) >> np.uint64(32), x & 0xFFFFFFFF
 
 
-def _rows(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return high << 32 | low
+def _places(block: int, t: np.ndarray) -> np.ndarray:
+    """The numbers that texts of a block are known by."""
+    return block << TEXT_BITS | t
+
+
+def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Payloads of names -> (at, doc, none) of each text."""
+    for batch in batches:
+        for block, payload in zip(batch["block"].tolist(), batch["payload"], strict=True):
+            high, low, none = _unpack(payload)
+            yield pd.DataFrame({"at": _places(block, np.arange(len(low))), "doc": high << 32 | low, "none": none > 0})
 
 
 def _totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,12 +329,12 @@ def _bits(n: np.ndarray, first: np.ndarray, single: np.ndarray, scale: float, ma
 
 
 def _lost(models: Models, leave_out: bool):
-    """A block's entries and the counts of its pairs, sorted by block and bucket -> (doc, row, n, t, b): the texts' bits."""
+    """A block's entries and the counts of its pairs, sorted by block and bucket -> (at, n, t, b): the texts' bits."""
     sent, scale, mass = models.hot, [models.scale(s) for s in (0, 1)], [models.mass(s) for s in (0, 1)]
 
-    def close(entries: bytes, totals: list[bytes]) -> pd.DataFrame:
+    def close(block: int, entries: bytes, totals: list[bytes]) -> pd.DataFrame:
         counts = sent.value[2]
-        d1, d2, high, low, tokens, m, t, n, o1, o2 = _unpack(entries)
+        tokens, m, t, n, o1, o2 = _unpack(entries)
         got = [_unpack(p) for p in totals]
         pair = np.repeat(np.concatenate([np.cumsum(g[0]) for g in got]), m)
         both = [np.repeat(np.concatenate([g[1 + s] for g in got]), m) for s in (0, 1)]
@@ -332,9 +344,9 @@ def _lost(models: Models, leave_out: bool):
             _bits(both[0], one[:, 0], two[:, 0], scale[0], mass[0]),
             _bits(both[1] - less, one[:, 1] - o1, two[:, 1] - o2, scale[1], mass[1] - (tokens[t] * scale[1] if leave_out else 0)),
         )
-        sums = [np.bincount(t, n * x, len(low)) for x in (1, *bits)]
+        sums = [np.bincount(t, n * x, len(tokens)) for x in (1, *bits)]
         some = sums[0] > 0
-        return pd.DataFrame({"doc": _rows(d1, d2)[some], "row": _rows(high, low)[some], "n": sums[0][some].astype(np.int64), "t": sums[1][some], "b": sums[2][some]})
+        return pd.DataFrame({"at": _places(block, np.flatnonzero(some)), "n": sums[0][some].astype(np.int64), "t": sums[1][some], "b": sums[2][some]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block, entries, totals = None, b"", []
@@ -342,14 +354,14 @@ def _lost(models: Models, leave_out: bool):
             for k, bucket, payload in zip(batch["block"].tolist(), batch["bucket"].tolist(), batch["payload"], strict=True):
                 if k != block:
                     if entries:
-                        yield close(entries, totals)
+                        yield close(block, entries, totals)
                     block, entries, totals = k, b"", []
                 if bucket == ENTRIES:
                     entries = payload
                 else:
                     totals.append(payload)
         if entries:
-            yield close(entries, totals)
+            yield close(block, entries, totals)
 
     return run
 
@@ -358,18 +370,18 @@ def _rare_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Payloads -> rows of bigrams with a word that is not hot: ``h`` that word (the first of two), ``other`` the other one's
     number or -1 less its hash, ``tag`` the role and whether h is the first word; small numbers travel two in one."""
     for batch in batches:
-        for role, payload in zip(batch["role"].tolist(), batch["payload"], strict=True):
-            d1, d2, high, low, tokens, t, ia, ha, ra, ib, hb, rb, n, o1, o2 = _unpack(payload)
+        for block, role, payload in zip(batch["block"].tolist(), batch["role"].tolist(), batch["payload"], strict=True):
+            tokens, t, ia, ha, ra, ib, hb, rb, n, o1, o2 = _unpack(payload)
             ra, rb = ra > 0, rb > 0
             told = bool(role & ROLES["d"])
             yield pd.DataFrame({
-                "h": np.where(ra, ha, hb), "other": np.where(ra, np.where(rb, -1 - hb, ib), ia), "c": np.zeros(len(n), np.int64), "doc": _rows(d1, d2)[t] if told else 0, "row": _rows(high, low)[t] if told else 0,
+                "h": np.where(ra, ha, hb), "other": np.where(ra, np.where(rb, -1 - hb, ib), ia), "c": np.zeros(len(n), np.int64), "at": _places(block, t) if told else 0,
                 "tag": role << 1 | ra, "meta": n << 32 | o1, "more": o2 << 32 | (tokens[t] if told else 0),
             })
 
 
 def _rare_bits(models: Models, leave_out: bool):
-    """Rows with the counts ``u`` of h, ``c`` of a hidden other, and t, b of the bigram -> (doc, row, n, t, b)."""
+    """Rows with the counts ``u`` of h, ``c`` of a hidden other, and t, b of the bigram -> (at, n, t, b)."""
     sent, scale, mass = models.hot, [models.scale(s) for s in (0, 1)], [models.mass(s) for s in (0, 1)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -386,24 +398,24 @@ def _rare_bits(models: Models, leave_out: bool):
                 own, other = of(x["u"]), np.where(x["other"] >= 0, hot[:, s], of(x["c"]))
                 less = 1 if leave_out and s else 0
                 bits.append(_bits(x["tb"[s]] - less * n, np.where(ahead, own, other) - less * o1, np.where(ahead, other, own) - less * o2, scale[s], mass[s] - less * tokens * scale[s]))
-            order, first = _groups(x["row"], x["doc"])
-            sums = [np.add.reduceat((n * y)[order], first) for y in (1, *bits)]
-            yield pd.DataFrame({"doc": x["doc"][order[first]], "row": x["row"][order[first]], "n": sums[0].astype(np.int64), "t": sums[1], "b": sums[2]})
+            at, place = np.unique(x["at"], return_inverse=True)
+            sums = [np.bincount(place, n * y, len(at)) for y in (1, *bits)]
+            yield pd.DataFrame({"at": at, "n": sums[0].astype(np.int64), "t": sums[1], "b": sums[2]})
 
     return run
 
 
 def _rare_lost(models: Models, payloads: DataFrame, leave_out: bool) -> DataFrame:
-    """(doc, row, n, t, b) of the bigrams with a word that is not hot: they meet at it, where its count is joined."""
-    rows = payloads.mapInPandas(_rare_rows, "h long, other long, c long, doc long, row long, tag byte, meta long, more long")
+    """(at, n, t, b) of the bigrams with a word that is not hot: they meet at it, where its count is joined."""
+    rows = payloads.mapInPandas(_rare_rows, "h long, other long, c long, at long, tag byte, meta long, more long")
     words = models.counted.filter(F.col("t") + F.col("b") <= models.least).select(F.col("word"), (F.shiftleft("t", SIDE_BITS) + F.col("b")).alias("u"))
-    two = rows.filter("other < 0").join(words, -1 - F.col("other") == F.col("word"), "left").select("h", "other", F.coalesce("u", F.lit(0)).alias("c"), "doc", "row", "tag", "meta", "more")
+    two = rows.filter("other < 0").join(words, -1 - F.col("other") == F.col("word"), "left").select("h", "other", F.coalesce("u", F.lit(0)).alias("c"), "at", "tag", "meta", "more")
     every = rows.filter("other >= 0").union(two).join(words, F.col("h") == F.col("word"), "left").withColumn("u", F.coalesce("u", F.lit(0)))
     same = W.partitionBy("h", "other", F.col("tag").bitwiseAND(F.lit(1).cast("byte")))
     has = lambda r: F.col("tag").cast("int").bitwiseAND(F.lit(ROLES[r] << 1)) > 0
     count = lambda r: F.sum(F.when(has(r), F.shiftright("meta", 32)).otherwise(0)).over(same)
     found = every.withColumns({"t": count("t"), "b": count("b")}).filter(has("d"))
-    return found.select("other", "c", "u", "t", "b", "doc", "row", "tag", "meta", "more").mapInPandas(_rare_bits(models, leave_out), "doc long, row long, n long, t double, b double")
+    return found.select("other", "c", "u", "t", "b", "at", "tag", "meta", "more").mapInPandas(_rare_bits(models, leave_out), "at long, n long, t double, b double")
 
 
 def score(docs: DataFrame, models: Models, leave_out: bool = False) -> DataFrame:
@@ -414,33 +426,30 @@ def score(docs: DataFrame, models: Models, leave_out: bool = False) -> DataFrame
     background's when it is scored (another row with the same text stays in). Null and empty texts have no tokens, losses and score 0; null ids and
     repeated rows are scored like others; words of equal counts have numbers in order of their hashes, which no score
     depends on; an empty table gives no rows; further columns are ignored. Texts stay where they are; a long
-    one is a block of its own, whose words a task holds. Rows of one id are told apart by a hash of the text, rows without an id
-    by two.
+    one is a block of its own, whose words a task holds.
     """
-    keyed = lambda df, doc, row: df.select(doc.alias("doc"), row.alias("row"), common.raw_text().alias("raw"))
-    doc, row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(common.raw_text(), F.lit(1))), F.xxhash64(F.col("doc_id").isNull(), common.raw_text())
-    none = F.lit(0).cast("long")
+    doc, none = F.col("doc_id").cast("long"), F.lit(0).cast("long")
+    told = docs.select(F.coalesce(doc, none).alias("doc"), doc.isNull().alias("none"), common.raw_text().alias("raw"))
+    plain = lambda df: df.select(none.alias("doc"), F.lit(True).alias("none"), common.raw_text().alias("raw"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(MOST_BUCKETS, max(parts, sum(models.tokens) // BUCKET_TOKENS))
-    index = _indexed(models, keyed(models.target, none, none), "t", buckets, False)
+    index = _indexed(models, plain(models.target), "t", buckets, False)
     if leave_out:
-        index = index.union(_indexed(models, keyed(docs, doc, row), "bd", buckets, True))
+        index = index.union(_indexed(models, told, "bd", buckets, True))
     else:
-        index = index.union(_indexed(models, keyed(models.background, none, none), "b", buckets, False)).union(_indexed(models, keyed(docs, doc, row), "d", buckets, False))
+        index = index.union(_indexed(models, plain(models.background), "b", buckets, False)).union(_indexed(models, told, "d", buckets, False))
     # totals must meet the very entries they were made from, so the index is written once
     index = common.materialize(index)
     dealt = index.filter("bucket >= 0").repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
     totals = dealt.mapInPandas(_totals, "block long, bucket int, payload binary")
     met = index.filter(F.col("bucket") == ENTRIES).select("block", "bucket", "payload").union(totals)
-    lost = met.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInPandas(_lost(models, leave_out), "doc long, row long, n long, t double, b double")
-    lost = lost.union(_rare_lost(models, index.filter(F.col("bucket") == RARE).select("role", "payload"), leave_out))
-    lost = lost.groupBy("doc", "row").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("b").alias("b"))
-    # equal rows are one row here: their sums are those of all of them
-    rows = docs.select(doc.alias("doc"), row.alias("row"), F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc", "row").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
-    per = lambda c: F.coalesce(F.col(c) / F.col("n"), F.lit(0.0))
-    out = rows.join(lost, ["doc", "row"], "left").select("doc_id", "copies", F.coalesce((F.col("n") / F.col("copies")).cast("long"), none).alias("n_tokens"), per("t").alias("loss_target"), per("b").alias("loss_background"))
-    out = out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return out.select("doc_id", "n_tokens", "loss_target", "loss_background", (F.col("loss_target") - F.col("loss_background")).alias("score"))
+    lost = met.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInPandas(_lost(models, leave_out), "at long, n long, t double, b double")
+    lost = lost.union(_rare_lost(models, index.filter(F.col("bucket") == RARE).select("block", "role", "payload"), leave_out))
+    lost = lost.groupBy("at").agg(F.sum("n").cast("long").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    names = index.filter(F.col("bucket") == NAMES).select("block", "payload").mapInPandas(_named, "at long, doc long, none boolean")
+    per = lambda c: F.coalesce(F.col(c) / F.col("n_tokens"), F.lit(0.0))
+    out = names.join(lost, "at", "left").select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), F.coalesce("n_tokens", none).alias("n_tokens"), per("t").alias("loss_target"), per("b").alias("loss_background"))
+    return out.select("*", (F.col("loss_target") - F.col("loss_background")).alias("score"))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
