@@ -8,6 +8,7 @@ from velonet.functions import tags as T
 from velonet.sources import readers, writers
 
 from . import adapters as D
+from .road_queries import CYCLE_TYPE, HOUSES, SERVICE
 from .network_queries import BASE, vertices
 
 
@@ -46,6 +47,8 @@ def road_attributes(spark, sf):
 
 QUERIES = {"s18_config_lines": config_lines, "s13_json_props": json_props, "k06_web_polylines": polylines, "s09_bounds_header": bounds, "s11_cell_types": cell_types, "r02_attribute_table": road_attributes}
 ORACLES = {
+    "r02_attribute_table": f"""WITH ways AS ({D.WAYS_SQL}) SELECT {CYCLE_TYPE} AS cycle_type, count(*) AS n, CAST(sum({HOUSES}) AS BIGINT) AS has_houses, CAST(sum({SERVICE}) AS BIGINT) AS is_service,
+      CAST(sum(CAST("sidewalk:left" IS NOT NULL AS INTEGER)) AS BIGINT) AS sidewalk FROM ways GROUP BY 1""",
     "s18_config_lines": "SELECT 'KEY_' || (o_orderkey % 50) AS key, 'path/of ' || o_orderkey AS rest FROM orders",
     "s13_json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "k06_web_polylines": f"WITH {BASE} SELECT way_id, count(*) AS n, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(CASE WHEN y > 0 THEN 1 - y ELSE 0 END) AS BIGINT) AS sy FROM pts GROUP BY way_id",

@@ -162,10 +162,14 @@ HEX_CELL = f"""h0 AS (SELECT *, {HEX} FROM homes), h1 AS (SELECT *, floor(u + 0.
   hex AS (SELECT site_id, weight, CAST(CASE WHEN odd THEN c1 ELSE c0 END AS BIGINT) AS col, CAST(CASE WHEN odd THEN r1 ELSE r0 END AS BIGINT) AS row_, CAST(odd AS BIGINT) AS half FROM h2)"""
 
 
-@query("x16_hex_grid", """SELECT CAST(i AS BIGINT) AS cell, CAST(floor(i / 2) % 16 AS BIGINT) AS col, CAST(floor(i / 32) AS BIGINT) AS row_, i % 2 AS half,
-  round((floor(i / 2) % 16 + (i % 2) / 2.0) * 200 * sqrt(3.0), 4) AS cx, round((floor(i / 32) + (i % 2) / 2.0) * 600.0, 4) AS cy FROM (SELECT unnest(generate_series(0, 16 * 10 * 2 - 1)) AS i)""")
+@query("x16_hex_grid", f"""WITH {HOMES}, e AS (SELECT min(x) AS l, min(y) AS b, CAST(floor((max(x) - min(x)) / (200 * sqrt(3.0))) AS BIGINT) + 2 AS nx, CAST(floor((max(y) - min(y)) / 600.0) AS BIGINT) + 2 AS ny FROM homes),
+  k AS (SELECT *, unnest(generate_series(0, nx * ny * 2 - 1)) AS i FROM e)
+  SELECT CAST(i AS BIGINT) AS cell, CAST((i // 2) % nx AS BIGINT) AS col, CAST(i // (2 * nx) AS BIGINT) AS row_, i % 2 AS half,
+  round(l + ((i // 2) % nx + (i % 2) / 2.0) * 200 * sqrt(3.0), 4) AS cx, round(b + (i // (2 * nx) + (i % 2) / 2.0) * 600.0, 4) AS cy FROM k""")
 def hex_grid(spark, sf):
-    g = S.hex_grid(spark, 0.0, 5000.0, 0.0, 5000.0, 200.0)
+    """Hexagons over the extent of all homes; the grid is made on the executors from the extent's four numbers."""
+    l, r, b, t = (float(v) for v in D.homes(spark, sf).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
+    g = S.hex_grid(spark, l, r, b, t, 200.0)
     return g.select("cell", "col", F.col("row").alias("row_"), "half", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
 
 

@@ -200,6 +200,30 @@ def mercator(spark, sf):
     return D.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.round(x, 8).alias("x"), F.round(y, 8).alias("y"))
 
 
+@query("m01_mercator_inverse", """SELECT c_custkey AS id, round(greatest(-180, least(180, c_acctbal / 50)), 6) AS lon, round(CAST(c_custkey % 160 - 80 AS DOUBLE), 6) AS lat FROM customer""")
+def mercator_inverse(spark, sf):
+    """There and back again."""
+    c = D.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.greatest(F.lit(-180.0), F.least(F.lit(180.0), F.col("c_acctbal") / 50)).alias("lon"), (F.col("c_custkey") % 160 - 80).cast("double").alias("lat"))
+    x, y = A.mercator(F.col("lon"), F.col("lat"))
+    lon, lat = A.mercator_inverse(F.col("x"), F.col("y"))
+    return c.select("id", x.alias("x"), y.alias("y")).select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+@query("m07_heat_colour", """SELECT event_id AS id, CAST(trunc(greatest(0, least(1, 2 * v - 1)) * 255) AS INTEGER) AS r, CAST(trunc(greatest(0, least(1, 1 - abs(2 * v - 1))) * 255) AS INTEGER) AS g, CAST(trunc(greatest(0, least(1, 1 - 2 * v)) * 255) AS INTEGER) AS b
+  FROM (SELECT event_id, least(greatest(value / 100, 0.0), 1.0) AS v FROM events)""")
+def heat_colour(spark, sf):
+    e = D.read(spark, sf, "events").select(F.col("event_id").alias("id"), A.heat_colour(F.col("value") / 100).alias("c"))
+    return e.select("id", *[F.get("c", F.lit(i)).alias(k) for i, k in enumerate("rgb")])
+
+
+@query("t05_all_floats", """SELECT p_partkey AS id, len(regexp_extract_all(t, '[-+]?[0-9]*\\.[0-9]+|[0-9]+')) AS n, round(list_sum(list_transform(regexp_extract_all(t, '[-+]?[0-9]*\\.[0-9]+|[0-9]+'), lambda x: CAST(x AS DOUBLE))), 3) AS total
+  FROM (SELECT p_partkey, p_name || ' -' || (p_size * 100 + 25) // 100 || '.' || (p_partkey % 90 + 10) || ' m, ' || p_size || ' x .5' AS t FROM part)""")
+def all_floats(spark, sf):
+    t = F.concat("p_name", F.lit(" -"), F.floor((F.col("p_size") * 100 + 25) / 100).cast("string"), F.lit("."), (F.col("p_partkey") % 90 + 10).cast("string"), F.lit(" m, "), F.col("p_size").cast("string"), F.lit(" x .5"))
+    v = D.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), X.all_floats(t).alias("v"))
+    return v.select("id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
 @query("m03_way_boxes", f"WITH {BASE} SELECT way_id, min(x) AS l, max(x) AS r, min(y) AS b, max(y) AS t, round(sqrt(max(pow(x - cx, 2) + pow(y - cy, 2))), 4) AS radius FROM (SELECT *, (min(x) OVER (PARTITION BY way_id) + max(x) OVER (PARTITION BY way_id)) / 2.0 AS cx, (min(y) OVER (PARTITION BY way_id) + max(y) OVER (PARTITION BY way_id)) / 2.0 AS cy FROM pts) GROUP BY way_id")
 def way_boxes(spark, sf):
     p = vertices(spark, sf).groupBy("way_id").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+MEMBERS = "array<struct<kind:string,ref:long,role:string>>"
 NODE_SCHEMA = "node_id long, lon double, lat double, tags map<string,string>"
 WAY_SCHEMA = "way_id long, refs array<long>, tags map<string,string>"
 
@@ -90,6 +91,22 @@ def osm_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes.select(F.col("_id").alias("node_id"), F.col("_lon").alias("lon"), F.col("_lat").alias("lat"), tags), ways.select(F.col("_id").alias("way_id"), F.transform("nd", lambda n: n["_ref"]).alias("refs"), tags)
 
 
+def osm_xml_relations(spark: SparkSession, path: str) -> DataFrame:
+    """Relations (relation_id, members, tags) of an OpenStreetMap XML file; members (kind, ref, role) in their order."""
+    text = lambda *names: T.StructType([T.StructField(n, T.LongType() if n in ("_id", "_ref") else T.StringType()) for n in names])
+    schema = T.StructType([T.StructField("_id", T.LongType()), T.StructField("member", T.ArrayType(text("_type", "_ref", "_role"))), T.StructField("tag", T.ArrayType(text("_k", "_v")))])
+    rows = spark.read.format("xml").option("rowTag", "relation").schema(schema).load(path)
+    members = F.transform("member", lambda m: F.struct(m["_type"].alias("kind"), m["_ref"].alias("ref"), F.coalesce(m["_role"], F.lit("")).alias("role")))
+    tags = F.map_from_entries(F.coalesce(F.transform("tag", lambda t: F.struct(t["_k"].alias("k"), t["_v"].alias("v"))), F.array().cast("array<struct<k:string,v:string>>")))
+    return rows.select(F.col("_id").alias("relation_id"), F.coalesce(members, F.array().cast(MEMBERS)).alias("members"), tags.alias("tags"))
+
+
+def member_ways(relations: DataFrame) -> DataFrame:
+    """Rows (relation_id, way_id, role) of the ways among the members of multipolygons and boundaries."""
+    some = relations.filter(F.try_element_at("tags", F.lit("type")).isin("multipolygon", "boundary"))
+    return some.select("relation_id", F.explode("members").alias("m")).filter("m.kind = 'way'").select("relation_id", F.col("m.ref").alias("way_id"), "m.role")
+
+
 def osm_bounds(text: Column) -> Column:
     """(minlat, minlon, maxlat, maxlon) from the head of an OpenStreetMap file."""
     one = lambda k: F.regexp_extract(text, rf'{k}="([-0-9.]+)"', 1).try_cast("double").alias(k)
@@ -132,8 +149,8 @@ def _numbers(data: bytes, signed: bool = False) -> list[int]:
     return out
 
 
-def _primitives(block: bytes) -> tuple[list[tuple], list[tuple]]:
-    """Nodes and ways of one primitive block."""
+def _primitives(block: bytes) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Nodes, ways and relations of one primitive block."""
     strings: list[str] = []
     groups, scale, lat0, lon0 = [], 100, 0, 0
     for k, v in _fields(block):
@@ -147,7 +164,7 @@ def _primitives(block: bytes) -> tuple[list[tuple], list[tuple]]:
             lat0 = v
         elif k == 20:
             lon0 = v
-    nodes, ways = [], []
+    nodes, ways, relations = [], [], []
     for group in groups:
         for k, v in _fields(group):
             if k == 2:
@@ -165,7 +182,12 @@ def _primitives(block: bytes) -> tuple[list[tuple], list[tuple]]:
                 f = dict(_fields(v))
                 tags = {strings[a]: strings[b] for a, b in zip(_numbers(f.get(2, b"")), _numbers(f.get(3, b"")), strict=True)}
                 ways.append((f[1], np.cumsum(_numbers(f.get(8, b""), True)).tolist(), tags))
-    return nodes, ways
+            elif k == 4:
+                f = dict(_fields(v))
+                tags = {strings[a]: strings[b] for a, b in zip(_numbers(f.get(2, b"")), _numbers(f.get(3, b"")), strict=True)}
+                members = zip(_numbers(f.get(10, b"")), np.cumsum(_numbers(f.get(9, b""), True)).tolist(), _numbers(f.get(8, b"")), strict=True)
+                relations.append((f[1], [(("node", "way", "relation")[kind], ref, strings[role]) for kind, ref, role in members], tags))
+    return nodes, ways, relations
 
 
 def _blobs(content: bytes) -> Iterator[bytes]:
@@ -180,8 +202,8 @@ def _blobs(content: bytes) -> Iterator[bytes]:
             yield body
 
 
-def osm_pbf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, ways) of an OpenStreetMap binary file: split into its compressed blobs, which are dealt out and decoded."""
+def _pbf(spark: SparkSession, path: str, kind: int, schema: str) -> DataFrame:
+    """Nodes, ways or relations of an OpenStreetMap binary file, split into its compressed blobs, which are dealt out."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -189,19 +211,26 @@ def osm_pbf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                 for k, body in enumerate(_blobs(content)):
                     yield pd.DataFrame({"k": [k], "body": [body]})
 
-    def decode(kind: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for body in batch["body"]:
-                    f = dict(_fields(body))
-                    got = _primitives(f[1] if 1 in f else zlib.decompress(f[3]))[kind]
-                    if got:
-                        yield pd.DataFrame(got, columns=["node_id", "lon", "lat", "tags"] if kind == 0 else ["way_id", "refs", "tags"])
-
-        return run
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for body in batch["body"]:
+                f = dict(_fields(body))
+                got = _primitives(f[1] if 1 in f else zlib.decompress(f[3]))[kind]
+                if got:
+                    yield pd.DataFrame(got, columns=[c.split()[0] for c in schema.split(", ")])
 
     blobs = spark.read.format("binaryFile").load(path).select("content").mapInPandas(cut, "k int, body binary").repartition("k")
-    return blobs.mapInPandas(decode(0), NODE_SCHEMA), blobs.mapInPandas(decode(1), WAY_SCHEMA)
+    return blobs.mapInPandas(decode, schema)
+
+
+def osm_pbf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, ways) of an OpenStreetMap binary file."""
+    return _pbf(spark, path, 0, NODE_SCHEMA), _pbf(spark, path, 1, WAY_SCHEMA)
+
+
+def osm_pbf_relations(spark: SparkSession, path: str) -> DataFrame:
+    """Relations (relation_id, members, tags) of an OpenStreetMap binary file, as osm_xml_relations gives them."""
+    return _pbf(spark, path, 2, f"relation_id long, members {MEMBERS}, tags map<string,string>")
 
 
 def assemble(nodes: DataFrame, ways: DataFrame, keys: tuple[str, ...], frame: tuple[float, float, float, float] | None = None) -> DataFrame:
