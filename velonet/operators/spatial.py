@@ -237,18 +237,59 @@ def cubic_weight(d: Column, k: Column) -> Column:
     )
 
 
-def raster_sample(points: DataFrame, cells: DataFrame, left: float, top: float, size: float, unknown: bool = False) -> DataFrame:
+def spline_weight(d: Column, k: Column) -> Column:
+    """The same for a cubic spline, whose cells are coefficients."""
+    return (
+        F.when(k == -1, (1 - d) * (1 - d) * (1 - d) / 6)
+        .when(k == 0, ((3 * d - 6) * d * d + 4) / 6)
+        .when(k == 1, (((-3 * d + 3) * d + 3) * d + 1) / 6)
+        .otherwise(d * d * d / 6)
+    )
+
+
+#: Cells on each side that a spline coefficient sums up. What is left out weighs 1e-11 of the heights.
+SPLINE_REACH = 20
+
+
+def spline_coefficients(cells: DataFrame) -> DataFrame:
+    """Coefficients (col, row, h) of the cubic spline that passes through the cells (col, row, h) of a full raster.
+
+    The raster goes on mirrored at its border. A coefficient is the sum of its neighbours by powers of sqrt(3) - 2, along the
+    rows and then along the columns; SPLINE_REACH of them hold it to rounding, so a row or column may be cut into pieces
+    with a halo as wide. Voids (-500 and less) leave no coefficients within that reach. A raster of one row or column is as it is
+    along the other axis.
+    """
+    out = cells.select("col", "row", F.when(F.col("h") > -500, F.col("h").cast("double")).alias("h"))
+    for axis, other in (("col", "row"), ("row", "col")):
+        line = W.partitionBy(other)
+        at = out.withColumns({"lo": F.min(axis).over(line), "hi": F.max(axis).over(line)}).withColumn("period", 2 * (F.col("hi") - F.col("lo")))
+        turns = F.when(F.col("period") > 0, F.ceil(SPLINE_REACH / F.greatest(F.col("period"), F.lit(1))) + 1).otherwise(0).cast("long")
+        from_lo = F.col(axis) - F.col("lo")
+        places = F.flatten(F.transform(F.sequence(-turns, turns), lambda m: F.array(F.col("lo") + from_lo + m * F.col("period"), F.col("lo") - from_lo + m * F.col("period"))))
+        near = F.filter(F.array_distinct(places), lambda p: p.between(F.col("lo") - SPLINE_REACH, F.col("hi") + SPLINE_REACH))
+        at = at.withColumn("place", F.explode(near))
+        w = line.orderBy("place")
+        pole, total = 3**0.5 - 2, F.col("h")
+        for k in range(1, SPLINE_REACH + 1):
+            total = total + (F.lag("h", k).over(w) + F.lead("h", k).over(w)) * pole**k
+        at = at.withColumn("sum", 3**0.5 * total).filter(F.col("place") == F.col(axis))
+        out = at.select("col", "row", F.when(F.col("period") > 0, F.col("sum")).otherwise(F.col("h")).alias("h"))
+    return out
+
+
+def raster_sample(points: DataFrame, cells: DataFrame, left: float, top: float, size: float, unknown: bool = False, spline: bool = False) -> DataFrame:
     """Heights (id, h) of points by bicubic interpolation of raster cells (col, row, h); none at the border or near voids.
 
-    The sixteen cells around a point decide (cubic convolution), so tiles of any number are joined by cell. With
-    ``unknown`` the points without a height stay, with null.
+    The sixteen cells around a point decide, by cubic convolution or, with ``spline``, by the spline through all cells; so
+    tiles of any number are joined by cell. With ``unknown`` the points without a height stay, with null.
     """
+    cells, weight = (spline_coefficients(cells), spline_weight) if spline else (cells.withColumn("h", F.when(F.col("h") > -500, F.col("h"))), cubic_weight)
     u, v = (F.col("x") - left) / size - 0.5, (top - F.col("y")) / size - 0.5
     at = points.withColumns({"c0": F.floor(u).cast("long"), "r0": F.floor(v).cast("long"), "du": u - F.floor(u), "dv": v - F.floor(v)})
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1, 2) for j in (-1, 0, 1, 2)]))
     asked = at.withColumn("k", corner).withColumns({"col": F.col("c0") + F.col("k.i"), "row": F.col("r0") + F.col("k.j")})
-    got = asked.join(cells, ["col", "row"], "left" if unknown else "inner").withColumn("h", F.when(F.col("h") > -500, F.col("h")))
-    got = got.withColumn("part", cubic_weight(F.col("du"), F.col("k.i")) * cubic_weight(F.col("dv"), F.col("k.j")) * F.col("h"))
+    got = asked.join(cells, ["col", "row"], "left" if unknown else "inner")
+    got = got.withColumn("part", weight(F.col("du"), F.col("k.i")) * weight(F.col("dv"), F.col("k.j")) * F.col("h"))
     out = got.groupBy("id").agg(F.sum("part").alias("h"), F.count("h").alias("n")).select("id", F.when(F.col("n") == 16, F.col("h")).alias("h"))
     return out if unknown else out.filter("h is not null")
 

@@ -241,6 +241,24 @@ def raster_sample(spark, sf):
     return S.raster_sample(_points(D.homes(spark, sf)), cells, 0.0, 20000.0, 400.0).withColumn("h", F.round("h", 6))
 
 
+_SPLINE = {-1: "(1 - {0}) * (1 - {0}) * (1 - {0}) / 6", 0: "((3 * {0} - 6) * {0} * {0} + 4) / 6", 1: "(((-3 * {0} + 3) * {0} + 3) * {0} + 1) / 6", 2: "{0} * {0} * {0} / 6"}
+_spline_sql = lambda d, k: "CASE " + k + " " + " ".join(f"WHEN {i} THEN {w.format(d)}" for i, w in _SPLINE.items()) + " END"
+_TURN = "CASE WHEN abs({0}) > 49 THEN 98 - abs({0}) ELSE abs({0}) END"
+
+
+@query("x24_spline_sample", f"""WITH {HOMES}, cells AS ({RASTER}), reach AS (SELECT unnest(generate_series(-20, 20)) AS k),
+  across AS (SELECT c.col, c.row_, sum(sqrt(3.0) * pow(sqrt(3.0) - 2, abs(k)) * o.h) AS h FROM cells c CROSS JOIN reach JOIN cells o ON o.row_ = c.row_ AND o.col = {_TURN.format('(c.col + k)')} GROUP BY 1, 2),
+  both_ways AS (SELECT c.col, c.row_, sum(sqrt(3.0) * pow(sqrt(3.0) - 2, abs(k)) * o.h) AS h FROM across c CROSS JOIN reach JOIN across o ON o.col = c.col AND o.row_ = {_TURN.format('(c.row_ + k)')} GROUP BY 1, 2),
+  p AS (SELECT site_id AS id, x / 400.0 - 0.5 AS u, (20000 - y) / 400.0 - 0.5 AS v FROM homes), q AS (SELECT id, floor(u) AS c0, floor(v) AS r0, u - floor(u) AS du, v - floor(v) AS dv FROM p),
+  k AS (SELECT i, j FROM (SELECT unnest([-1, 0, 1, 2]) AS i) CROSS JOIN (SELECT unnest([-1, 0, 1, 2]) AS j))
+  SELECT id, round(sum(({_spline_sql('du', 'i')}) * ({_spline_sql('dv', 'j')}) * h), 5) AS h FROM q CROSS JOIN k JOIN both_ways ON col = c0 + i AND row_ = r0 + j GROUP BY id HAVING count(*) = 16""")
+def spline_sample(spark, sf):
+    """Heights of all homes from the spline through every cell."""
+    c = spark.range(2500).select((F.col("id") % 50).alias("col"), F.floor(F.col("id") / 50).alias("row"))
+    cells = c.withColumn("h", ((F.col("col") * 31 + F.col("row") * 17) % 211).cast("double"))
+    return S.raster_sample(_points(D.homes(spark, sf)), cells, 0.0, 20000.0, 400.0, spline=True).withColumn("h", F.round("h", 5))
+
+
 WIDE_RASTER = RASTER.replace("(0, 49)", "(0, 55)")
 SLOPE_STEP = 2000.0
 PENALTY = f"({list(SLOPE_PENALTY)!r})[12 + CAST(trunc(greatest(-11.0, least(11.0, 100 * {{0}} / gap))) AS INTEGER)]"
