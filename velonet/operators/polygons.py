@@ -26,10 +26,11 @@ def clean_ring(xs: Column, ys: Column) -> tuple[Column, Column]:
     return F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
 
 
-def clip_segments(segments: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Pieces (poly, line, seg, t0, t1, len) of segments (line, seg, x1, y1, x2, y2) inside polygons (poly, xs, ys).
+def clip_segments(segments: DataFrame, polygons: DataFrame, size: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces (poly, line, seg, t0, t1, len, keep..) of segments (line, seg, x1, y1, x2, y2) inside polygons (poly, xs, ys).
 
     Cells bring both together; a segment is cut at all edges it crosses, and the pieces whose middle is inside stay.
+    ``keep`` names further columns of the segments.
     """
     pairs = S.hash_boxes(S.with_boxes(polygons), size).join(S.hash_segments(segments, size), ["cx", "cy"]).dropDuplicates(["poly", "line", "seg"])
     x1, y1, x2, y2 = (F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))
@@ -49,7 +50,7 @@ def clip_segments(segments: DataFrame, polygons: DataFrame, size: float) -> Data
     parts = parts.withColumns({"t0": F.get(F.col("cuts"), F.col("k")), "t1": F.get(F.col("cuts"), F.col("k") + 1)})
     mid = (F.col("t0") + F.col("t1")) / 2
     inside = S.inside(x1 + mid * dx, y1 + mid * dy, F.col("xs"), F.col("ys"))
-    return parts.filter(inside).select("poly", "line", "seg", "t0", "t1", ((F.col("t1") - F.col("t0")) * F.sqrt(dx * dx + dy * dy)).alias("len"))
+    return parts.filter(inside).select("poly", "line", "seg", "t0", "t1", ((F.col("t1") - F.col("t0")) * F.sqrt(dx * dx + dy * dy)).alias("len"), *keep)
 
 
 def dilated_cells(polygons: DataFrame, reach: float, size: float) -> DataFrame:
