@@ -85,4 +85,5 @@ def test_files_are_committed_whole(spark, tmp_path):
         filesink.write_files(spark.range(2).select(F.lit("a").alias("name"), F.lit(b"x").alias("content")), folder)
     with pytest.raises(Exception, match="file name"):
         filesink.write_files(spark.range(1).select(F.lit("../a").alias("name"), F.lit(b"x").alias("content")), folder)
-    assert len(os.listdir(folder)) == 40
+    # a task that outlives its failed job may leave a hidden folder, never a file
+    assert {n for n in os.listdir(folder) if not n.startswith("_temporary-")} == set(files)

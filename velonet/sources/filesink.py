@@ -21,7 +21,11 @@ class Written(WriterCommitMessage):
 
 
 class FilesWriter(DataSourceWriter):
-    """Every attempt of a task writes into a folder of its own, so a lost or repeated one leaves nothing in the result."""
+    """Every attempt of a task writes into a folder of its own, so a lost or repeated one leaves nothing in the result.
+
+    The folders lie in a hidden one, ``_temporary-<job>``, which commit and abort delete. A task that is still running when its
+    job fails may make it again; readers pass over it, and it can be deleted at any time after the job.
+    """
 
     def __init__(self, path: str):
         self.path, self.job = path.rstrip("/"), uuid.uuid4().hex
@@ -78,7 +82,12 @@ class FilesSource(DataSource):
 def write_files(files: DataFrame, path: str) -> None:
     """Write rows (name, content) as files of the folder ``path``. Names are to be unique; files of the same name are replaced.
 
-    The driver moves the finished files to their names and sees no content. Null content makes an empty file.
+    The driver moves the finished files to their names and sees no content. Null content makes an empty file. A path without
+    a scheme belongs to the session's default file system.
     """
-    files.sparkSession.dataSource.register(FilesSource)
-    files.select("name", "content").write.format(FilesSource.name()).mode("append").save(path)
+    spark = files.sparkSession
+    spark.dataSource.register(FilesSource)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    files.select("name", "content").write.format(FilesSource.name()).mode("append").save(store.makeQualified(folder).toString())

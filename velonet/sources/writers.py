@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from velonet.functions.text import base36
 
+from . import filesink
+
 
 def write_any(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write by suffix: parquet, csv with a header, JSON lines, or shapefiles of polygons (see write_shapefile)."""
@@ -84,8 +86,8 @@ def shapefile_bytes(kind: int, shapes: list[tuple[list, list]], fields: list[str
 def write_shapefile(df: DataFrame, path: str, kind: int = 5, mode: str = "error", rows_per_file: int = 100_000) -> None:
     """Write rows (xs, ys: coordinates by part; all other columns are attributes) as shapefiles in the folder ``path``.
 
-    Tasks encode at most ``rows_per_file`` rows into one file; the driver only passes finished files on, one partition
-    at a time, to the store. A shapefile holds 2 GB at most, so this is an export of results, not of raw data.
+    Tasks encode at most ``rows_per_file`` rows into one file and write it themselves; the driver sees no content (see
+    filesink). A shapefile holds 2 GB at most, so this is an export of results, not of raw data.
     """
     if kind not in (3, 5):
         raise ValueError(f"shape type {kind}")
@@ -96,7 +98,7 @@ def write_shapefile(df: DataFrame, path: str, kind: int = 5, mode: str = "error"
 
         def file(rows: list) -> pd.DataFrame:
             made = shapefile_bytes(kind, [(r[0], r[1]) for r in rows], fields, [r[2:] for r in rows])
-            return pd.DataFrame({"name": [f"part-{task:05d}-{n:03d}"], "shp": [made[0]], "shx": [made[1]], "dbf": [made[2]]})
+            return pd.DataFrame({"name": [f"part-{task:05d}-{n:03d}.{suffix}" for suffix in ("shp", "shx", "dbf")], "content": made})
 
         for batch in batches:
             held += batch.itertuples(index=False, name=None)
@@ -115,11 +117,7 @@ def write_shapefile(df: DataFrame, path: str, kind: int = 5, mode: str = "error"
         fs.delete(folder, True)
     fs.mkdirs(folder)
     text = df.select("xs", "ys", *[F.col(f"`{c}`").cast("string").alias(c) for c in fields])
-    for row in text.mapInPandas(run, "name string, shp binary, shx binary, dbf binary").toLocalIterator():
-        for suffix in ("shp", "shx", "dbf"):
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{row['name']}.{suffix}"))
-            out.write(row[suffix])
-            out.close()
+    filesink.write_files(text.mapInPandas(run, "name string, content binary"), path)
 
 
 def container_bytes(entries: dict[str, np.ndarray | str]) -> bytes:
