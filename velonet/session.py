@@ -8,7 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def session(name: str = "velonet", master: str | None = None, **conf: str) -> SparkSession:
-    """Adaptive execution with skew handling, UTC, Arrow. Partition counts are left to the cluster's configuration."""
+    """Adaptive execution with skew handling, UTC, Arrow. Partition counts are left to the cluster's configuration.
+
+    Call sites of columns are not recorded: the rules are thousands of columns, and recording takes a quarter of their making.
+    """
     build = SparkSession.builder.appName(name)
     if master:
         build = build.master(master)
@@ -17,6 +20,7 @@ def session(name: str = "velonet", master: str | None = None, **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | conf
     for k, v in settings.items():
         build = build.config(k, v)
