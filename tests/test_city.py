@@ -38,3 +38,26 @@ def test_slopes(spark):
     up = (SLOPE_PENALTY[15] + flat + SLOPE_PENALTY[1]) / 3, (SLOPE_PENALTY[7] + flat + SLOPE_PENALTY[21]) / 3
     assert abs(got[1]["fwd_climb"] - up[0]) < 1e-9 and abs(got[1]["bwd_climb"] - up[1]) < 1e-9
     assert got[2]["abs_slope_max"] == 0 and got[3]["abs_slope_max"] == -127 and got[3]["fwd_climb"] == flat
+
+
+def test_dense_cities_meet_by_cell(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    near = [(k, "AB"[k % 2], *box(rng.uniform(0, 60), rng.uniform(0, 60), 4.0, 3.0)) for k in range(200)]
+    far = [(200 + k, "C", *box(rng.uniform(0, 200), rng.uniform(0, 200), 4.0, 3.0)) for k in range(40)]
+    df = spark.createDataFrame(near + far, "poly long, city string, xs array<double>, ys array<double>")
+    gap = lambda p, q: (max(p[2][0] - q[2][1], q[2][0] - p[2][1], 0) ** 2 + max(p[3][0] - q[3][2], q[3][0] - p[3][2], 0) ** 2) ** 0.5
+    expected = {(p[1], q[0]) for p in near for q in near + far if gap(p, q) <= 25.0}
+    asked = []
+    plain = C.polygons_within
+
+    def counted(these, those, *more):
+        asked.append(those.count())
+        return plain(these, those, *more)
+
+    monkeypatch.setattr(C, "polygons_within", counted)
+    got = C.groups_within(df.filter("city < 'C'"), df, 25.0, 20.0)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    # corners in a common cell settle all pairs of the dense cities; the edges of only a few others are compared
+    assert len(asked) == 1 and asked[0] < 60
