@@ -26,9 +26,23 @@ def polygons_within(these: DataFrame, those: DataFrame, reach: float, size: floa
     Edges meet by grid cell, only those of the first side in all cells within reach; a polygon inside another one is
     found by a corner. With ``by``, a column of both sides, only polygons that agree in it meet, as (by, a, b).
     """
-    names, key = ("x1", "y1", "x2", "y2"), [by] if by else []
-    left = S.hash_segments(S.dealt_out(edges(these, *key), "poly"), size, reach).withColumnRenamed("poly", "a")
-    right = S.hash_segments(S.dealt_out(edges(those, *key), "poly"), size).withColumnsRenamed({"poly": "b", **{c: f"o{c}" for c in names}})
+    key = [by] if by else []
+    met = edges_met(S.hash_segments(S.dealt_out(edges(these, *key), "poly"), size, reach), S.hash_segments(S.dealt_out(edges(those, *key), "poly"), size), reach, *key)
+    full = lambda df: df.filter("size(xs) > 0").select(*key, "poly", "xs", "ys")
+    held = S.points_in_polygons(corners(those, *key), full(these), size, *key).select(*key, F.col("poly").alias("a"), F.col("id").alias("b"))
+    holds = S.points_in_polygons(corners(these, *key), full(those), size, *key).select(*key, F.col("id").alias("a"), F.col("poly").alias("b"))
+    return met.union(held).union(holds).distinct()
+
+
+def corners(polygons: DataFrame, *keys: str) -> DataFrame:
+    """The first corner (keys, id, x, y) of each polygon."""
+    return polygons.filter("size(xs) > 0").select(*keys, F.col("poly").alias("id"), F.get("xs", F.lit(0)).cast("double").alias("x"), F.get("ys", F.lit(0)).cast("double").alias("y"))
+
+
+def edges_met(left: DataFrame, right: DataFrame, reach: float, *key: str) -> DataFrame:
+    """Pairs (key, a, b) of polygons with edges (key, poly, x1, y1, x2, y2, cx, cy) at most ``reach`` apart that share a cell."""
+    names = ("x1", "y1", "x2", "y2")
+    left, right = left.withColumnRenamed("poly", "a"), right.withColumnsRenamed({"poly": "b", **{c: f"o{c}" for c in names}})
     x1, y1, x2, y2, u1, v1, u2, v2 = (F.col(c) for c in (*names, *(f"o{c}" for c in names)))
     # boxes of edges further apart than reach spare the exact test
     apart = lambda p, q, s, t: (F.greatest(p, q) + reach < F.least(s, t)) | (F.greatest(s, t) + reach < F.least(p, q))
@@ -42,12 +56,25 @@ def polygons_within(these: DataFrame, those: DataFrame, reach: float, size: floa
     met = met.withColumns({f"_t{i}": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"_t{i}"))) for i in range(4)} | {f"_s{i}": F.signum(A.cross(ex, ey, px, py)) for i in range(4) for ex, ey, px, py in [of(i)]})
     far = F.least(*[A.distance(px, py, ax + F.col(f"_t{i}") * F.col(f"_ex{i}"), ay + F.col(f"_t{i}") * F.col(f"_ey{i}")) for i, (px, py, ax, ay, _, _) in enumerate(ends)])
     crossing = (F.col("_s0") * F.col("_s1") < 0) & (F.col("_s2") * F.col("_s3") < 0)
-    met = met.groupBy(*key, "a", "b").agg(F.max(crossing | (far <= reach)).alias("near")).filter("near").select(*key, "a", "b")
-    corner = lambda df: df.filter("size(xs) > 0").select(*key, F.col("poly").alias("id"), F.get("xs", F.lit(0)).cast("double").alias("x"), F.get("ys", F.lit(0)).cast("double").alias("y"))
-    full = lambda df: df.filter("size(xs) > 0").select(*key, "poly", "xs", "ys")
-    held = S.points_in_polygons(corner(those), full(these), size, *key).select(*key, F.col("poly").alias("a"), F.col("id").alias("b"))
-    holds = S.points_in_polygons(corner(these), full(those), size, *key).select(*key, F.col("id").alias("a"), F.col("poly").alias("b"))
-    return met.union(held).union(holds).distinct()
+    return met.groupBy(*key, "a", "b").agg(F.max(crossing | (far <= reach)).alias("near")).filter("near").select(*key, "a", "b")
+
+
+def touching(polygons: DataFrame, size: float, *keys: str) -> DataFrame:
+    """Links (a, b) of polygons (keys, poly, xs, ys) that agree in the ``keys`` and touch, overlap or contain: enough to join their groups.
+
+    ``poly`` is unique. What meets a cell inside a polygon touches that polygon, so each polygon there has one link; pairs are
+    made in the other cells only.
+    """
+    fine, cell = size * S.FINE, [*keys, "cx", "cy"]
+    some = polygons.filter("size(xs) > 0").select(*keys, "poly", "xs", "ys")
+    whole, touched, covered = S.covered_by(some, fine, *keys)
+    there = N.settle(S.hash_segments(S.dealt_out(edges(some, *keys), "poly"), fine))
+    linked = whole.select(*cell, "poly").union(there.select(*cell, "poly")).join(covered, cell).filter("poly <> first").select(F.col("poly").alias("a"), F.col("first").alias("b")).distinct()
+    shown = N.settle(there.join(covered, cell, "left_anti"))
+    met = edges_met(shown, shown, 0.0, *keys).filter("a < b").select("a", "b")
+    at = S.hash_points(corners(some, *keys), fine).join(covered, cell, "left_anti")
+    held = at.join(touched, cell).filter((F.col("id") != F.col("poly")) & S.inside(F.col("x"), F.col("y"), F.col("xs"), F.col("ys"))).select(F.col("id").alias("a"), F.col("poly").alias("b"))
+    return linked.union(met).union(held)
 
 
 def groups_within(these: DataFrame, those: DataFrame, reach: float, size: float) -> DataFrame:
@@ -79,7 +106,7 @@ def city_parcels(parcels: DataFrame, buffer_m: float, size: float) -> DataFrame:
     """
     own = parcels.filter("city is not null and size(xs) > 0").select("poly", "city", "xs", "ys")
     of = own.select("poly", "city")
-    touch = polygons_within(own, own, 0.0, size, "city").filter("a < b").select("a", "b")
+    touch = touching(own, size, "city")
     parts = own.join(N.components(touch).withColumnRenamed("node", "poly"), "poly", "left").withColumn("root", F.coalesce("root", "poly"))
     area = parts.groupBy("city", "root").agg(F.sum(A.shoelace(F.col("xs").cast("array<double>"), F.col("ys").cast("array<double>"))).alias("area"))
     most = area.groupBy("city").agg(F.max(F.struct("area", (-F.col("root")).alias("first"))).alias("m")).select("city", (-F.col("m.first")).alias("most"))
