@@ -34,9 +34,10 @@ class Study:
     min_s: float = 600.0
     max_s: float = 1800.0
 
-    def trees(self, graph: DataFrame) -> DataFrame:
+    def trees(self, graph: DataFrame, whole: bool = True) -> DataFrame:
+        """Trees (source, node, cost) from the destinations; unless ``whole``, the ways to the origins only."""
         sources = self.destinations.select(F.col("node").alias("source")).distinct()
-        return N.settle(N.paths(graph, sources, self.max_s).select("source", "node", "cost"))
+        return N.settle(N.paths(graph, sources, self.max_s, None if whole else self.origins).select("source", "node", "cost"))
 
     def ways(self, tree: DataFrame, *keys: str) -> DataFrame:
         """(keys, o_id, d_id, secs) of all pairs of anchors that ``tree`` (keys, source, node, cost) joins."""
@@ -80,7 +81,7 @@ def baseline(study: Study, edges: DataFrame) -> Baseline:
     """``edges`` (tr_id, start_node, end_node, work_fwd, work_bwd, super_fwd, super_bwd): seconds with and without stress."""
     graph = N.settle(arcs_of(edges, "work_fwd", "work_bwd"))
     tree = study.trees(graph)
-    free = study.ways(study.trees(N.settle(arcs_of(edges, "super_fwd", "super_bwd")))).withColumnRenamed("secs", "free_s")
+    free = study.ways(study.trees(N.settle(arcs_of(edges, "super_fwd", "super_bwd")), whole=False)).withColumnRenamed("secs", "free_s")
     free = free.filter((F.col("free_s") > study.min_s) & (F.col("free_s") < study.max_s))
     rated = free.join(study.ways(tree), ["o_id", "d_id"], "left").join(study.weights.select(F.col("site_id").alias("d_id"), "w"), "d_id").join(study.cells.select(F.col("site_id").alias("o_id"), "cell"), "o_id")
     pairs = N.settle(rated.select("o_id", "d_id", "secs", "free_s", "w", "cell"))
