@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from velonet.operators import placement as P
 from velonet.operators import tiles as R
+from velonet.operators.polygons import clip_segments
 from velonet.sources import filesink
 
 PARCELS = "poly long, xs array<double>, ys array<double>, pop double"
@@ -87,3 +88,21 @@ def test_files_are_committed_whole(spark, tmp_path):
         filesink.write_files(spark.range(1).select(F.lit("../a").alias("name"), F.lit(b"x").alias("content")), folder)
     # a task that outlives its failed job may leave a hidden folder, never a file
     assert {n for n in os.listdir(folder) if not n.startswith("_temporary-")} == set(files)
+
+
+def test_pairs_of_lines_and_parcels_go_to_no_exchange(spark):
+    r = random.Random(8)
+    star = lambda x, y, n: tuple([c + s * (90 if k % 2 else 300) for k in range(n) for s in [f(2 * math.pi * k / n)]] for c, f in ((x, math.cos), (y, math.sin)))
+    rows = [(k, *star(r.uniform(0, 4000), r.uniform(0, 4000), r.choice((4, 6, 10))), float(k % 7)) for k in range(60)]
+    lines = {n: [(r.uniform(-500, 4500), r.uniform(-500, 4500)) for _ in range(4)] for n in range(80)}
+    parcels, segments = spark.createDataFrame(rows, PARCELS), spark.createDataFrame(_segments(lines), SEGMENTS)
+    got = P.placed_residents(parcels, segments, 40.0, 100.0)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    # points where the plain clipping leaves something of a line, and nowhere else; parcels keep their totals
+    clipped = {(c["poly"], c["line"]): c["len"] for c in clip_segments(segments, parcels.filter("pop > 0"), 100.0).groupBy("poly", "line").agg(F.sum("len").alias("len")).collect()}
+    points = got.collect()
+    assert {(p["poly"], p["line"]) for p in points} == set(clipped) and len(clipped) > 500
+    each = {}
+    for p in points:
+        each[p["poly"]] = each.get(p["poly"], 0.0) + p["weight"]
+    assert all(abs(v - k % 7) < 1e-9 for k, v in each.items())
