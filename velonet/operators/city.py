@@ -123,7 +123,8 @@ def outlines(parcels: DataFrame, roles: DataFrame, size: float) -> DataFrame:
     stays, holes are left out; ``area`` is what the outline encloses.
     """
     main = roles.filter("role = 'main'").join(parcels.select("poly", "xs", "ys"), "poly").select(F.col("city").alias("grp"), "poly", "xs", "ys")
-    ring = R.union(main, size).filter("area > 0")
+    # a filter on the area would move down to the corners and sum them up anew for each of them
+    ring = N.settle(R.union(main, size)).filter("area > 0")
     most = ring.groupBy("grp").agg(F.max_by(F.struct("xs", "ys", "area"), F.struct("area", -F.col("ring"))).alias("m")).select(F.col("grp").alias("city"), "m.*")
     boxed = S.with_boxes(most)
     return boxed.select("city", "xs", "ys", "area", "l", "r", "b", "t", ((F.col("l") + F.col("r")) / 2).alias("cx"), ((F.col("b") + F.col("t")) / 2).alias("cy"))
